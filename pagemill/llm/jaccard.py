@@ -3,7 +3,7 @@
 A document is its set of word 4-shingles (of all words, where it has fewer). Equal sets form one class, known by a
 64-bit digest of the sorted set. Classes lie in tiles of doubling size; one whose size is within the threshold of the
 next smaller tile lies in that too. Two sets of a tile that link differ in at most d shingles, d fixed by the tile. Each
-set is split by hash into d + 1 parts, so that linked sets agree in a whole part: the parts' digests are the keys under
+set is split by hash into more than d parts, so that linked sets agree in a whole part: the parts' digests are the keys under
 which sets meet. Of each key the sets are compared with one of them only; where that leaves sets of a key in different
 components, these are compared with each other. A pair's bitmaps bound its overlap from above (each bit that only one
 set has is a shingle that the other lacks); pairs that can still reach the threshold are decided exactly.
@@ -43,15 +43,17 @@ def part_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     tiles = [tile] + ([tile - 1] if tile and -(-percent * n // 100) < 2**tile else [])
     out = []
     for t in tiles:
-        parts = differences(t, percent) + 1
+        most = differences(t, percent)
+        slack = most // 5 + 2
+        parts = most + 1 + slack
         part = (mixed(s + np.uint64(t + 1)) % np.uint64(parts)).astype(np.int64)
         digest = np.zeros(parts, np.uint64)
         np.add.at(digest, part, mixed(s ^ np.uint64(0x5851F42D4C957F2D)))
-        count = np.bincount(part, minlength=parts)
-        # an empty part says little: such a key would be shared by all sets with the same empty part, so it carries
-        # the next part's digest as well; two sets with at most `parts - 1` differences still agree in some key
+        full = np.bincount(part, minlength=parts) > 0
         key = mixed(digest + mixed(np.arange(parts, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(t * 64 + 1)))
-        out.append(key[count > 0] if count.all() else key)
+        # Two sets agree in slack + 1 parts at least. If one of them has no more than `slack` empty parts, a part
+        # that isn't empty is among these, so the keys of empty parts, which many sets share, are left out.
+        out.append(key[full] if (~full).sum() <= slack else key)
     return np.concatenate(out)
 
 
@@ -116,7 +118,7 @@ def verified(pairs: DataFrame, sig: DataFrame, docs: DataFrame, percent: int = P
     """The pairs that link, by exact intersection."""
     pairs = stored(may_link(pairs, sig, percent), "pairs")
     sids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = sig.where("doc_id is not null or size(keys) > 0").join(sids, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    wanted = sig.join(sids, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
 
     def sets(batches):
         seen = WordHash()

@@ -12,10 +12,7 @@ n-grams as packed arrays, by hash range. A hash range sums up what all slices co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,11 +45,6 @@ def slice_ngrams(texts: list, seen: WordHash) -> tuple[np.ndarray, np.ndarray, n
     return uni, mixed(before * np.uint64(0xA0761D6478BD642F) + uni), sizes
 
 
-def _distinct(hashes: np.ndarray, train: np.ndarray, shift: int):
-    kinds, inverse = np.unique(hashes, return_inverse=True)
-    return kinds, inverse, np.bincount(inverse, train, len(kinds)).astype(np.int32), shift
-
-
 ASK = "slice long, kind int, part int, dev boolean, hashes binary, counts binary"
 ANSWER = "slice long, kind int, part int, counts binary, dev_counts binary, kinds long, tokens long"
 
@@ -74,24 +66,22 @@ def with_slices(docs: DataFrame) -> DataFrame:
 def counts_of(sliced: DataFrame, parts: int) -> DataFrame:
     """For every slice, kind of n-gram and hash range: the corpus counts of the slice's n-grams, in hash order."""
 
-    def ask(tables: Iterator[pa.RecordBatch]):
-        seen = WordHash()
-        slice_id, train, texts = None, [], []
-        for b in tables:
-            slice_id = b.column("slice")[0].as_py() if b.num_rows else slice_id
-            train += [not h for h in b.column("held_out").to_pylist()]
-            texts += b.column("text").cast(pa.binary()).to_pylist()
-        uni, bi, sizes = slice_ngrams(texts, seen)
+    def ask(key, docs: pa.Table) -> pa.Table:
+        slice_id = key[0].as_py()
+        train = [not h for h in docs.column("held_out").to_pylist()]
+        texts = docs.column("text").cast(pa.binary()).to_pylist()
+        uni, bi, sizes = slice_ngrams(texts, WordHash())
         t = np.repeat(np.array(train, bool), sizes)
         rows = []
         for kind, h in ((1, uni), (2, bi)):
-            kinds, _, n, _ = _distinct(h, t, 0)
+            kinds, inverse = np.unique(h, return_inverse=True)
+            n = np.bincount(inverse, t, len(kinds)).astype(np.int32)
             at = _ranges(kinds, parts)
             rows += [(slice_id, kind, p, slice_id % DEV == 0, kinds[at[p] : at[p + 1]].tobytes(), n[at[p] : at[p + 1]].tobytes()) for p in range(parts) if at[p] < at[p + 1]]
-        yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["slice", "kind", "part", "dev", "hashes", "counts"]), ANSWER_TYPES["ask"], preserve_index=False)
+        return pa.table([pa.array(column, f.type) for column, f in zip(zip(*rows), ASK_TYPE)], ASK_TYPE)
 
-    def answer(tables: Iterator[pa.RecordBatch]):
-        got = pa.Table.from_batches(list(tables)).to_pydict()
+    def answer(rows: pa.Table) -> pa.Table:
+        got = rows.to_pydict()
         hashes = [np.frombuffer(h, np.uint64) for h in got["hashes"]]
         counts = np.concatenate([np.frombuffer(c, np.int32) for c in got["counts"]])
         dev = np.repeat(got["dev"], [len(h) for h in hashes])
@@ -99,20 +89,26 @@ def counts_of(sliced: DataFrame, parts: int) -> DataFrame:
         total = np.bincount(inverse, counts, len(kinds)).astype(np.int64)
         held = np.bincount(inverse, counts * dev, len(kinds)).astype(np.int64)
         known, tokens, at = int((total > 0).sum()), int(total.sum()), 0
-        for i, h in enumerate(hashes):
+        counts, dev_counts = [], []
+        for h, held_out in zip(hashes, got["dev"]):
             of = inverse[at : at + len(h)]
             at += len(h)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([got["slice"][i]], pa.int64()), pa.array([got["kind"][i]], pa.int32()), pa.array([got["part"][i]], pa.int32()), pa.array([total[of].astype(np.int32).tobytes()], pa.binary()),
-                 pa.array([held[of].astype(np.int32).tobytes() if got["dev"][i] else None], pa.binary()), pa.array([0 if i else known], pa.int64()), pa.array([0 if i else tokens], pa.int64())],
-                ["slice", "kind", "part", "counts", "dev_counts", "kinds", "tokens"],
-            )
+            counts.append(total[of].astype(np.int32).tobytes())
+            dev_counts.append(held[of].astype(np.int32).tobytes() if held_out else None)
+        once = np.zeros(len(hashes), np.int64)
+        once[0] = 1
+        return pa.table(
+            {
+                "slice": rows.column("slice"), "kind": rows.column("kind"), "part": rows.column("part"), "counts": pa.array(counts, pa.binary()),
+                "dev_counts": pa.array(dev_counts, pa.binary()), "kinds": pa.array(once * known), "tokens": pa.array(once * tokens),
+            }
+        )
 
     asked = sliced.groupBy("slice").applyInArrow(ask, ASK)
     return asked.groupBy("kind", "part").applyInArrow(answer, ANSWER)
 
 
-ANSWER_TYPES = {"ask": pa.schema([("slice", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("dev", pa.bool_()), ("hashes", pa.binary()), ("counts", pa.binary())])}
+ASK_TYPE = pa.schema([("slice", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("dev", pa.bool_()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
 
 class SliceCounts:
