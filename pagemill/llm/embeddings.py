@@ -166,7 +166,7 @@ def near_pairs(found: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(a, b), a < b: classes with at least this cosine."""
     dealt = stored(shards(found), "shards")
 
-    def graph(rows: pa.Table) -> pa.Table:
+    def graph(rows):
         x, cid = unit(rows.column("x")), rows.column("cid").to_numpy()
         near = build(x)
         src = np.repeat(cid, [len(v) for v in near])
@@ -174,9 +174,9 @@ def near_pairs(found: DataFrame, cosine: float = COSINE) -> DataFrame:
         return pa.table({"src": np.concatenate([src, dst]), "dst": np.concatenate([dst, src])})
 
     edges = dealt.groupBy("shard").applyInArrow(graph, "src long, dst long").distinct()
-    lists = edges.join(dealt.select("shard", F.col("cid").alias("src")), "src").select("shard", "src", "dst")
+    lists = edges.join(dealt.select(F.col("shard").alias("of"), F.col("cid").alias("src")), "src").select("of", "src", "dst")
 
-    def run(key, rows: pa.Table, adjacent: pa.Table) -> pa.Table:
+    def run(key, rows, adjacent):
         if not rows.num_rows:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         cid = rows.column("cid").to_numpy()
@@ -203,7 +203,7 @@ def near_pairs(found: DataFrame, cosine: float = COSINE) -> DataFrame:
         near = np.einsum("ij,ij->i", x[low], x[high]) >= cosine
         return pa.table({"a": cid[low[near]], "b": cid[high[near]]})
 
-    return dealt.groupBy("shard").cogroup(lists.groupBy("shard")).applyInArrow(run, "a long, b long").distinct()
+    return dealt.groupBy("shard").cogroup(lists.groupBy("of")).applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:

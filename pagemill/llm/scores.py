@@ -66,7 +66,7 @@ def with_slices(docs: DataFrame) -> DataFrame:
 def counts_of(sliced: DataFrame, parts: int) -> DataFrame:
     """For every slice, kind of n-gram and hash range: the corpus counts of the slice's n-grams, in hash order."""
 
-    def ask(key, docs: pa.Table) -> pa.Table:
+    def ask(key, docs):
         slice_id = key[0].as_py()
         train = [not h for h in docs.column("held_out").to_pylist()]
         texts = docs.column("text").cast(pa.binary()).to_pylist()
@@ -80,7 +80,7 @@ def counts_of(sliced: DataFrame, parts: int) -> DataFrame:
             rows += [(slice_id, kind, p, slice_id % DEV == 0, kinds[at[p] : at[p + 1]].tobytes(), n[at[p] : at[p + 1]].tobytes()) for p in range(parts) if at[p] < at[p + 1]]
         return pa.table([pa.array(column, f.type) for column, f in zip(zip(*rows), ASK_TYPE)], ASK_TYPE)
 
-    def answer(rows: pa.Table) -> pa.Table:
+    def answer(rows):
         got = rows.to_pydict()
         hashes = [np.frombuffer(h, np.uint64) for h in got["hashes"]]
         counts = np.concatenate([np.frombuffer(c, np.int32) for c in got["counts"]])
@@ -152,7 +152,7 @@ def learn_weights(sliced: DataFrame, answers: DataFrame, tokens: int, dev_tokens
     and the two estimates, in fine steps; this table's size doesn't depend on the corpus, and EM runs on it."""
     left = tokens - dev_tokens
 
-    def count(key, docs: pa.Table, found: pa.Table) -> pa.Table:
+    def count(key, docs, found):
         empty = pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         if not docs.num_rows or left <= 0:
             return empty
@@ -194,7 +194,7 @@ def score_lm(docs: DataFrame) -> DataFrame:
     dev_tokens = dev.agg(F.sum(words)).first()[0] or 0
     weights = learn_weights(sliced, answers, tokens, dev_tokens, kinds)
 
-    def run(key, rows: pa.Table, found: pa.Table) -> pa.Table:
+    def run(key, rows, found):
         s = SliceCounts(rows, found)
         n = len(s.sizes)
         own = np.repeat(np.arange(n), s.sizes)
