@@ -107,7 +107,7 @@ def predict_languages(docs: DataFrame, model: Languages) -> DataFrame:
     return d.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, shares map<string,double>")
 
 
-def keep_languages(docs: DataFrame, model: Languages, least: float = 0.5) -> DataFrame:
+def keep_languages(docs: DataFrame, model: Languages, least: float = 0.4) -> DataFrame:
     """Rows with a language that makes up at least `least` of the text."""
     columns = docs.columns
 

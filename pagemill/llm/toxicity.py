@@ -86,6 +86,8 @@ def fit_machine(found: list[np.ndarray], y: np.ndarray, epochs: int = 40, rate:
     owner, at = owner[at >= 0], at[at >= 0]
     start = np.searchsorted(owner, np.arange(n + 1))
     gw, gv, gb = np.full(m.w.shape, 1e-3), np.full(m.v.shape, 1e-3), 1e-3
+    # the rarer label 1 counts more, so that the score of 0.5 lies between the labels
+    cost = np.where(y > 0, np.sqrt(max(1.0, (1 - p) / p)), 1.0)
     rng = np.random.default_rng(11)
     for _ in range(epochs):
         order = rng.permutation(n)
@@ -95,7 +97,7 @@ def fit_machine(found: list[np.ndarray], y: np.ndarray, epochs: int = 40, rate:
             row = np.repeat(np.arange(len(docs)), sizes)
             a = at[np.repeat(start[docs] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())]
             margin, total = m.margin(row, a, len(docs))
-            err = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[docs]) / len(docs)
+            err = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[docs]) * cost[docs] / len(docs)
             dw = np.bincount(a, err[row], len(m.w)) + l2 * m.w
             dv = np.stack([np.bincount(a, err[row] * (total[row, f] - m.v[a, f]), len(m.w)) for f in range(RANK)], 1) + l2 * m.v
             gw += dw**2
