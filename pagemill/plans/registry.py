@@ -2,5 +2,118 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pagemill.operators import history as H
+from pagemill.operators import pages as P
+from pagemill.sources.tables import read_table
+
+STOP = "the and for are was with that this from not but have has had you all can her his they who will one our out der die und den das ist les des une est que los las por con del".split()
+RULES = [("*.example.com", ["com"]), ("*.example.net", ["net"]), ("*.example.org", ["org", "nonprofit"]), ("*.com", ["commercial"])]
+
+
+def _on(name, f):
+    return lambda spark, sf_dir: f(read_table(spark, sf_dir, name))
+
+
+def _domain_tags(spark, sf_dir):
+    return P.domain_tags(read_table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "domain string, tags array<string>"))
+
+
+QUERIES = {
+    "u1_normalize_urls": _on("pages", P.normalize_urls),
+    "u2_dedupe_urls": _on("pages", P.dedupe_urls),
+    "u4_classify_pages": _on("pages", P.classify_pages),
+    "h1_tag_counts": _on("pages", P.tag_counts),
+    "h3_page_metadata": _on("pages", P.page_metadata),
+    "h7_page_links": _on("pages", P.page_links),
+    "h8_main_text": _on("pages", P.main_text),
+    "h18_reading_stats": _on("documents", H.reading_stats),
+    "t3_domain_tags": _domain_tags,
+    "t6_unseen_links": _on("pages", P.unseen_links),
+    "a3_tag_usage": _on("events", H.tag_usage),
+    "a4_user_summary": _on("events", H.user_summary),
+    "w4_top_tags": _on("events", H.top_tags),
+    "w9_fail_fast": _on("events", H.fail_fast),
+    "g4_keywords": _on("documents", lambda d: H.keywords(d, STOP)),
+    "n2_note_paths": _on("pages", P.note_paths),
+    "n9_vault_merge": _on("pages", lambda p: P.vault_merge(P.notes(p))),
+    "c1_responses": _on("conversations", H.responses),
+    "c2_conversation_notes": _on("conversations", H.conversation_notes),
+    "y1_daily_counts": _on("events", H.clip_counts),
+    "y1_weekly_counts": _on("events", lambda e: H.clip_counts(e, "weekly")),
+    "y3_clip_history": _on("events", H.clip_history),
+}
+
+_PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)([^?#]*)(\?[^#]*)?"
+
+
+def _norm(url: str) -> str:
+    kept = f"list_filter(string_split(regexp_replace(regexp_extract({url}, '{_PARTS}', 4), '^\\?', ''), '&'), lambda p: p <> '' AND split_part(p, '=', 1) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid'))"
+    base = f"lower(regexp_extract({url}, '{_PARTS}', 1)) || '://' || lower(regexp_extract({url}, '{_PARTS}', 2)) || regexp_replace(regexp_extract({url}, '{_PARTS}', 3), '/$', '')"
+    return f"CASE WHEN regexp_matches({url}, '{_PARTS}') THEN {base} || CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END ELSE {url} END"
+
+
+def _dec(x: str) -> str:
+    for name, char in (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{char}')"
+    return f"trim(regexp_replace({x}, '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
+
+
+_HOST = f"lower(regexp_extract(url, '{_PARTS}', 2))"
+_LAST2 = f"array_to_string(list_slice(string_split({_HOST}, '.'), -2, -1), '.')"
+_U = f"SELECT page_id, url, {_norm('url')} AS norm_url, {_HOST} AS host, {_LAST2} AS site_key FROM pages"
+_TYPE = r"CASE WHEN regexp_matches(url, '^https?://(www\.|mobile\.)?(twitter|x)\.com/') THEN 'twitter' WHEN regexp_matches(url, '^https?://(www\.)?youtube\.com/(watch|shorts)') THEN 'youtube' WHEN regexp_matches(url, '(?i)^https?://.*\.pdf(\?|$)') THEN 'pdf' ELSE 'web' END"
+_BIN = "pdf|zip|tar|gz|rar|7z|png|jpg|jpeg|gif|webp|svg|ico|mp3|mp4|avi|mov|wav|flac|doc|docx|xls|xlsx|ppt|pptx|exe|dmg|apk|app"
+
+
+def _crawl(url: str) -> str:
+    p = f"lower(regexp_extract({url}, '{_PARTS}', 3))"
+    return f"regexp_matches({url}, '(?i)^https?://') AND NOT regexp_matches({p}, '\\.({_BIN})$') AND NOT regexp_matches({p}, '^(/login|/signin|/signup|/register|/logout|/admin|/api/|/search|/tag/|/tags/)')"
+
+
+_META = f"""SELECT page_id, {_dec("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, regexp_extract(html, '(?is)<html[^>]*\\blang="([^"]*)"', 1) AS language,
+  regexp_extract(html, '(?is)<meta\\s[^>]*charset="([^"]*)"', 1) AS charset, {_dec("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS headline FROM pages"""
+_LINKS = """SELECT page_id, dst_url, CAST(min(link_pos) AS INTEGER) AS link_pos FROM (SELECT page_id, link_pos, CASE WHEN regexp_matches(h, '(?i)^https?://') THEN h WHEN starts_with(h, '/') THEN regexp_extract(url, '^[A-Za-z]+://[^/?#]+', 0) || h END AS dst_url
+  FROM (SELECT page_id, url, i - 1 AS link_pos, regexp_replace(l[i], '#.*$', '') AS h, l[i] AS raw FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"', 1) AS l FROM pages), range(1, len(l) + 1) t(i))
+  WHERE NOT regexp_matches(raw, '(?i)^(#|mailto:|tel:|javascript:)')) WHERE dst_url IS NOT NULL GROUP BY ALL"""
+_CLEAN = "regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', '', 'g')"
+_ART, _BODY = (f"regexp_extract({_CLEAN}, '(?is)<{t}\\b[^>]*>(.*?)</{t}>', 1)" for t in ("article", "body"))
+_TEXT = f"""SELECT page_id, {_dec(f"regexp_replace(CASE WHEN {_ART} <> '' THEN {_ART} ELSE {_BODY} END, '<[^>]*>', ' ', 'g')")} AS text FROM pages"""
+_NAME = f"""SELECT page_id, 'Clips/' || trim(substr(CASE WHEN n = '' THEN 'Untitled' ELSE n END, 1, 100)) AS file_path FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(title, '[\\x00-\\x1F\\x7F]', ' ', 'g'), '[<>:"/\\\\|?*]', '-', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS n FROM ({_META}))"""
+_RESP = """SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS response_no,
+  substr(trim(regexp_replace(coalesce(list_filter(string_split(coalesce(text, ''), chr(10)), lambda v: trim(v) <> '')[1], 'Response'), '^#+[ \\t]*', '')), 1, 80) AS preview, text FROM conversations WHERE role = 'assistant'"""
+_USAGE = "SELECT lower(trim(event_type)) AS tag_key, count(*) AS uses, max(ts) AS last_used, arg_min(trim(event_type), (ts, event_id)) AS tag FROM events WHERE trim(event_type) <> '' GROUP BY 1"
+
+
+def _counts(start: str) -> str:
+    return f"SELECT *, CASE WHEN saves > 999 THEN '999+' ELSE saves::VARCHAR END AS label FROM (SELECT {start} AS period_start, count(*) AS saves FROM events GROUP BY 1)"
+
+
+SQL = {
+    "u1_normalize_urls": _U,
+    "u2_dedupe_urls": f"SELECT norm_url, min(page_id) AS page_id, arg_min(url, page_id) AS url, count(*) AS copies FROM ({_U}) GROUP BY norm_url",
+    "u4_classify_pages": f"SELECT page_id, {_TYPE} AS page_type, {_crawl('url')} AS crawlable, regexp_matches(url, '(?i)^https?://') AS clippable FROM pages",
+    "h1_tag_counts": """SELECT tag, count(*) FILTER (NOT starts_with(tok, '</')) AS opened, count(*) FILTER (starts_with(tok, '</')) AS closed FROM (SELECT tok, lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) AS tag
+      FROM (SELECT unnest(regexp_extract_all(html, '(?s)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<[^>]*>|[^<]+')) AS tok FROM pages)) WHERE tag <> '' AND (starts_with(tok, '</') OR tag NOT IN ('script', 'style')) GROUP BY tag""",
+    "h3_page_metadata": _META,
+    "h7_page_links": _LINKS,
+    "h8_main_text": _TEXT,
+    "h18_reading_stats": "SELECT doc_id, w AS words, length(text)::BIGINT AS chars, greatest(1, ceil(w / 220.0))::BIGINT AS minutes FROM (SELECT *, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS w FROM documents WHERE text <> '')",
+    "t3_domain_tags": f"""SELECT DISTINCT page_id, tag, 0.8::DOUBLE AS confidence FROM (SELECT page_id, regexp_replace({_HOST}, '^www\\.', '') AS h FROM pages) JOIN (VALUES ('.example.com', 'com'), ('.example.net', 'net'), ('.example.org', 'org'), ('.example.org', 'nonprofit'), ('.com', 'commercial')) r(d, tag) ON ends_with(h, d)""",
+    "t6_unseen_links": f"SELECT dst_url, count(DISTINCT page_id) AS pages FROM (SELECT page_id, {_norm('dst_url')} AS dst_url FROM ({_LINKS}) WHERE {_crawl('dst_url')}) WHERE dst_url NOT IN (SELECT norm_url FROM ({_U})) GROUP BY 1",
+    "a3_tag_usage": _USAGE,
+    "a4_user_summary": "SELECT user_id, count(*) AS total, count(*) FILTER (value >= 50) AS succeeded, count(*) FILTER (value < 50) AS failed, max(ts) AS last_ts FROM events GROUP BY 1",
+    "w4_top_tags": f"SELECT * FROM ({_USAGE}) WHERE uses >= 2 ORDER BY uses DESC, last_used DESC, tag_key LIMIT 10",
+    "w9_fail_fast": "SELECT event_id, user_id, ts, event_type FROM (SELECT *, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM events) WHERE f = 0",
+    "g4_keywords": f"""SELECT doc_id, word, freq, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, word) AS rank FROM (SELECT doc_id, word, freq,
+      round(least((0.5::DOUBLE * ln(freq + 1.0::DOUBLE) / ln(10.0::DOUBLE) + least(length(word) / 12.0::DOUBLE, 1.0::DOUBLE) * 0.15::DOUBLE) * least(1.0::DOUBLE, 500.0::DOUBLE / total) + 0.2::DOUBLE, 1.0::DOUBLE), 6) AS score
+      FROM (SELECT *, sum(freq) OVER (PARTITION BY doc_id) AS total FROM (SELECT doc_id, word, count(*) AS freq FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9-]*')) AS word FROM documents) GROUP BY ALL))
+      WHERE length(word) >= 3 AND freq >= 2 AND word NOT IN ({", ".join(f"'{w}'" for w in STOP)}))) WHERE rank <= 8""",
+    "n2_note_paths": _NAME,
+    "n9_vault_merge": f"""SELECT file_path, arg_max(note, page_id) AS note, count(*) AS versions FROM (SELECT n.file_path, p.page_id, '---' || chr(10) || 'source: "' || replace(replace(p.url, '\\', '\\\\'), '"', '\\"') || '"' || chr(10) || 'title: "' || replace(replace(m.title, '\\', '\\\\'), '"', '\\"') || '"' || chr(10)
+      || 'type: ' || ({_TYPE}) || chr(10) || 'tags:' || chr(10) || '  - "web-clip"' || chr(10) || '---' || chr(10) || chr(10) || t.text || chr(10) AS note FROM pages p JOIN ({_META}) m USING (page_id) JOIN ({_TEXT}) t USING (page_id) JOIN ({_NAME}) n USING (page_id)) GROUP BY 1""",
+    "c1_responses": _RESP,
+    "c2_conversation_notes": f"SELECT conv_id, count(*) AS responses, string_agg('## Response ' || response_no || chr(10) || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY response_no) AS note FROM ({_RESP}) GROUP BY 1",
+    "y1_daily_counts": _counts("ts::DATE"),
+    "y1_weekly_counts": _counts("date_trunc('week', ts)::DATE"),
+    "y3_clip_history": "SELECT event_id, ts, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
+}
