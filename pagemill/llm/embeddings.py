@@ -231,19 +231,20 @@ def audit(vectors: DataFrame, result: DataFrame, every: int = 50, block: int = 2
     total = 0
     rows: list = []
 
+    def good(v) -> bool:
+        return None not in v and bool(np.isfinite(v).all() and np.any(v))
+
     def count(rows) -> int:
-        q = pd.DataFrame([(r.vec_id, r.label, r.embedding) for r in rows if r.label is not None and r.embedding], columns=["id", "label", "v"])
-        by = {k: (g.id.to_numpy(), unit(pa.array(g.v.tolist()))) for k, g in q.groupby("label")}
+        q = pd.DataFrame([(r.vec_id, r.label, r.embedding) for r in rows if r.label is not None and r.embedding and good(r.embedding)], columns=["id", "label", "v"])
+        by = {k: (g.id.to_numpy(), unit(pa.array(g.v.tolist()))) for k, g in q.groupby(["label", q.v.map(len)])}
 
         def run(batches):
             for b in batches:
-                keep = [i for i, (lb, v) in enumerate(zip(b.column("label").to_pylist(), b.column("embedding").to_pylist())) if lb in by and v and None not in v and np.isfinite(v).all() and np.any(v)]
-                b = b.take(pa.array(keep, pa.int64()))
                 n = 0
-                if b.num_rows:
-                    x = unit(b.column("embedding"))
-                    for i, (lb, vid) in enumerate(zip(b.column("label").to_pylist(), b.column("vec_id").to_pylist())):
-                        n += int(((by[lb][1] @ x[i] >= COSINE) & (by[lb][0] != vid)).sum())
+                for vid, lb, v in zip(*(b.column(c).to_pylist() for c in ("vec_id", "label", "embedding"))):
+                    if v and (lb, len(v)) in by and good(v):
+                        ids, x = by[lb, len(v)]
+                        n += int(((x @ unit(pa.array([v]))[0] >= COSINE) & (ids != vid)).sum())
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
         return vectors.select("vec_id", "label", "embedding").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0

@@ -4,7 +4,7 @@ A text is its lower-cased words and one end token. A word's probability after it
 unigram maximum-likelihood estimates and a uniform share for the unknown; the weights depend on how often the
 predecessor was seen, in buckets of doubling counts, and are learned by expectation-maximisation on training slices
 whose own counts are taken out. Null and empty texts are one end token; words are known by 64-bit hashes; a null
-doc_id is a training row (its text form is empty); repeated rows count and score as rows; extra columns are ignored; an
+doc_id counts as empty text and so is held out; repeated rows count and score as rows; extra columns are ignored; an
 empty table gives an empty result.
 
 Work is dealt out twice: documents go into slices by a hash of the row; each slice asks for the counts of its distinct
