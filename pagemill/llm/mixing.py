@@ -20,8 +20,9 @@ RANGES = 256
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> DataFrame:
     """source_key, source_size, target for (source_key, source_size), one row per source: water-filling in closed form.
 
-    Sources in the order of cap/weight; the first whose share of what is left, by weight, lies within its cap sets
-    the level for itself and all after it. The windows see one row per source, never documents."""
+    Sources in the order of cap/weight: the level of source i is what the sources before it leave, when they get their
+    caps, over the weights from i on. It rises as long as a source is at its cap and falls after, so the largest level
+    is the one at which all is dealt out. The windows see one row per source, never documents."""
     by_name = Window.orderBy(F.col("source_key").isNull(), F.col("source_key"))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1)
     s = sizes.withColumn("w", w).withColumn("cap", F.lit(float(cap)) * F.col("source_size"))
@@ -32,9 +33,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> D
         .withColumn("w_after", F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("budget", F.lit(float(share)) * F.sum("source_size").over(whole))
         .withColumn("level", (F.col("budget") - F.coalesce("cap_before", F.lit(0.0))) / F.col("w_after"))
-        .withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(whole))
+        .withColumn("level", F.max("level").over(whole))
     )
-    return s.select("source_key", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w"))).alias("target"))
+    return s.select("source_key", "source_size", F.least("cap", F.col("level") * F.col("w")).alias("target"))
 
 
 def quality_weight(text: str) -> F.Column:
@@ -92,7 +93,7 @@ w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][(row_number() OVER (ORDER BY source NULL
 a AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cb,
   sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wa, 1.5::DOUBLE * sum(source_size) OVER () AS b FROM w),
 l AS (SELECT *, (b - cb) / wa AS lv FROM a),
-t AS (SELECT source, source_size, coalesce(least(cap, min(CASE WHEN lv * w <= cap THEN lv END) OVER () * w), cap) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, max(lv) OVER () * w) AS target FROM l),
 p AS (SELECT e.*, source_size, target, sum(size) OVER (PARTITION BY e.source ORDER BY k, doc_id, g ROWS UNBOUNDED PRECEDING) AS c FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target::DOUBLE AS target,
   CAST(size * (CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END + CASE WHEN source_size > 0 AND c - size / 2.0::DOUBLE < target - floor(target / source_size) * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p

@@ -198,6 +198,24 @@ def test_mixing(docs, empty):
     assert mixing.mix_report(empty).count() == 0
 
 
+def test_targets_by_resharing(spark):
+    rng = random.Random(9)
+    for n in (1, 2, 7, 25):
+        sizes = [(None if i == 3 else f"s{i:02d}", rng.choice([0, 1, 50, 1000, 90000])) for i in range(n)]
+        got = {r.source_key: r.target for r in mixing.source_targets(spark.createDataFrame(sizes, "source_key string, source_size long")).collect()}
+        order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
+        weight = {s: (3, 1, 2)[i % 3] for i, (s, _) in enumerate(order)}
+        left, free, want = 1.5 * sum(s for _, s in sizes), dict(sizes), {}
+        while free:
+            level = left / sum(weight[s] for s in free)
+            over = [s for s in free if level * weight[s] > 2 * free[s]]
+            for s in over or list(free):
+                want[s] = 2.0 * free[s] if over else level * weight[s]
+                left -= want[s]
+                del free[s]
+        assert got == pytest.approx(want)
+
+
 def test_extraction(spark):
     page = "<html><head><title>no</title></head><body><header>top</header><nav><a href='/'>menu</a></nav><div class='ad'>buy</div><div class='post'><h1>A &amp; B</h1><p>One\n two<br>three <b>four</b><p>Five &lt;x&gt;<script>var a='</p>';</script></div><section id='comments'><p>reader words here</p></section><footer>end</footer></body></html>"
     pages = spark.createDataFrame([(1, "http://h/a", page), (2, None, page), (3, "http://h/b", None), (4, "http://h/c", ""), (1, "http://h/a", page), (5, "http://h/d", "<p>" + "long " * 50000)], "page_id long, url string, html string")
