@@ -157,7 +157,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # keys whose sets have not all come together: their sets of different components are compared with each other
     met = tried.select(F.col("a").alias("sid")).unionByName(tried.select(F.col("b").alias("sid"))).distinct()
     of = met.join(comp, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("root"))
-    member = rows.select("key", "sid").join(of, "sid").distinct()
+    # joined before the keys are spread out, so that the shuffle carries arrays of sets that met others only
+    member = sig.select("sid", "keys").join(of, "sid").select(F.explode("keys").alias("key"), "sid", "root").distinct()
     split = member.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     member = stored(member.join(split, "key"), "members")
     x, y = member.alias("x"), member.alias("y")
