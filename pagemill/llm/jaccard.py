@@ -1,98 +1,154 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact intersection of sorted arrays.
 
 A document is its set of word 4-shingles (of all words, where it has fewer). Equal sets form one class, known by a
-64-bit digest of the sorted set. Classes lie in tiles of doubling size; one whose size is within the threshold of the
-next smaller tile lies in that too. Two sets of a tile that link differ in at most d shingles, d fixed by the tile. Each
-set is split by hash into more than d parts, so that linked sets agree in a whole part: the parts' digests are the keys under
-which sets meet. Of each key the sets are compared with one of them only; where that leaves sets of a key in different
-components, these are compared with each other. A pair's bitmaps bound its overlap from above (each bit that only one
-set has is a shingle that the other lacks); pairs that can still reach the threshold are decided exactly.
-
-Documents without words have n_shingles 0 and link with nothing. Rows with the same text are linked; null doc_ids take
-part, and are the component_id only where a component has no other; an empty table gives an empty result."""
+64-bit digest of the sorted set. Spark counts in how many sets each shingle is; every set is put in the order of rising
+counts, and two sets that link share one of the first n - ceil(0.85 n) + 1 shingles of both. Those among them that no
+other set has can't be shared and are left out, so what remains, with the tile of the set's size, are the keys under
+which sets meet. Tiles double in size; a set whose size is within the threshold of the next smaller tile lies in that
+too. Of each key the sets are compared with one of them only; where that leaves sets of a key in different components,
+these are compared with each other. A pair's bitmaps bound its overlap from above (each bit that only one set has is a
+shingle that the other lacks); pairs that can still reach the threshold are decided exactly.
+
+Counting is by hash range: each slice of rows sends a range its shingles as one packed row, and gets back those that are
+in two sets or more. Documents without words have n_shingles 0 and link with nothing. Rows with the same text are linked;
+null doc_ids take part, and are the component_id only where a component has no other; an empty table gives an empty
+result."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import WordHash, components, mixed, shingles, slices, stored
+from pagemill.llm.common import WordHash, components, mixed, partitions, shingles, slices, stored
 
 K = 4
 PERCENT = 85
 BITS = 512
+RANGE_BYTES = 16 << 20  # text per hash range of shingles
 
 
 def shingle_set(text: bytes | None, seen: WordHash, k: int = K) -> np.ndarray:
     return np.unique(shingles(seen.of((text or b"").lower().split()), k))
 
 
-def differences(tile: int, percent: int = PERCENT) -> int:
-    """The most shingles in which two linked sets of a tile differ. The smaller set has less than 2 ** (tile + 1)."""
-    small = 2 ** (tile + 1) - 1
-    return (100 - percent) * (small + small * 100 // percent) // (100 + percent)
-
-
-def part_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The set's keys in its tile, and in the next smaller one if a partner may lie there."""
-    n = len(s)
-    tile = n.bit_length() - 1
-    tiles = [tile] + ([tile - 1] if tile and -(-percent * n // 100) < 2**tile else [])
-    out = []
-    for t in tiles:
-        most = differences(t, percent)
-        slack = most // 5 + 2
-        parts = most + 1 + slack
-        part = (mixed(s + np.uint64(t + 1)) % np.uint64(parts)).astype(np.int64)
-        digest = np.zeros(parts, np.uint64)
-        np.add.at(digest, part, mixed(s ^ np.uint64(0x5851F42D4C957F2D)))
-        full = np.bincount(part, minlength=parts) > 0
-        key = mixed(digest + mixed(np.arange(parts, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(t * 64 + 1)))
-        # Two sets agree in slack + 1 parts at least. If one of them has no more than `slack` empty parts, a part
-        # that isn't empty is among these, so the keys of empty parts, which many sets share, are left out.
-        out.append(key[full] if (~full).sum() <= slack else key)
-    return np.concatenate(out)
-
-
 def bitmap(s: np.ndarray) -> bytes:
     bits = np.zeros(BITS, bool)
     bits[(mixed(s) % np.uint64(BITS)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
-SIGNATURE = "doc_id long, n long, sid long, bitmap binary, keys array<long>, via array<long>"
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of an integer array, 16 bits of every number after the other, which compresses well where they are sorted."""
+    return x.view(np.uint16).reshape(len(x), -1).T.tobytes()
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """One row per document. via[i]: the first set with keys[i] in the same slice of rows, so that a key of very many
-    sets is dealt out once per slice."""
+def unplaned(raw: list[bytes], kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize // 2
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(r, np.uint16).reshape(width, -1).T).view(kind).ravel() for r in raw] or [np.zeros(0, kind)])
 
-    def run(batches):
+
+def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    return n - -(-percent * n // 100) + 1
+
+
+def tile_keys(h: np.ndarray, n: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of shingles h of sets of size n, in the sets' own tiles and in the next smaller ones where a partner may
+    lie there; and for each key the place of its shingle."""
+    tile = np.frexp(n.astype(np.float64))[1].astype(np.int64) - 1
+    lower = np.flatnonzero((tile > 0) & (-(-percent * n // 100) < 1 << tile))
+    of = np.concatenate([np.arange(len(h)), lower])
+    at = np.concatenate([tile, tile[lower] - 1])
+    return mixed(h[of] + mixed((at + 1).astype(np.uint64))), of
+
+
+DEALT = "slice long, part long, shingles binary, owners binary, counts binary"
+SIGNATURE = "doc_id long, n long, sid long, bitmap binary, keys array<long>"
+
+
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row per document; of the documents of a slice with the same set, the first one has the keys."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(partitions(docs.sparkSession), -(-size // RANGE_BYTES))
+    edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+    dealt = pa.schema([("slice", pa.int64()), ("part", pa.int64()), ("shingles", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary())])
+
+    def ask(batches):
+        """For each slice and hash range the slice's shingles, sorted, with the places of their sets; and a row, under
+        a part below 0, with the slice's documents."""
         seen = WordHash()
-        for batch, texts in slices(batches, "text"):
-            n, sid, maps, keys, via, lead, made = [], [], [], [], [], {}, {}
+        first = TaskContext.get().partitionId() << 32
+        for number, (batch, texts) in enumerate(slices(batches, "text")):
+            n, sid, maps, place, sets = [], [], [], {}, []
             for text in texts:
                 s = shingle_set(text, seen)
                 one = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
                 n.append(len(s))
                 sid.append(one)
-                if not len(s):
-                    made[one] = (b"", [], [])
-                elif one not in made:
-                    k = part_keys(s).view(np.int64).tolist()
-                    made[one] = (bitmap(s), k, [lead.setdefault(x, one) for x in k])
+                if len(s) and one not in place:
+                    place[one] = len(maps)
+                    sets.append((len(maps), s))
+                    maps.append(bitmap(s))
                 else:
-                    made[one] = (made[one][0], [], [])
-                maps.append(made[one][0])
-                keys.append(made[one][1])
-                via.append(made[one][2])
-            long_list = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, long_list), pa.array(via, long_list)], ["doc_id", "n", "sid", "bitmap", "keys", "via"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
+                    maps.append(maps[place[one]] if len(s) else b"")
+            known = pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(maps, pa.binary())], ["doc_id", "n", "sid", "bitmap"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, known.schema) as writer:
+                writer.write_batch(known)
+            rows = [(first + number, -1 - (first + number) % parts, sink.getvalue().to_pybytes(), None, None)]
+            if sets:
+                h = np.concatenate([s for _, s in sets])
+                owner = np.repeat(np.array([i for i, _ in sets], np.uint32), [len(s) for _, s in sets])
+                order = np.argsort(h)
+                h, owner = h[order], owner[order]
+                at = np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
+                h = h >> np.uint64(16)  # 48 bits are enough to count and to meet
+                rows += [(first + number, p, planes(h[at[p] : at[p + 1]])[: 6 * (at[p + 1] - at[p])], planes(owner[at[p] : at[p + 1]]), None) for p in range(parts) if at[p] < at[p + 1]]
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), dealt)], schema=dealt)
+
+    def answer(key, rows):
+        """Of each slice's shingles those that are in two sets or more, with a byte that rises with their count."""
+        if key[0].as_py() < 0:
+            return rows
+        raw = rows.column("shingles").to_pylist()
+        h = [unplaned([r + bytes(len(r) // 3)], np.uint64) for r in raw]
+        kinds, inverse, n = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
+        code = np.minimum(8 * np.log2(n), 255).astype(np.uint8)[inverse]
+        out, at = [], 0
+        for one, owners in zip(h, rows.column("owners").to_pylist()):
+            of = code[at : at + len(one)]
+            at += len(one)
+            some = of > 0
+            out.append((planes(one[some]), planes(unplaned([owners], np.uint32)[some]), of[some].tobytes()))
+        got = [pa.array(c, pa.binary()) for c in zip(*out)]
+        return pa.table([rows.column("slice"), rows.column("part"), *got], schema=dealt)
+
+    def finish(rows):
+        got = rows.to_pydict()
+        about = next(i for i, p in enumerate(got["part"]) if p < 0)
+        known = pa.ipc.open_stream(got["shingles"][about]).read_all()
+        n = known.column("n").to_numpy()
+        use = [i for i in range(rows.num_rows) if i != about]
+        h, owner = (unplaned([got[c][i] for i in use], k) for c, k in (("shingles", np.uint64), ("owners", np.uint32)))
+        code = np.frombuffer(b"".join(got["counts"][i] for i in use), np.uint8)
+        order = np.lexsort((h, code, owner))
+        h, owner = h[order], owner[order].astype(np.int64)
+        shared = np.bincount(owner, minlength=len(n))
+        # shingles that no other set has come first
+        place = n[owner] - shared[owner] + np.arange(len(h)) - np.searchsorted(owner, owner)
+        h, owner = (x[place < prefix_length(n[owner], percent)] for x in (h, owner))
+        key, of = tile_keys(h, n[owner], percent)
+        owner = owner[of]
+        order = np.lexsort((key, owner))
+        starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(n)))]).astype(np.int32)
+        keys = pa.ListArray.from_arrays(pa.array(starts), pa.array(key[order].view(np.int64)))
+        return pa.table([*known.columns, pa.chunked_array([keys])], ["doc_id", "n", "sid", "bitmap", "keys"])
+
+    asked = docs.select("doc_id", "text").mapInArrow(ask, DEALT)
+    return asked.groupBy("part").applyInArrow(answer, DEALT).groupBy("slice").applyInArrow(finish, SIGNATURE)
 
 
 def may_link(pairs: DataFrame, sig: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -146,23 +202,22 @@ def verified(pairs: DataFrame, sig: DataFrame, docs: DataFrame, percent: int = P
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     sig = stored(signatures(docs), "signatures")
-    rows = sig.select("sid", F.explode(F.arrays_zip("keys", "via")).alias("e")).select("sid", F.col("e.keys").alias("key"), F.col("e.via").alias("via"))
-    leads = rows.where("via = sid").select("key", "sid")
-    centres = leads.groupBy("key").agg(F.min("sid").alias("c"), F.max("sid").alias("m")).where("c < m").select("key", "c")
-    star = leads.join(centres, "key").where("sid <> c").select(F.col("c").alias("a"), F.col("sid").alias("b"))
-    local = rows.where("via <> sid").select(F.least("via", "sid").alias("a"), F.greatest("via", "sid").alias("b"))
-    tried = stored(star.unionByName(local).distinct(), "tried")
+    rows = sig.select("sid", F.explode("keys").alias("key")).distinct()
+    centres = rows.groupBy("key").agg(F.min("sid").alias("c"), F.max("sid").alias("m")).where("c < m").select("key", "c")
+    star = rows.join(centres, "key").where("sid <> c").select(F.col("c").alias("a"), F.col("sid").alias("b"))
+    tried = stored(star.distinct(), "tried")
     links = stored(verified(tried, sig, docs), "links")
     comp = components(links)
     # keys whose sets have not all come together: their sets of different components are compared with each other
     met = tried.select(F.col("a").alias("sid")).unionByName(tried.select(F.col("b").alias("sid"))).distinct()
     of = met.join(comp, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("root"))
     # joined before the keys are spread out, so that the shuffle carries arrays of sets that met others only
-    member = sig.select("sid", "keys").join(of, "sid").select(F.explode("keys").alias("key"), "sid", "root").distinct()
+    member = sig.where("size(keys) > 0").select("sid", "n", "keys").join(of, "sid").select(F.explode("keys").alias("key"), "sid", "n", "root").distinct()
     split = member.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     member = stored(member.join(split, "key"), "members")
     x, y = member.alias("x"), member.alias("y")
-    more = x.join(y, F.expr("x.key = y.key and x.root <> y.root and x.sid < y.sid")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    near = F.expr(f"x.key = y.key and x.root <> y.root and x.sid < y.sid and 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)")
+    more = x.join(y, near).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
     more = more.join(tried, ["a", "b"], "left_anti")
     more = stored(more, "more")
     if not more.isEmpty():
