@@ -6,7 +6,7 @@ counts, and two sets that link share one of the first n - ceil(0.85 n) + 1 shing
 other set has can't be shared and are left out, so what remains, with the tile of the set's size, are the keys under
 which sets meet. Tiles double in size; a set whose size is within the threshold of the next smaller tile lies in that
 too. Of each key the sets are compared with one of them only; where that leaves sets of a key in different components,
-these are compared with each other. A pair's bitmaps bound its overlap from above (each bit that only one set has is a
+these are compared with each other, as far as the places of the key in their orders allow a link. A pair's bitmaps bound its overlap from above (each bit that only one set has is a
 shingle that the other lacks); pairs that can still reach the threshold are decided exactly.
 
 Counting is by hash range: each slice of rows sends a range its shingles as one packed row, and gets back those that are
@@ -66,7 +66,7 @@ def tile_keys(h: np.ndarray, n: np.ndarray, percent: int = PERCENT) -> tuple[np.
 
 
 DEALT = "slice long, part long, shingles binary, owners binary, counts binary"
-SIGNATURE = "doc_id long, n long, sid long, bitmap binary, keys array<long>"
+SIGNATURE = "doc_id long, n long, sid long, bitmap binary, keys array<long>, places array<int>"
 
 
 def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -139,13 +139,14 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         shared = np.bincount(owner, minlength=len(n))
         # shingles that no other set has come first
         place = n[owner] - shared[owner] + np.arange(len(h)) - np.searchsorted(owner, owner)
-        h, owner = (x[place < prefix_length(n[owner], percent)] for x in (h, owner))
+        h, owner, place = (x[place < prefix_length(n[owner], percent)] for x in (h, owner, place))
         key, of = tile_keys(h, n[owner], percent)
         owner = owner[of]
         order = np.lexsort((key, owner))
         starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(n)))]).astype(np.int32)
         keys = pa.ListArray.from_arrays(pa.array(starts), pa.array(key[order].view(np.int64)))
-        return pa.table([*known.columns, pa.chunked_array([keys])], ["doc_id", "n", "sid", "bitmap", "keys"])
+        places = pa.ListArray.from_arrays(pa.array(starts), pa.array(place[of][order].astype(np.int32)))
+        return pa.table([*known.columns, pa.chunked_array([keys]), pa.chunked_array([places])], ["doc_id", "n", "sid", "bitmap", "keys", "places"])
 
     asked = docs.select("doc_id", "text").mapInArrow(ask, DEALT)
     return asked.groupBy("part").applyInArrow(answer, DEALT).groupBy("slice").applyInArrow(finish, SIGNATURE)
@@ -170,9 +171,16 @@ def may_link(pairs: DataFrame, sig: DataFrame, percent: int = PERCENT) -> DataFr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
 
 
+def reach(percent: int = PERCENT) -> str:
+    """SQL for two sets x and y of a key: what follows the key in their orders, and their bitmaps, leave an overlap that
+    is enough. What precedes the first key of two sets is in one of them only, so a linked pair passes at that key."""
+    lacks = [" + ".join(f"bit_count({a}.b{i} & ~{b}.b{i})" for i in range(BITS // 64)) for a, b in ("xy", "yx")]
+    bounds = ["x.n - x.place", "y.n - y.place", f"x.n - ({lacks[0]})", f"y.n - ({lacks[1]})"]
+    return " and ".join(f"{100 + percent} * ({b}) >= {percent} * (x.n + y.n)" for b in bounds)
+
+
 def verified(pairs: DataFrame, sig: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs that link, by exact intersection."""
-    pairs = stored(may_link(pairs, sig, percent), "pairs")
     sids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     wanted = sig.join(sids, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
 
@@ -206,18 +214,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     centres = rows.groupBy("key").agg(F.min("sid").alias("c"), F.max("sid").alias("m")).where("c < m").select("key", "c")
     star = rows.join(centres, "key").where("sid <> c").select(F.col("c").alias("a"), F.col("sid").alias("b"))
     tried = stored(star.distinct(), "tried")
-    links = stored(verified(tried, sig, docs), "links")
+    links = stored(verified(stored(may_link(tried, sig), "pairs"), sig, docs), "links")
     comp = components(links)
     # keys whose sets have not all come together: their sets of different components are compared with each other
     met = tried.select(F.col("a").alias("sid")).unionByName(tried.select(F.col("b").alias("sid"))).distinct()
     of = met.join(comp, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("root"))
     # joined before the keys are spread out, so that the shuffle carries arrays of sets that met others only
-    member = sig.where("size(keys) > 0").select("sid", "n", "keys").join(of, "sid").select(F.explode("keys").alias("key"), "sid", "n", "root").distinct()
+    bits = [F.expr(f"cast(conv(hex(substring(bitmap, {8 * i + 1}, 8)), 16, -10) as bigint)").alias(f"b{i}") for i in range(BITS // 64)]
+    words = [f"b{i}" for i in range(BITS // 64)]
+    member = sig.where("size(keys) > 0").select("sid", "n", "keys", "places", *bits).join(of, "sid")
+    member = member.select(F.explode(F.arrays_zip("keys", "places")).alias("e"), "sid", "n", "root", *words).select(F.col("e.keys").alias("key"), F.col("e.places").alias("place"), "sid", "n", "root", *words).dropDuplicates(["key", "sid"])
     split = member.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     member = stored(member.join(split, "key"), "members")
-    x, y = member.alias("x"), member.alias("y")
-    near = F.expr(f"x.key = y.key and x.root <> y.root and x.sid < y.sid and 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)")
-    more = x.join(y, near).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    more = member.alias("x").join(member.alias("y"), F.expr(f"x.key = y.key and x.root <> y.root and x.sid < y.sid and {reach()}"))
+    more = more.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
     more = more.join(tried, ["a", "b"], "left_anti")
     more = stored(more, "more")
     if not more.isEmpty():
