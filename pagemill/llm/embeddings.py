@@ -4,7 +4,9 @@ Equal vectors of a label form one class. Classes are dealt into clusters, each c
 clusters over LIMIT again, so that shards overlap and stay small. Every shard builds its graph: nearest neighbours,
 robust-pruned. The adjacency lists of all shards are united; in every shard a greedy search from the medoid runs for
 each vector over the united lists, then expands from what it found within reach. Pairs are checked in double precision.
-audit() measures recall against brute force.
+A search doesn't leave its shard, so the members of a component that no one shard holds are compared with each other
+once more, exactly and in blocks of rows; only the sums of links leave a block. audit() measures recall against brute
+force.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and those with a null label, link with
 nothing. Vectors of different length are never compared. Repeated rows are vectors of their own; a null vec_id takes
@@ -28,6 +30,7 @@ NEAREST = 64
 BEAM = 32
 REACH = 0.95
 LEVELS = 8
+BLOCK = 2_000
 
 
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -162,9 +165,8 @@ def search(x: np.ndarray, neighbours: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(a), np.concatenate(b)
 
 
-def near_pairs(found: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(a, b), a < b: classes with at least this cosine."""
-    dealt = stored(shards(found), "shards")
+def near_pairs(dealt: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """(a, b), a < b: classes of a shard with at least this cosine."""
 
     def graph(rows):
         x, cid = unit(rows.column("x")), rows.column("cid").to_numpy()
@@ -206,15 +208,62 @@ def near_pairs(found: DataFrame, cosine: float = COSINE) -> DataFrame:
     return dealt.groupBy("shard").cogroup(lists.groupBy("of")).applyInArrow(run, "a long, b long").distinct()
 
 
+def spread(comp: DataFrame, dealt: DataFrame) -> DataFrame:
+    """(root, n): components that no one shard holds, with their number of classes."""
+    held = dealt.join(comp, F.col("cid") == F.col("node")).groupBy("root", "shard").agg(F.count("*").alias("k"))
+    sizes = comp.groupBy("root").agg(F.count("*").alias("n"))
+    return held.groupBy("root").agg(F.max("k").alias("k")).join(sizes, "root").where("k < n").select("root", "n")
+
+
+def links_in_blocks(found: DataFrame, comp: DataFrame, wide: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+    """(a, n): for the classes of the components in `wide`, how many rows link with them, by comparing every two classes
+    of a component. A component is cut into blocks of about `block` rows, and every two of its blocks meet in a group;
+    components of one block share groups."""
+    rows = found.select("cid", "x", "size").join(comp.join(wide, "root"), F.col("cid") == F.col("node"))
+    rows = rows.withColumn("g", F.ceil(F.col("n") / block).cast("long")).withColumn("own", F.pmod(F.xxhash64("cid", F.lit(2)), F.col("g")))
+    few = wide.where(F.col("n") <= block).agg(F.sum("n")).first()[0] or 0
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    together = F.struct(F.col("root"), F.least("own", "other"), F.greatest("own", "other"))
+    shared = F.struct(F.pmod(F.xxhash64("root"), F.lit(-(-few // block) or 1)), F.lit(-1).cast("long"), F.lit(-1).cast("long"))
+    rows = rows.withColumn("meet", F.when(F.col("g") > 1, F.xxhash64(together)).otherwise(F.xxhash64(shared)))
+
+    def count(group):
+        root, own, other = (group.column(c).to_numpy() for c in ("root", "own", "other"))
+        x, size, n = unit(group.column("x")), group.column("size").to_numpy(), np.zeros(group.num_rows, np.int64)
+        # rows of the lower block, and of the higher one; a block that meets itself is both
+        order = np.lexsort((own, other + own, root))
+        cuts = np.flatnonzero(np.concatenate([[True], (np.diff(root[order]) != 0) | (np.diff((own + other)[order]) != 0), [True]]))
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            of = order[start:end]
+            low, high = of[own[of] <= other[of]], of[own[of] >= other[of]]
+            same = own[of[0]] == other[of[0]]
+            for at in range(0, len(low), 512):
+                some = low[at : at + 512]
+                near = x[some] @ x[high].T >= cosine
+                if same:
+                    near[np.arange(len(some)), np.arange(at, at + len(some))] = False
+                else:
+                    n[high] += size[some] @ near
+                n[some] += near @ size[high]
+        return pa.table({"a": group.column("cid"), "n": pa.array(n)})
+
+    counted = rows.select("meet", "root", "own", "other", "cid", "size", "x").groupBy("meet").applyInArrow(count, "a long, n long")
+    return counted.groupBy("a").agg(F.sum("n").alias("n"))
+
+
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     rows, found = classes(vectors)
     found = stored(found, "classes")
-    pairs = stored(near_pairs(found), "pairs")
+    dealt = stored(shards(found), "shards")
+    pairs = stored(near_pairs(dealt), "pairs")
     comp = components(pairs)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    wide = stored(spread(comp, dealt), "wide")
+    exact = comp.join(wide, "root").select(F.col("node").alias("a"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(exact, "a", "left_anti")
     sizes = found.select(F.col("cid").alias("b"), F.col("size").alias("n"))
     others = both.join(sizes, "b").groupBy("a").agg(F.sum("n").alias("n"))
+    others = others.unionByName(links_in_blocks(found, comp, wide))
     c = found.select("cid", "size", "vec_id").join(comp, F.col("cid") == F.col("node"), "left").select("cid", "size", "vec_id", F.coalesce("root", "cid").alias("root"))
     least = c.groupBy("root").agg(F.min("vec_id").alias("component_id"))
     c = c.join(least, "root").join(others, F.col("cid") == F.col("a"), "left")

@@ -171,6 +171,21 @@ def test_embeddings_find_what_brute_force_finds(spark):
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embeddings_link_all_of_a_large_group(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=64)
+    near = base / np.linalg.norm(base) + rng.normal(scale=0.0148, size=(3000, 64))
+    some = np.concatenate([near, rng.normal(size=(300, 64))])
+    table = spark.createDataFrame([(i, [float(v) for v in x], 0) for i, x in enumerate(some)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = embeddings.near_duplicates(table).cache()
+    x = some / np.linalg.norm(some, axis=1, keepdims=True)
+    want = (x @ x.T >= embeddings.COSINE).sum(1) - 1
+    assert want.sum() > 5_000_000
+    assert {r.vec_id: r.n_links for r in got.collect()} == dict(enumerate(want.tolist()))
+    assert len({r.component_id for r in got.where("vec_id < 3000").collect()}) == 1
+    assert embeddings.audit(table, got, every=500) == 1
+
+
 def test_url_rules(spark):
     urls = [None, "", "x", "http://a.NET/q", "http://a.net", "https://www.example.net/en/1?x", "http://notexample.net/en/", "http://m.example.com/de/", "http://example.org/fr/#a", "http://spam.org/x", "http://evil.com/x.net/y"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
