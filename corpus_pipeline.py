@@ -19,8 +19,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return jaccard.keep_one(docs)
+    """One document of each group of near copies, by five-word shingles and a similarity of 0.8 or more."""
+    return jaccard.keep_one(docs, 5, 80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

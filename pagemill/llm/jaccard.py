@@ -43,7 +43,7 @@ def bitmap(s: np.ndarray) -> bytes:
 
 def planes(x: np.ndarray) -> bytes:
     """Bytes of an integer array, 16 bits of every number after the other, which compresses well where they are sorted."""
-    return x.view(np.uint16).reshape(len(x), -1).T.tobytes()
+    return x.view(np.uint16).reshape(len(x), x.dtype.itemsize // 2).T.tobytes()
 
 
 def unplaned(raw: list[bytes], kind: type) -> np.ndarray:
@@ -69,7 +69,7 @@ DEALT = "slice long, part long, shingles binary, owners binary, counts binary"
 SIGNATURE = "doc_id long, n long, sid long, bitmap binary, keys array<long>, places array<int>"
 
 
-def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def signatures(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """One row per document; of the documents of a slice with the same set, the first one has the keys."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(partitions(docs.sparkSession), -(-size // RANGE_BYTES))
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         for number, (batch, texts) in enumerate(slices(batches, "text")):
             n, sid, maps, place, sets = [], [], [], {}, []
             for text in texts:
-                s = shingle_set(text, seen)
+                s = shingle_set(text, seen, k)
                 one = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
                 n.append(len(s))
                 sid.append(one)
@@ -132,7 +132,7 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         known = pa.ipc.open_stream(got["shingles"][about]).read_all()
         n = known.column("n").to_numpy()
         use = [i for i in range(rows.num_rows) if i != about]
-        h, owner = (unplaned([got[c][i] for i in use], k) for c, k in (("shingles", np.uint64), ("owners", np.uint32)))
+        h, owner = (unplaned([got[c][i] for i in use], kind) for c, kind in (("shingles", np.uint64), ("owners", np.uint32)))
         code = np.frombuffer(b"".join(got["counts"][i] for i in use), np.uint8)
         order = np.lexsort((h, code, owner))
         h, owner = h[order], owner[order].astype(np.int64)
@@ -179,7 +179,7 @@ def reach(percent: int = PERCENT) -> str:
     return " and ".join(f"{100 + percent} * ({b}) >= {percent} * (x.n + y.n)" for b in bounds)
 
 
-def verified(pairs: DataFrame, sig: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verified(pairs: DataFrame, sig: DataFrame, docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """The pairs that link, by exact intersection."""
     sids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     wanted = sig.join(sids, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
@@ -187,7 +187,7 @@ def verified(pairs: DataFrame, sig: DataFrame, docs: DataFrame, percent: int = P
     def sets(batches):
         seen = WordHash()
         for batch, texts in slices(batches, "text"):
-            s = [shingle_set(t, seen).tobytes() for t in texts]
+            s = [shingle_set(t, seen, k).tobytes() for t in texts]
             same = pa.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) == sid for x, sid in zip(s, batch.column("sid").to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(s, pa.binary())], ["sid", "s"]).filter(same)
 
@@ -207,14 +207,14 @@ def verified(pairs: DataFrame, sig: DataFrame, docs: DataFrame, percent: int = P
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    sig = stored(signatures(docs), "signatures")
+    sig = stored(signatures(docs, k, percent), "signatures")
     rows = sig.select("sid", F.explode("keys").alias("key")).distinct()
     centres = rows.groupBy("key").agg(F.min("sid").alias("c"), F.max("sid").alias("m")).where("c < m").select("key", "c")
     star = rows.join(centres, "key").where("sid <> c").select(F.col("c").alias("a"), F.col("sid").alias("b"))
     tried = stored(star.distinct(), "tried")
-    links = stored(verified(stored(may_link(tried, sig), "pairs"), sig, docs), "links")
+    links = stored(verified(stored(may_link(tried, sig, percent), "pairs"), sig, docs, k, percent), "links")
     comp = components(links)
     # keys whose sets have not all come together: their sets of different components are compared with each other
     met = tried.select(F.col("a").alias("sid")).unionByName(tried.select(F.col("b").alias("sid"))).distinct()
@@ -226,12 +226,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     member = member.select(F.explode(F.arrays_zip("keys", "places")).alias("e"), "sid", "n", "root", *words).select(F.col("e.keys").alias("key"), F.col("e.places").alias("place"), "sid", "n", "root", *words).dropDuplicates(["key", "sid"])
     split = member.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     member = stored(member.join(split, "key"), "members")
-    more = member.alias("x").join(member.alias("y"), F.expr(f"x.key = y.key and x.root <> y.root and x.sid < y.sid and {reach()}"))
+    more = member.alias("x").join(member.alias("y"), F.expr(f"x.key = y.key and x.root <> y.root and x.sid < y.sid and {reach(percent)}"))
     more = more.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
     more = more.join(tried, ["a", "b"], "left_anti")
     more = stored(more, "more")
     if not more.isEmpty():
-        comp = components(links.unionByName(verified(more, sig, docs)))
+        comp = components(links.unionByName(verified(more, sig, docs, k, percent)))
     placed = sig.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("d"))
     placed = placed.join(comp, F.col("sid") == F.col("node"), "left").select("sid", "d", F.coalesce("root", "sid").alias("root"))
     least = placed.groupBy("root").agg(F.min("d").alias("component_id"))
@@ -240,11 +240,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """One row of docs per component: the one with the component's id, of rows with equal ids the one with the
     smallest text. Rows without words are kept."""
     order = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    parts = jaccard_components(docs).where("n_shingles = 0 or doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_id"), (F.col("n_shingles") == 0).alias("_empty"))
+    parts = jaccard_components(docs, k, percent).where("n_shingles = 0 or doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_id"), (F.col("n_shingles") == 0).alias("_empty"))
     keep = parts.groupBy("_id").agg(F.max("_empty").alias("_empty"), F.min("_empty").alias("_some"))
     j = docs.join(keep, F.expr("doc_id <=> _id"))
     blank = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) == 0

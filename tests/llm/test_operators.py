@@ -84,6 +84,19 @@ def test_jaccard_is_brute_force(docs, empty):
     assert sorted(full, key=str) == sorted({c for (_, n, c) in want if n}, key=str)
 
 
+def test_pipeline_drops_copies_between_thresholds(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:330])), (3, " ".join(words[:300])), (4, "some other words that stand alone here")]
+    some = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.component_id for r in jaccard.jaccard_components(some).collect()) == [1, 2, 2, 4]
+    some = some.where("doc_id <> 3")
+    assert {r.doc_id for r in jaccard.keep_one(some).collect()} == {1, 2, 4}
+    assert {r.doc_id for r in corpus_pipeline.dedup_stage(spark, some, "").collect()} == {1, 4}
+    assert jaccard.planes(np.zeros(0, np.uint64)) == b""
+
+
 def test_bitmap_bounds_overlap():
     rng = np.random.default_rng(1)
     for _ in range(50):
