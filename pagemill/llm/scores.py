@@ -2,12 +2,13 @@
 
 A text is its lower-cased words and one end token. A word's probability after its predecessor mixes the bigram and
 unigram maximum-likelihood estimates and a uniform share for the unknown; the weights depend on how often the
-predecessor was seen, in buckets of doubling counts, and are learned by expectation-maximisation on training slices
-whose own counts are taken out. Null and empty texts are one end token; words are known by 64-bit hashes; a null
+predecessor was seen, in buckets of doubling counts, and are learned by expectation-maximisation on one in ten of the
+training documents, by hash, whose own counts are taken out (a table too small to have such a document keeps the weights
+of the start). Null and empty texts are one end token; words are known by 64-bit hashes; a null
 doc_id counts as empty text and so is held out; repeated rows count and score as rows; extra columns are ignored; an
 empty table gives an empty result.
 
-Work is dealt out twice: documents go into slices by a hash of the row; each slice asks for the counts of its distinct
+Work is dealt out twice: documents go into slices by a hash of the row, those for the weights into slices of their own; each slice asks for the counts of its distinct
 n-grams as packed arrays, by hash range. A hash range sums up what all slices counted and answers each slice."""
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ SLICE = 6 << 20
 LEVELS = 16  # context-frequency buckets
 STEPS = 4  # histogram steps per factor 2
 BINS = 40 * STEPS
-DEV = 10  # one slice in so many is held out for the weights
+DEV = 10  # one document in so many is held out for the weights, in slices with numbers below 0
 ROUNDS = 60
 
 
@@ -59,8 +60,9 @@ def with_slices(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // SLICE))
     spread = F.xxhash64("doc_id", "text", F.lit(1))
+    dev = F.pmod(F.xxhash64("doc_id", "text", F.lit(2)), F.lit(DEV)) == 0
     d = docs.select("doc_id", "text", (fold("doc_id", 10) == 0).alias("held_out"))
-    return d.withColumn("slice", F.pmod(spread, F.lit(n)).cast("long"))
+    return d.withColumn("slice", F.when(dev, -1 - F.pmod(spread, F.lit(-(-n // DEV)))).otherwise(F.pmod(spread, F.lit(n))).cast("long"))
 
 
 def counts_of(sliced: DataFrame, parts: int) -> DataFrame:
@@ -77,7 +79,7 @@ def counts_of(sliced: DataFrame, parts: int) -> DataFrame:
             kinds, inverse = np.unique(h, return_inverse=True)
             n = np.bincount(inverse, t, len(kinds)).astype(np.int32)
             at = _ranges(kinds, parts)
-            rows += [(slice_id, kind, p, slice_id % DEV == 0, kinds[at[p] : at[p + 1]].tobytes(), n[at[p] : at[p + 1]].tobytes()) for p in range(parts) if at[p] < at[p + 1]]
+            rows += [(slice_id, kind, p, slice_id < 0, kinds[at[p] : at[p + 1]].tobytes(), n[at[p] : at[p + 1]].tobytes()) for p in range(parts) if at[p] < at[p + 1]]
         return pa.table([pa.array(column, f.type) for column, f in zip(zip(*rows), ASK_TYPE)], ASK_TYPE)
 
     def answer(rows):
@@ -163,7 +165,7 @@ def learn_weights(sliced: DataFrame, answers: DataFrame, tokens: int, dev_tokens
         cells, n = np.unique(cell, return_counts=True)
         return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    dev = F.col("slice") % DEV == 0
+    dev = F.col("slice") < 0
     held = sliced.where(dev).groupBy("slice").cogroup(answers.where(dev).groupBy("slice")).applyInArrow(count, "cell long, n long")
     rows = held.groupBy("cell").agg(F.sum("n").alias("n")).toPandas().sort_values("cell")
     cell, n = rows.cell.to_numpy(np.int64), rows.n.to_numpy(np.float64)
@@ -188,8 +190,8 @@ def score_lm(docs: DataFrame) -> DataFrame:
     answers = stored(counts_of(sliced, partitions(docs.sparkSession)), "counts")
     first = answers.where("kind = 1").agg(F.sum("kinds"), F.sum("tokens")).first()
     kinds, tokens = first[0] or 0, first[1] or 0
-    # tokens that the held-out slices themselves hold
-    dev = sliced.where((F.col("slice") % DEV == 0) & ~F.col("held_out"))
+    # tokens of the training documents that the weights are learned on
+    dev = sliced.where((F.col("slice") < 0) & ~F.col("held_out"))
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1
     dev_tokens = dev.agg(F.sum(words)).first()[0] or 0
     weights = learn_weights(sliced, answers, tokens, dev_tokens, kinds)

@@ -122,6 +122,17 @@ def test_scores(docs, empty):
     assert scores.score_lm(empty).count() == 0
 
 
+def test_weights_are_learned_at_small_sizes(docs, monkeypatch):
+    found = []
+    learn = scores.learn_weights
+    monkeypatch.setattr(scores, "learn_weights", lambda *a: found.append(learn(*a)) or found[0])
+    assert scores.score_lm(docs).count() == docs.count()
+    start = np.tile([0.4, 0.5, 0.1], (scores.LEVELS, 1))
+    start[0] = [0, 0.9, 0.1]
+    assert (np.abs(found[0] - start).max(1) > 0.05).sum() >= 3
+    assert np.allclose(found[0].sum(1), 1)
+
+
 def test_classifiers(spark, docs, empty):
     labels = docs.where("doc_id is not null").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic")).distinct()
     for fit, score in ((quality.fit_quality, quality.score_quality), (toxicity.fit_toxicity, toxicity.score_toxicity)):
