@@ -22,6 +22,7 @@ from pagemill.llm.common import WordHash, fold, mixed, partitions, stored
 
 END = b"\n"  # no word holds it
 SLICE = 6 << 20
+RANGE_BYTES = 16 << 20  # text per hash range of n-grams
 LEVELS = 16  # context-frequency buckets
 STEPS = 4  # histogram steps per factor 2
 BINS = 40 * STEPS
@@ -56,8 +57,7 @@ def _ranges(kinds: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(kinds, edges), [len(kinds)]])
 
 
-def with_slices(docs: DataFrame) -> DataFrame:
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def with_slices(docs: DataFrame, size: int) -> DataFrame:
     n = max(1, -(-size // SLICE))
     spread = F.xxhash64("doc_id", "text", F.lit(1))
     dev = F.pmod(F.xxhash64("doc_id", "text", F.lit(2)), F.lit(DEV)) == 0
@@ -186,8 +186,9 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def score_lm(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-    sliced = with_slices(docs)
-    answers = stored(counts_of(sliced, partitions(docs.sparkSession)), "counts")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sliced = with_slices(docs, size)
+    answers = stored(counts_of(sliced, max(partitions(docs.sparkSession), -(-size // RANGE_BYTES))), "counts")
     first = answers.where("kind = 1").agg(F.sum("kinds"), F.sum("tokens")).first()
     kinds, tokens = first[0] or 0, first[1] or 0
     # tokens of the training documents that the weights are learned on

@@ -133,6 +133,17 @@ def test_weights_are_learned_at_small_sizes(docs, monkeypatch):
     assert np.allclose(found[0].sum(1), 1)
 
 
+def test_hash_ranges_follow_the_text(docs, monkeypatch):
+    used = []
+    counts = scores.counts_of
+    monkeypatch.setattr(scores, "counts_of", lambda sliced, parts: used.append(parts) or counts(sliced, parts))
+    want = Counter((r.doc_id, round(r.score, 6)) for r in scores.score_lm(docs).collect())
+    monkeypatch.setattr(scores, "RANGE_BYTES", 1000)
+    assert Counter((r.doc_id, round(r.score, 6)) for r in scores.score_lm(docs).collect()) == want
+    size = sum(len((r.text or "").encode()) for r in docs.collect())
+    assert used == [4, -(-size // 1000)] and used[1] > 4
+
+
 def test_classifiers(spark, docs, empty):
     labels = docs.where("doc_id is not null").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic")).distinct()
     for fit, score in ((quality.fit_quality, quality.score_quality), (toxicity.fit_toxicity, toxicity.score_toxicity)):
