@@ -22,6 +22,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pagemill.llm.common import WordHash, components, mixed, partitions, shingles, slices, stored
 
@@ -207,8 +208,8 @@ def verified(pairs: DataFrame, sig: DataFrame, docs: DataFrame, k: int = K, perc
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
+def placed_rows(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, sid, root, component_id for every row of docs: sid is the set's digest, root the component's."""
     sig = stored(signatures(docs, k, percent), "signatures")
     rows = sig.select("sid", F.explode("keys").alias("key")).distinct()
     centres = rows.groupBy("key").agg(F.min("sid").alias("c"), F.max("sid").alias("m")).where("c < m").select("key", "c")
@@ -235,19 +236,36 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> D
     placed = sig.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("d"))
     placed = placed.join(comp, F.col("sid") == F.col("node"), "left").select("sid", "d", F.coalesce("root", "sid").alias("root"))
     least = placed.groupBy("root").agg(F.min("d").alias("component_id"))
-    named = placed.join(least, "root").select("sid", "component_id")
+    named = placed.join(least, "root").select("sid", "root", "component_id")
     out = sig.select("doc_id", "n", "sid").join(named, "sid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "sid", "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs."""
+    return placed_rows(docs, k, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def digests(docs: DataFrame, k: int = K) -> DataFrame:
+    """The rows of docs with _sid, their set's digest; null for rows without words."""
+
+    def run(batches):
+        seen = WordHash()
+        for batch, texts in slices(batches, "text"):
+            sets = [shingle_set(t, seen, k) for t in texts]
+            sid = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, sid], [*batch.schema.names, "_sid"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_sid", LongType())]))
 
 
 def keep_one(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """One row of docs per component: the one with the component's id, of rows with equal ids the one with the
-    smallest text. Rows without words are kept."""
-    order = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    parts = jaccard_components(docs, k, percent).where("n_shingles = 0 or doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_id"), (F.col("n_shingles") == 0).alias("_empty"))
-    keep = parts.groupBy("_id").agg(F.max("_empty").alias("_empty"), F.min("_empty").alias("_some"))
-    j = docs.join(keep, F.expr("doc_id <=> _id"))
-    blank = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) == 0
-    empties = j.where(blank & F.col("_empty")).select(*docs.columns)
-    full = j.where(~blank & ~F.col("_some")).groupBy("doc_id").agg(F.min_by(order, "text").alias("_row")).select("_row.*")
+    """One row of docs per component: the one with the smallest doc_id (null only where there is no other), of those
+    the one with the smallest text. Rows without words are kept."""
+    roots = placed_rows(docs, k, percent).where("n_shingles > 0").select(F.col("sid").alias("_sid"), F.col("root").alias("_root")).distinct()
+    rows = digests(docs, k)
+    empties = rows.where("_sid is null").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text")
+    full = rows.where("_sid is not null").join(roots, "_sid").groupBy("_root").agg(F.min_by(row, order).alias("_row")).select("_row.*")
     return empties.unionByName(full)

@@ -97,6 +97,13 @@ def test_pipeline_drops_copies_between_thresholds(spark):
     assert jaccard.planes(np.zeros(0, np.uint64)) == b""
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a), (None, b), (7, c), (7, d), (8, c), (9, d + " more"), (None, d), (None, ""), (7, None), (7, c)]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(None, a), (None, b), (7, c), (7, d), (None, ""), (7, None)])
+
+
 def test_bitmap_bounds_overlap():
     rng = np.random.default_rng(1)
     for _ in range(50):
