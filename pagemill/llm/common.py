@@ -28,12 +28,14 @@ def fold(key: str | Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where it is unset, a session on one machine
+    gets a temporary one, as in tests; on a cluster that is an error, as executors would write to folders of their own."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="pagemill-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
 
@@ -47,13 +49,26 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+_steps: list[tuple[SparkSession, str]] = []
+
+
+def release() -> None:
+    """Delete all stored steps. A long session calls it when it has written out the results that read them; else they go
+    when the interpreter ends."""
+    while _steps:
+        _remove(*_steps.pop())
+
+
+atexit.register(release)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a step to the shared folder and read it back, so that a lost executor costs no recomputation of
-    what lies before. The files go when the interpreter ends."""
+    what lies before. See release() for the end of the files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagemill-{label}-{uuid.uuid4().hex}"
+    _steps.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -110,7 +125,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node that can be reached.
 
     Star contraction: in each round every node's larger neighbours, then its smaller ones, are hung on the
-    smallest neighbour. Every step is a grouping or a join, and each round is checkpointed."""
+    smallest neighbour. Every step is a grouping or a join, and each round is checkpointed. The number of rounds rises
+    with the logarithm of the longest chain; a run that isn't done after `rounds` raises an error."""
     cur = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     shared_dir(edges.sparkSession)
     cur = cur.checkpoint()
@@ -134,5 +150,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .distinct()
         )
         cur = small.checkpoint()
+    else:
+        raise RuntimeError(f"components: not done after {rounds} rounds")
     tops = cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(tops)
