@@ -1,13 +1,17 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows, multi-index Hamming blocks, exact check.
 
 Words are lower-cased (A-Z), punctuation at their ends is cut, empty words fall out. Items and windows are sets of
-5-word shingles (of all words, where an item has fewer), weighted by rarity among the items. A match is a window that
-has at least 0.8 of its item's weight. Such a window shares a shingle with the item, so windows are laid where a
-document's shingle is one of an item; each gets a fingerprint, and is compared with the items of its length within
-RADIUS bits. The 64 bits are split into 8 bytes: within 23 bits, one byte differs in 2 bits at most, so the tables of
-near bytes give every item within the radius. Null and empty texts and items match nothing; repeated items and rows are
-matched each; an empty benchmark matches nothing; a null doc_id is carried on. Items come in blocks of BLOCK rows, each
-of which reads all documents."""
+5-word shingles (of all words, where an item has fewer), weighted by rarity among all items, which Spark counts. A match
+is a window that has at least 0.8 of its item's weight. Such a window shares a shingle with the item, so windows are laid
+where a document's shingle is one of an item; each gets a fingerprint, and is compared with the items of its length
+within RADIUS bits. The 64 bits are split into 8 bytes: within 31 bits, one byte differs in 3 bits at most, so the
+tables of near bytes give every item within the radius. The tests measure what the radius loses against the exact check.
+
+Null and empty texts and items match nothing; very long texts are taken whole, a piece of their windows at a time;
+repeated items and rows are matched each; there is nothing to tie, as every match is returned; an empty table or
+benchmark matches nothing; a null doc_id is carried on; extra columns are ignored by contaminated and kept by
+decontaminate, whatever their names. Items go to the tasks in blocks bounded in rows and bytes, which don't change any
+result; a benchmark over one block costs another pass per block."""
 
 from __future__ import annotations
 
@@ -18,13 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import WordHash, shingles, slices
+from pagemill.llm.common import WordHash, shingles, slices, stored
 from pagemill.llm.toxicity import EDGES
 
 K = 5
 SIMILAR = 0.8
-RADIUS = 23
-BLOCK = 5_000
+RADIUS = 31
+BLOCK = 50_000  # items
+BLOCK_BYTES = 32 << 20  # of their word hashes
+PLACES = 1 << 20  # places of shingles in items that are looked at at once
+SPAN = 1 << 16  # shingles of a document whose running sums are held at once
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -53,32 +60,42 @@ def pack(sums: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """Items of one shingle length, by their number of words."""
-
-    def __init__(self, k: int, ids: list[int], words: list[np.ndarray]):
-        self.k, self.ids = k, ids
-        sets = [np.unique(shingles(w, k)) for w in words]
-        flat = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        self.known, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
-        self.weight = np.log1p(len(sets) / df)
-        self.other = float(np.log1p(len(sets)))
-        self.total = np.bincount(owner, self.weight[inverse], len(sets))
-        self.sets = [self.known.searchsorted(s) for s in sets]
-        # every place of a known shingle in an item: item and offset, by shingle
+    """Items of one shingle length, by their number of words. df: in how many of the `total` items of this shingle
+    length each of the sorted shingles `known` is."""
+
+    def __init__(self, k: int, ids: list[int], words: list[np.ndarray], known: np.ndarray, df: np.ndarray, total: int, radius: int = RADIUS):
+        self.k, self.ids, self.known, self.radius = k, ids, known, radius
         runs = [shingles(w, k) for w in words]
-        where = np.concatenate([self.known.searchsorted(r) for r in runs])
+        self.weight = np.log1p(total / df)
+        self.other = float(np.log1p(total))
+        self.sets = [known.searchsorted(np.unique(r)) for r in runs]
+        self.total = np.array([self.weight[s].sum() for s in self.sets])
+        # every place of a known shingle in an item: item and offset, by shingle
+        where = np.concatenate([known.searchsorted(r) for r in runs])
         order = np.argsort(where, kind="stable")
         self.offset = np.concatenate([np.arange(len(r)) for r in runs])[order]
         self.length = np.repeat([len(w) for w in words], [len(r) for r in runs])[order]
-        self.begin = np.searchsorted(where[order], np.arange(len(self.known) + 1))
+        self.begin = np.searchsorted(where[order], np.arange(len(known) + 1))
         self.by_length = {}
         for n in sorted({len(w) for w in words}):
             of = [i for i, w in enumerate(words) if len(w) == n]
-            prints = np.concatenate([pack(fingerprint_sums(runs[i], self.weight[self.known.searchsorted(runs[i])])[-1:]) for i in of])
-            near = [[np.flatnonzero(POPCOUNT[prints[:, b] ^ v] <= RADIUS // 8) for v in range(256)] for b in range(8)]
+            prints = np.concatenate([pack(fingerprint_sums(runs[i], self.weight[known.searchsorted(runs[i])])[-1:]) for i in of])
+            near = [[np.flatnonzero(POPCOUNT[prints[:, b] ^ v] <= radius // 8) for v in range(256)] for b in range(8)]
             self.by_length[n] = (np.array(of), prints, near)
 
+    def windows(self, places: np.ndarray, at: np.ndarray, n_words: int) -> np.ndarray:
+        """(length, begin) of the item-sized windows around the places of known shingles."""
+        many = self.begin[at[places] + 1] - self.begin[at[places]]
+        upto, out, i = np.cumsum(many), [], 0
+        while i < len(places):
+            stop = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + PLACES, "right")))
+            m = many[i:stop]
+            entry = np.repeat(self.begin[at[places[i:stop]]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            start = np.repeat(places[i:stop], m) - self.offset[entry]
+            out.append(np.unique(np.stack([np.clip(start, 0, n_words), self.length[entry]], 1), axis=0))
+            i = stop
+        return np.unique(np.concatenate(out), axis=0)[:, ::-1]
+
     def matches(self, words: np.ndarray) -> dict[int, float]:
         """Index of each matching item and its best similarity."""
         if len(words) < self.k:
@@ -89,21 +106,20 @@ class Items:
         places = np.flatnonzero(hit)
         if not len(places):
             return {}
-        many = self.begin[at[places] + 1] - self.begin[at[places]]
-        entry = np.repeat(self.begin[at[places]] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        start = np.repeat(places, many) - self.offset[entry]
-        windows = np.unique(np.stack([self.length[entry], np.clip(start, 0, len(words))], 1), axis=0)
-        sums = fingerprint_sums(h, np.where(hit, self.weight[at], self.other))
         out: dict[int, float] = {}
-        for n, begin in windows:
+        sums, low, high = np.zeros((1, 64)), 0, 0
+        for n, begin in self.windows(places, at, len(words)):
             end = min(begin + n - self.k + 1, len(h))
             if end <= begin:
                 continue
+            if begin < low or end > high:  # windows come in the order of their begin
+                low, high = begin, min(len(h), max(end, begin + SPAN))
+                sums = fingerprint_sums(h[low:high], np.where(hit[low:high], self.weight[at[low:high]], self.other))
             inside = np.unique(at[begin:end][hit[begin:end]])
             of, prints, near = self.by_length[int(n)]
-            print_ = pack((sums[end] - sums[begin])[None])[0]
+            print_ = pack((sums[end - low] - sums[begin - low])[None])[0]
             found = np.unique(np.concatenate([near[b][print_[b]] for b in range(8)]))
-            found = found[POPCOUNT[prints[found] ^ print_].sum(1) <= RADIUS]
+            found = found[POPCOUNT[prints[found] ^ print_].sum(1) <= self.radius]
             for i in of[found]:
                 shared = np.intersect1d(inside, self.sets[i], assume_unique=True)
                 similar = self.weight[shared].sum() / self.total[i]
@@ -112,26 +128,54 @@ class Items:
         return out
 
 
+def counted_items(benchmark: DataFrame) -> DataFrame:
+    """item_id, k, words and the item's distinct shingles with the number of items that have them, for every item with
+    words. The counts are over the whole benchmark."""
+
+    def hashed(batches):
+        seen = PlainHash()
+        for batch, texts in slices(batches, "text"):
+            words = [plain_words(t, seen) for t in texts]
+            k = [min(K, len(w)) for w in words]
+            rows = pa.RecordBatch.from_arrays([batch.column("row"), batch.column("item_id"), pa.array(k, pa.int32()), pa.array([w.tobytes() for w in words], pa.binary())], ["row", "item_id", "k", "words"])
+            yield rows.filter(pa.array([n > 0 for n in k], pa.bool_()))
+
+    def spread(batches):
+        for batch in batches:
+            for row, k, raw in zip(*(batch.column(c).to_pylist() for c in ("row", "k", "words"))):
+                h = np.unique(shingles(np.frombuffer(raw, np.uint64), k)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(h), pa.int64()), pa.array([k] * len(h), pa.int32()), pa.array(h)], ["row", "k", "h"])
+
+    items = benchmark.select(F.monotonically_increasing_id().alias("row"), F.col("item_id").cast("long").alias("item_id"), "text")
+    items = stored(items.mapInArrow(hashed, "row long, item_id long, k int, words binary"), "items")
+    each = items.mapInArrow(spread, "row long, k int, h long")
+    df = each.groupBy("k", "h").agg(F.count("*").alias("df"))
+    of = each.join(df, ["k", "h"]).groupBy("row").agg(F.collect_list(F.struct("h", "df")).alias("shingles"))
+    return stored(items.join(of, "row").select("item_id", "k", "words", F.col("shingles.h").alias("h"), F.col("shingles.df").alias("df")), "counted")
+
+
 def item_blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[list[Items]]:
-    """The benchmark, `block` rows at a time; each block is small enough to go with the tasks."""
+    """The benchmark in blocks that are small enough to go with the tasks."""
+    items = counted_items(benchmark)
+    totals = {r.k: r["count"] for r in items.groupBy("k").count().collect()}
     rows: list = []
-    seen = PlainHash()
 
     def built():
-        groups: dict[int, tuple[list, list]] = {}
-        for item, text in rows:
-            words = plain_words(text.encode() if text else None, seen)
-            if len(words):
-                ids, of = groups.setdefault(min(K, len(words)), ([], []))
-                ids.append(item)
-                of.append(words)
-        return [Items(k, *g) for k, g in sorted(groups.items())]
-
-    for row in benchmark.select("item_id", "text").toLocalIterator():
+        out = []
+        for k in sorted({r.k for r in rows}):
+            of = [r for r in rows if r.k == k]
+            known, first = np.unique(np.array([h for r in of for h in r.h], np.int64).view(np.uint64), return_index=True)
+            df = np.array([n for r in of for n in r.df], np.int64)[first]
+            out.append(Items(k, [r.item_id for r in of], [np.frombuffer(r.words, np.uint64) for r in of], known, df, totals[k]))
+        return out
+
+    size = 0
+    for row in items.toLocalIterator():
         rows.append(row)
-        if len(rows) == block:
+        size += len(row.words)
+        if len(rows) == block or size >= BLOCK_BYTES:
             yield built()
-            rows = []
+            rows, size = [], 0
     if rows:
         yield built()
 
