@@ -5,11 +5,12 @@ unigram maximum-likelihood estimates and a uniform share for the unknown; the we
 predecessor was seen, in buckets of doubling counts, and are learned by expectation-maximisation on one in ten of the
 training documents, by hash, whose own counts are taken out (a table too small to have such a document keeps the weights
 of the start). Null and empty texts are one end token; words are known by 64-bit hashes; a null
-doc_id counts as empty text and so is held out; repeated rows count and score as rows; extra columns are ignored; an
-empty table gives an empty result.
+doc_id counts as empty text and so is held out; repeated rows count and score as rows; very long texts are taken whole;
+there is nothing to tie; extra columns are ignored, whatever their names; an empty table gives an empty result.
 
-Work is dealt out twice: documents go into slices by a hash of the row, those for the weights into slices of their own; each slice asks for the counts of its distinct
-n-grams as packed arrays, by hash range. A hash range sums up what all slices counted and answers each slice."""
+Work is dealt out twice: documents go into slices by a hash of the row, those for the weights into slices of their own;
+each slice asks for the counts of its distinct n-grams as packed arrays, by hash range. A hash range sums up, in 64
+bits, what all slices counted and answers each slice. Slices and ranges are bounded by bytes and rows."""
 
 from __future__ import annotations
 
@@ -22,6 +23,7 @@ from pagemill.llm.common import WordHash, fold, mixed, partitions, stored
 
 END = b"\n"  # no word holds it
 SLICE = 6 << 20
+SLICE_ROWS = 100_000
 RANGE_BYTES = 16 << 20  # text per hash range of n-grams
 LEVELS = 16  # context-frequency buckets
 STEPS = 4  # histogram steps per factor 2
@@ -57,8 +59,17 @@ def _ranges(kinds: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(kinds, edges), [len(kinds)]])
 
 
-def with_slices(docs: DataFrame, size: int) -> DataFrame:
-    n = max(1, -(-size // SLICE))
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in 4 bytes each where they fit, else in 8; the first byte tells which."""
+    return b"4" + counts.astype(np.uint32).tobytes() if int(counts.max(initial=0)) < 1 << 32 else b"8" + counts.astype(np.int64).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint32 if raw[:1] == b"4" else np.int64, offset=1).astype(np.int64)
+
+
+def with_slices(docs: DataFrame, size: int, rows: int) -> DataFrame:
+    n = max(1, -(-size // SLICE), -(-rows // SLICE_ROWS))
     spread = F.xxhash64("doc_id", "text", F.lit(1))
     dev = F.pmod(F.xxhash64("doc_id", "text", F.lit(2)), F.lit(DEV)) == 0
     d = docs.select("doc_id", "text", (fold("doc_id", 10) == 0).alias("held_out"))
@@ -77,26 +88,27 @@ def counts_of(sliced: DataFrame, parts: int) -> DataFrame:
         rows = []
         for kind, h in ((1, uni), (2, bi)):
             kinds, inverse = np.unique(h, return_inverse=True)
-            n = np.bincount(inverse, t, len(kinds)).astype(np.int32)
+            n = np.bincount(inverse, t, len(kinds)).astype(np.int64)
             at = _ranges(kinds, parts)
-            rows += [(slice_id, kind, p, slice_id < 0, kinds[at[p] : at[p + 1]].tobytes(), n[at[p] : at[p + 1]].tobytes()) for p in range(parts) if at[p] < at[p + 1]]
+            rows += [(slice_id, kind, p, slice_id < 0, kinds[at[p] : at[p + 1]].tobytes(), packed(n[at[p] : at[p + 1]])) for p in range(parts) if at[p] < at[p + 1]]
         return pa.table([pa.array(column, f.type) for column, f in zip(zip(*rows), ASK_TYPE)], ASK_TYPE)
 
     def answer(rows):
         got = rows.to_pydict()
         hashes = [np.frombuffer(h, np.uint64) for h in got["hashes"]]
-        counts = np.concatenate([np.frombuffer(c, np.int32) for c in got["counts"]])
+        counts = np.concatenate([unpacked(c) for c in got["counts"]])
         dev = np.repeat(got["dev"], [len(h) for h in hashes])
         kinds, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(inverse, counts, len(kinds)).astype(np.int64)
-        held = np.bincount(inverse, counts * dev, len(kinds)).astype(np.int64)
+        total, held = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
+        np.add.at(total, inverse, counts)
+        np.add.at(held, inverse[dev], counts[dev])
         known, tokens, at = int((total > 0).sum()), int(total.sum()), 0
         counts, dev_counts = [], []
         for h, held_out in zip(hashes, got["dev"]):
             of = inverse[at : at + len(h)]
             at += len(h)
-            counts.append(total[of].astype(np.int32).tobytes())
-            dev_counts.append(held[of].astype(np.int32).tobytes() if held_out else None)
+            counts.append(packed(total[of]))
+            dev_counts.append(packed(held[of]) if held_out else None)
         once = np.zeros(len(hashes), np.int64)
         once[0] = 1
         return pa.table(
@@ -123,7 +135,7 @@ class SliceCounts:
         order = sorted(range(len(got["kind"])), key=lambda i: (got["kind"][i], got["part"][i]))
 
         def joined(kind, column):
-            return np.frombuffer(b"".join(got[column][i] for i in order if got["kind"][i] == kind), np.int32).astype(np.int64)
+            return np.concatenate([unpacked(got[column][i]) for i in order if got["kind"][i] == kind])
 
         at1, at2 = np.unique(uni, return_inverse=True)[1], np.unique(bi, return_inverse=True)[1]
         self.c1, self.c2 = joined(1, "counts")[at1], joined(2, "counts")[at2]
@@ -186,8 +198,9 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def score_lm(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sliced = with_slices(docs, size)
+    size, n_rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    size = size or 0
+    sliced = with_slices(docs, size, n_rows)
     answers = stored(counts_of(sliced, max(partitions(docs.sparkSession), -(-size // RANGE_BYTES))), "counts")
     first = answers.where("kind = 1").agg(F.sum("kinds"), F.sum("tokens")).first()
     kinds, tokens = first[0] or 0, first[1] or 0
