@@ -3,10 +3,15 @@
 Each page's containers are scored by the text of their blocks; the best container's generalised path (tags and classes,
 digits left out) is the page's vote. Spark counts the votes per host; the path with most votes wins (of equal ones the
 first), and every page is extracted anew from the containers on its host's path, or from its own best one where it has
-none. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments fall out by tag, role,
-class or id. A block's white space becomes single spaces (a line break too); blocks are joined by one newline.
-Null or empty html gives an empty text; pages without a host vote for nobody but themselves; repeated rows are extracted
-each; extra columns are ignored; an empty table gives an empty result."""
+none. Menus, headers, footers, sidebars, dialogs and what is hidden fall out by tag or role, scripts and styles as they
+are read. Forms, and elements whose class or id has a word such as advert, notice or comments, fall out too unless they
+hold most of the page's text outside links (nearly all of it, for reader comments, which may be longer than what they
+comment on); inline elements never fall out by class. A block's white space becomes single spaces (a line break
+too); blocks are joined by one newline.
+
+Null or empty html gives an empty text; very long pages are taken whole; pages without a host vote for nobody but
+themselves; repeated rows are extracted each; extra columns are ignored, whatever their names; an empty table gives an
+empty result. Pages meet their host's path by a broadcast of the paths up to PATHS rows, else by host and salt."""
 
 from __future__ import annotations
 
@@ -17,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import slices
+from pagemill.llm.common import slices, stored
 from pagemill.llm.url_filters import url_parts
 
 TOKEN = re.compile(
@@ -25,34 +30,51 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=[\s/]|$)""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("html body div section article main aside nav header footer form dialog center fieldset".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption pre blockquote figure figcaption hr address details summary head".split())
-OUT_TAGS = frozenset("nav footer aside form dialog".split())
-OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+OUT_TAGS = frozenset("nav footer aside dialog".split())
+OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 OUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar footer masthead cookie cookies "
-    "consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations comment comments disqus respond replies "
+    "consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations "
     "widget widgets pagination pager toolbar skip".split()
 )
+REPLY_WORDS = frozenset("comment comments disqus respond replies".split())
 HEADER_WORDS = frozenset(["header", "topbar", "sitehead"])
+DENIED = frozenset("no not has have with without is non".split())  # in front of a word: about the element, not its kind
+MOST, NEARLY_ALL = 0.5, 0.9  # shares of a page's unlinked text over which forms and elements with a word, or with a reply word, stay
+PATHS = 200_000
+SALTS = 32
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
 
 
+def named(names: str, words: frozenset) -> bool:
+    """Whether one of the class or id names is about one of the words: its first or last word is one, as in ad-slot or
+    post-comments, but not in has-comments."""
+    for name in names.split():
+        parts = WORD.findall(name)
+        if parts and parts[0] not in DENIED and (parts[0] in words or parts[-1] in words):
+            return True
+    return False
+
+
 class Page:
-    """Containers (parent, tag path) and blocks (container, text, share of text in links) of a page, without what is
-    left out."""
+    """Containers (parent, tag path, kind) and blocks (container, text, share of text in links) of a page. Kinds: KEEP,
+    SOFT and REPLY (fall out unless they hold most, or nearly all, of the text), OUT."""
+
+    KEEP, SOFT, REPLY, OUT = range(4)
 
     def __init__(self, source: str):
         self.parent: list[int] = [-1]
         self.path: list[str] = [""]
         self.tag: list[str] = ["#"]
+        self.kind: list[int] = [self.KEEP]
         self.blocks: list[tuple[int, str, float]] = []
-        stack: list[tuple[str, int, int]] = []  # tag, container, depth of what is left out before it
-        here = out = link = linked = 0
-        inside = 0  # open article or main elements
+        stack: list[tuple[str, int]] = []  # tag, container before it
+        here = link = linked = inside = 0  # inside: open article or main elements
         buffer: list[str] = []
 
         def flush():
@@ -65,14 +87,14 @@ class Page:
             linked = 0
 
         def close(depth):
-            nonlocal here, out, inside
+            nonlocal here, inside
             while len(stack) > depth:
-                name, here, out = stack.pop()
+                name, here = stack.pop()
                 inside -= name in ("article", "main")
 
         at = 0
         for m in TOKEN.finditer(source):
-            if m.start() > at and not out:
+            if m.start() > at:
                 raw = source[at : m.start()]
                 buffer.append(raw)
                 linked += len(raw) if link else 0
@@ -105,31 +127,53 @@ class Page:
                     close(len(stack) - 1)
             if name in VOID or (m.group(4).endswith("/") and name not in CONTAINERS):
                 continue
-            attrs = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(m.group(4))} if m.group(4) else {}
-            classes = attrs.get("class", "").lower()
-            words = set(WORD.findall(f"{classes} {attrs.get('id', '').lower()}")) if attrs else ()
-            role = attrs.get("role", "").lower()
-            drop = name in OUT_TAGS or role in OUT_ROLES or not OUT_WORDS.isdisjoint(words) or "hidden" in attrs
-            drop |= attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-            drop |= not inside and (name == "header" or not HEADER_WORDS.isdisjoint(words))
-            drop &= name not in ("html", "body", "article", "main")
-            if name in CONTAINERS or drop:
+            attrs = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m.group(4))} if m.group(4) else {}
+            kind = self.kind_of(name, attrs, block, inside) if attrs or name in OUT_TAGS or name in ("form", "header") else self.KEEP
+            if name in CONTAINERS or kind:
                 flush()
-                stack.append((name, here, out))
-                if drop:
-                    out += 1
-                else:
-                    inside += name in ("article", "main")
-                    plain = ".".join([name, *sorted(set(WORD.findall(classes)))])
-                    self.parent.append(here)
-                    self.path.append(f"{self.path[here]}>{plain}")
-                    self.tag.append(name)
-                    here = len(self.parent) - 1
-                if drop and name in ("article", "main"):
-                    inside += 1
-        if at < len(source) and not out:
+                stack.append((name, here))
+                inside += name in ("article", "main")
+                plain = ".".join([name, *sorted(set(WORD.findall(attrs.get("class", "").lower())))])
+                self.parent.append(here)
+                self.path.append(f"{self.path[here]}>{plain}")
+                self.tag.append(name)
+                self.kind.append(kind)
+                here = len(self.parent) - 1
+        if at < len(source):
             buffer.append(source[at:])
         flush()
+        self.strip()
+
+    def kind_of(self, name: str, attrs: dict[str, str], block: bool, inside: int) -> int:
+        if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
+            return self.OUT
+        if name in ("html", "body", "article", "main"):
+            return self.KEEP
+        if name in OUT_TAGS or attrs.get("role", "").lower() in OUT_ROLES or (name == "header" and not inside):
+            return self.OUT
+        names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
+        if block and named(names, REPLY_WORDS):
+            return self.REPLY
+        soft = name == "form" or (block and (named(names, OUT_WORDS) or (not inside and named(names, HEADER_WORDS))))
+        return self.SOFT if soft else self.KEEP
+
+    def strip(self) -> None:
+        """Takes out the blocks of what falls out."""
+        n = len(self.parent)
+
+        def without(out: list[bool]) -> list[tuple[int, str, float]]:
+            for k in range(1, n):
+                out[k] = out[k] or out[self.parent[k]]
+            return [b for b in self.blocks if not out[b[0]]]
+
+        self.blocks = without([k == self.OUT for k in self.kind])
+        held = [0.0] * n
+        for c, text, links in self.blocks:
+            held[c] += len(text) * (1 - links)
+        for k in range(n - 1, 0, -1):
+            held[self.parent[k]] += held[k]
+        most = {self.KEEP: -1.0, self.SOFT: MOST * held[0], self.REPLY: NEARLY_ALL * held[0], self.OUT: held[0]}
+        self.blocks = without([held[i] <= most[k] for i, k in enumerate(self.kind)])
 
     def best(self) -> tuple[int, float]:
         score = [0.0] * len(self.parent)
@@ -185,5 +229,11 @@ def extract(pages: DataFrame) -> DataFrame:
                 ["page_id", "url", "text", "n_chars", "host_path"],
             )
 
-    d = url_parts(pages.select("page_id", "url", "html")).drop("path").join(host_paths(pages), "host", "left")
+    d = url_parts(pages.select("page_id", "url", "html")).drop("path")
+    paths = stored(host_paths(pages), "paths")
+    if paths.count() <= PATHS:
+        d = d.join(F.broadcast(paths), "host", "left")
+    else:  # a host's pages are dealt over several tasks
+        paths = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        d = d.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(paths, ["host", "salt"], "left")
     return d.select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string, n_chars long, host_path string")
