@@ -1,9 +1,10 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics, flattened into arrays.
 
 The trees are fitted on at most `sample` labelled rows outside the held-out fold, those with the smallest hashes of
-doc_id. Statistics come from the whole text. Null and empty texts have all statistics 0 and get the score of that row;
-rows of equal text get equal scores; without labels of both classes every score is the share of label 1 (0.5 without
-labels); repeated rows are scored each; extra columns are ignored; an empty table gives an empty result."""
+doc_id; of rows with one id the smallest text is learned. Statistics come from the whole text, however long. Null and
+empty texts have all statistics 0 and get the score of that row; rows of equal text tie with equal scores; without labels
+of both classes every score is the share of label 1 (0.5 without labels); repeated rows are scored each; extra columns
+are ignored, by keep_quality kept, whatever their names; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -117,10 +118,12 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, ra
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out, sample: int) -> DataFrame:
-    """doc_id, text, y of at most `sample` labelled documents; the ids are bounded, so they are broadcast."""
+    """doc_id, text, y of at most `sample` labelled documents, of rows with one id the one with the smallest text; the ids
+    are bounded, so they are broadcast."""
     picked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
@@ -129,7 +132,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tre
             x = [features(t).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.binary()), batch.column("y")], ["doc_id", "x", "y"])
 
-    rows = training_rows(docs, labels, "quality", fold("doc_id", 3) == 1, sample).mapInArrow(run, "doc_id long, x binary, y int").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    rows = training_rows(docs, labels, "quality", fold("doc_id", 3) == 1, sample).mapInArrow(run, "doc_id long, x binary, y int").toPandas().sort_values("doc_id")
     x = np.frombuffer(b"".join(rows.x), np.float64).reshape(-1, N_FEATURES)
     return fit_trees(x, rows.y.to_numpy(np.float64))
 
