@@ -1,8 +1,13 @@
 """URL filters: all glob rules run at once over each canonical URL, as one multiword Shift-And automaton.
 
 A canonical URL is the lower-cased host, a separator byte and the path. In a glob `?` is any byte of a part, `*` any
-run within host or path, `**` any run at all. Null URLs and URLs without `://` have an empty host and path and are
-judged like any other. Repeated rows and extra columns are kept apart by row; an empty table gives an empty result."""
+run within host or path, `**` any run at all. Rules are prefixes of host and path and come first, the longest of them
+wins and of equal lengths the first; globs decide what no rule fits, the first that matches. Both are plain tables, of
+(verdict, host, path) rows, of any number: the automaton takes about a bit per byte of them.
+
+Null URLs and URLs without `://` have an empty host and path and are judged like any other; very long URLs are read
+whole. Repeated rows are judged each; extra columns are ignored, whatever their names; an empty table gives an empty
+result."""
 
 from __future__ import annotations
 
@@ -18,8 +23,11 @@ SEPARATOR = 0xFF  # never part of UTF-8
 
 # The rules of the query, as (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-# Host globs that are blocked where no rule fits.
-GLOBS = ["*spam*", "*pills*", "*casino*", "*viagra*", "*payday*", "*porn*"]
+# Globs that decide where no rule fits, as (verdict, host, path).
+GLOBS = [
+    ("block", "*spam*", "**"), ("block", "*pills*", "**"), ("block", "*casino*", "**"), ("block", "*viagra*", "**"), ("block", "*payday*", "**"), ("block", "*porn*", "**"),
+    ("block", "ads.*", "**"), ("block", "adserver.*", "**"), ("block", "*doubleclick*", "**"), ("block", "*", "/wp-login.php"), ("block", "*", "/cgi-bin/**"), ("block", "*", "**/xmlrpc.php"),
+]
 
 
 @dataclass
@@ -94,15 +102,15 @@ def url_parts(df: DataFrame, col: str = "url") -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, rules=RULES, globs=GLOBS) -> DataFrame:
-    """page_id, host, path, rule, verdict. The longest rule that fits decides, of equal lengths the first; else a URL
-    is blocked if a host glob matches and allowed if none does."""
+    """page_id, host, path, rule, verdict. The longest rule that fits decides, of equal lengths the first; else the first
+    glob that matches; a URL is allowed if none does."""
     rules = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     sep = bytes([SEPARATOR])
     patterns = []
     for _, host, path in rules:
         tail = host.encode() + sep + path.encode() + b"**"
         patterns += [tail, b"*." + tail]
-    patterns += [g.encode() + sep + b"**" for g in globs]
+    patterns += [host.encode() + sep + path.encode() for _, host, path in globs]
     machine = compile_globs(patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +119,10 @@ def judge_urls(pages: DataFrame, rules=RULES, globs=GLOBS) -> DataFrame:
             hit = machine.run([h.encode() + sep + p.encode() for h, p in zip(hosts, paths)])
             n = len(rules)
             fits = hit[:, : 2 * n].reshape(len(hosts), n, 2).any(2) if n else np.zeros((len(hosts), 0), bool)
-            bad = hit[:, 2 * n :].any(1)
+            other = [globs[int(row.argmax())][0] if row.any() else "allow" for row in hit[:, 2 * n :]] if globs else ["allow"] * len(hosts)
             first = [int(row.argmax()) if row.any() else -1 for row in fits]
             rule = [rules[i][1] + rules[i][2] if i >= 0 else None for i in first]
-            verdict = [rules[i][0] if i >= 0 else ("block" if b else "allow") for i, b in zip(first, bad)]
+            verdict = [rules[i][0] if i >= 0 else v for i, v in zip(first, other)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("path"), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
     parts = url_parts(pages.select("page_id", "url")).select("page_id", "host", "path")
@@ -131,5 +139,6 @@ f AS (SELECT *, CASE
   WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
   WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM p)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
-  WHEN rule IS NOT NULL OR regexp_matches(host, 'spam|pills|casino|viagra|payday|porn') THEN 'block' ELSE 'allow' END AS verdict FROM f
+  WHEN rule IS NOT NULL OR regexp_matches(host, 'spam|pills|casino|viagra|payday|porn|doubleclick') OR host LIKE 'ads.%' OR host LIKE 'adserver.%'
+    OR path = '/wp-login.php' OR path LIKE '/cgi-bin/%' OR path LIKE '%/xmlrpc.php' THEN 'block' ELSE 'allow' END AS verdict FROM f
 """
