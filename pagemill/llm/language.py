@@ -3,8 +3,10 @@
 Every language has a distribution over hashed byte trigrams, counted in Spark over all training rows. A document is a
 mixture of languages: expectation-maximisation finds the proportions, then languages are dropped from the set as long
 as the penalised likelihood rises. The prediction is the language of the largest share, of equal shares the first by
-name. Null texts, texts without a letter and all texts when nothing was learned are `und` with score 0; rows with null
-lang teach nothing; repeated rows count as rows; an empty table gives an empty result."""
+name. Null texts, texts without a letter and all texts when nothing was learned are `und` with score 0; very long texts
+are taken whole; rows with null lang teach nothing; repeated rows count as rows; extra columns are ignored, by
+keep_languages kept, whatever their names; an empty table gives an empty result. What reaches the driver is languages
+times bins; more than LANGUAGES distinct values of lang raise an error, as they aren't languages."""
 
 from __future__ import annotations
 
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import fold, slices
 
 SPACE = 1 << 14
+LANGUAGES = 1_000
 LETTER = regex.compile(r"\p{L}")
 # Bytes that say nothing about the language become a space: controls, digits, ASCII punctuation.
 PLAIN = bytes(c + 32 if 65 <= c < 91 else (c if 97 <= c < 123 or c >= 128 else 32) for c in range(256))
@@ -84,6 +87,9 @@ def fit_languages(docs: DataFrame) -> Languages:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "bin", "n"])
 
     train = docs.where((fold("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    kinds = train.select("lang").distinct().limit(LANGUAGES + 1).count()
+    if kinds > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} distinct values")
     rows = train.mapInArrow(run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(set(rows.lang))
     counts = np.zeros((len(names), SPACE))
