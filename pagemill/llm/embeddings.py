@@ -1,21 +1,23 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
-Equal vectors of a label form one class. Classes are dealt into clusters, each class to its two nearest centres, and
-clusters over LIMIT again, so that shards overlap and stay small. Every shard builds its graph: nearest neighbours,
-robust-pruned. The adjacency lists of all shards are united; in every shard a greedy search from the medoid runs for
-each vector over the united lists, then expands from what it found within reach. Pairs are checked in double precision.
+Equal vectors of a label form one class. Classes are dealt into clusters, and clusters over LIMIT again, so that shards
+stay small; a class goes to its nearest centre, and to the second one too if that is about as near, so that shards
+overlap. Every shard builds its graph: nearest neighbours, robust-pruned. The adjacency lists of all shards are united;
+in every shard a greedy search from the medoid runs for each vector over the united lists, then expands from what it
+found within reach. Pairs are checked in double precision and don't leave the shard: it returns each class's number of
+links, every pair counted in the first of the shards that hold both, and a spanning forest of what is linked.
 A search doesn't leave its shard, so the members of a component that no one shard holds are compared with each other
-once more, exactly and in blocks of rows; only the sums of links leave a block. audit() measures recall against brute
-force.
+once more, exactly and in blocks of rows; only the sums of links leave a block. near_duplicates() ends with an audit:
+AUDIT vectors against all by brute force; recall below LEAST raises an error.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and those with a null label, link with
 nothing. Vectors of different length are never compared. Repeated rows are vectors of their own; a null vec_id takes
-part and is the component only where there is no other; an empty table gives an empty result."""
+part and is the component only where there is no other; there is nothing to tie; extra columns are ignored, whatever
+their names; an empty table gives an empty result."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +31,11 @@ DEGREE = 24
 NEAREST = 64
 BEAM = 32
 REACH = 0.95
+MARGIN = 0.41  # radians: twice the angle of COSINE; a second centre that much farther than the first can't matter
 LEVELS = 8
 BLOCK = 2_000
+AUDIT = 500
+LEAST = 0.9
 
 
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,7 +54,9 @@ def unit(column: pa.Array) -> np.ndarray:
 
 
 def shards(found: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(shard, cid, x) with shards of about `limit` rows, each class in up to two shards per level of splitting."""
+    """(shard, cid, x) with shards of about `limit` rows. Per level of splitting a class is in one shard, or in two where
+    two centres are about as near. Only classes that stay alike at every level are dealt on and on, and those that are
+    over `limit` after LEVELS of up to CENTRES centres each would be 10 ** 15 vectors."""
     ready = None
     left = found.select("shard", "cid", "x")
     for depth in range(LEVELS):
@@ -74,16 +81,20 @@ def shards(found: DataFrame, limit: int = LIMIT) -> DataFrame:
                 if not batch.num_rows:
                     continue
                 x = unit(batch.column("x"))
-                two = np.zeros((len(x), 2), np.int64)
+                two, near = np.zeros((len(x), 2), np.int64), np.zeros(len(x), bool)
                 own = batch.column("shard").to_pylist()
                 for s in set(own):
                     rows = np.flatnonzero(np.array([o == s for o in own]))
                     if s not in known:
                         known[s] = unit(batch.column("centres").slice(int(rows[0]), 1).flatten())
-                    order = np.argsort(-(x[rows] @ known[s].T), axis=1, kind="stable")
-                    two[rows] = order[:, [0, min(1, order.shape[1] - 1)]]
-                for j in range(2):
-                    yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(two[:, j]), batch.column("cid"), batch.column("x")], ["shard", "c", "cid", "x"])
+                    angle = np.arccos(np.clip(x[rows] @ known[s].T, -1, 1))
+                    order = np.argsort(angle, axis=1, kind="stable")[:, [0, min(1, angle.shape[1] - 1)]]
+                    two[rows] = order
+                    away = np.take_along_axis(angle, order, 1)
+                    near[rows] = (order[:, 0] != order[:, 1]) & (away[:, 1] - away[:, 0] <= MARGIN)
+                names = ["shard", "c", "cid", "x"]
+                yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(two[:, 0]), batch.column("cid"), batch.column("x")], names)
+                yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(two[:, 1]), batch.column("cid"), batch.column("x")], names).filter(pa.array(near))
 
         dealt = left.join(centres, "shard").select("shard", "cid", "x", "centres").mapInArrow(deal, "shard long, c long, cid long, x array<double>")
         left = dealt.select(F.xxhash64("shard", "c").alias("shard"), "cid", "x").dropDuplicates(["shard", "cid"])
@@ -113,9 +124,16 @@ def build(x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def search(x: np.ndarray, neighbours: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) found. neighbours: (rows, degree), -1 where there is none. All queries move in step."""
+def search(x: np.ndarray, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, node) found over the edges (src, dst). All queries move in step. The greedy search looks at the first
+    NEAREST neighbours of a node; the expansion follows all."""
     n = len(x)
+    order = np.lexsort((dst, src))
+    src, dst = src[order], dst[order]
+    begin = np.searchsorted(src, np.arange(n + 1))
+    place = np.arange(len(src)) - begin[src]
+    neighbours = np.full((n, NEAREST), -1, np.int64)
+    neighbours[src[place < NEAREST], place[place < NEAREST]] = dst[place < NEAREST]
     medoid = int((x @ x.mean(0)).argmax())
     a, b = [], []
     for at in range(0, n, 256):
@@ -150,9 +168,9 @@ def search(x: np.ndarray, neighbours: np.ndarray) -> tuple[np.ndarray, np.ndarra
         found[np.arange(len(q)), q] = True
         row, node = np.nonzero(found)
         while len(row):
-            near = neighbours[node]
-            r = np.repeat(row, near.shape[1])[(near >= 0).ravel()]
-            m = near[near >= 0]
+            many = begin[node + 1] - begin[node]
+            r = np.repeat(row, many)
+            m = dst[np.repeat(begin[node] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
             new = ~found[r, m]
             key = np.unique(r[new] * n + m[new])
             r, m = key // n, key % n
@@ -165,8 +183,31 @@ def search(x: np.ndarray, neighbours: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(a), np.concatenate(b)
 
 
-def near_pairs(dealt: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(a, b), a < b: classes of a shard with at least this cosine."""
+def forest(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of n nodes reaches over the edges (low, high)."""
+    root = np.arange(n)
+    while len(low):
+        least = np.minimum(root[low], root[high])
+        before = root.copy()
+        np.minimum.at(root, root[low], least)
+        np.minimum.at(root, root[high], least)
+        np.minimum.at(root, low, least)
+        np.minimum.at(root, high, least)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        if (root == before).all():
+            break
+    return root
+
+
+def linked(dealt: DataFrame, found: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """(shard, cid, n, top) for the classes of each shard that have a link there: n, the rows they link with in pairs
+    that belong to the shard, the first of those that hold both; top, a class of the shard that they are connected to."""
+    dealt = dealt.join(found.select("cid", "size"), "cid")
+    dealt = stored(dealt.join(dealt.groupBy("cid").agg(F.sort_array(F.collect_set("shard")).alias("held")), "cid").select("shard", "cid", "x", "size", "held"), "held")
 
     def graph(rows):
         x, cid = unit(rows.column("x")), rows.column("cid").to_numpy()
@@ -175,37 +216,42 @@ def near_pairs(dealt: DataFrame, cosine: float = COSINE) -> DataFrame:
         dst = cid[np.concatenate(near)] if len(src) else src
         return pa.table({"src": np.concatenate([src, dst]), "dst": np.concatenate([dst, src])})
 
-    edges = dealt.groupBy("shard").applyInArrow(graph, "src long, dst long").distinct()
+    edges = dealt.select("shard", "cid", "x").groupBy("shard").applyInArrow(graph, "src long, dst long").distinct()
     lists = edges.join(dealt.select(F.col("shard").alias("of"), F.col("cid").alias("src")), "src").select("of", "src", "dst")
 
     def run(key, rows, adjacent):
+        names = ["shard", "cid", "n", "top"]
         if not rows.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        cid = rows.column("cid").to_numpy()
+            return pa.table([pa.array([], pa.int64())] * 4, names)
+        shard, cid = key[0].as_py(), rows.column("cid").to_numpy()
         order = np.argsort(cid)
-        cid, x = cid[order], unit(rows.column("x"))[order]
+        cid, x, size = cid[order], unit(rows.column("x"))[order], rows.column("size").to_numpy()[order]
+        held = rows.column("held").to_pylist()
+        held = [held[i] for i in order]
+        width = max(map(len, held))
+        held = np.array([h + [np.iinfo(np.int64).max] * (width - len(h)) for h in held], np.int64)
         src, dst = adjacent.column("src").to_numpy(), adjacent.column("dst").to_numpy()
         at = np.minimum(np.searchsorted(cid, dst), len(cid) - 1)
         ok = cid[at] == dst
         src, dst = np.searchsorted(cid, src[ok]), at[ok]
-        sort = np.lexsort((dst, src))
-        src, dst = src[sort], dst[sort]
-        place = np.arange(len(src)) - np.searchsorted(src, src)
-        width = int(place.max(initial=0)) + 1
-        # a node with very many neighbours would widen all rows; what is past the width of most is walked by its
-        # neighbours' lists, as every edge is held by both ends
-        width = min(width, max(4 * DEGREE, int(np.quantile(np.bincount(src, minlength=len(cid)), 0.99))))
-        neighbours = np.full((len(cid), width), -1, np.int64)
-        fits = place < width
-        neighbours[src[fits], place[fits]] = dst[fits]
-        a, b = search(x, neighbours)
-        low, high = np.minimum(a, b), np.maximum(a, b)
+        low, high = search(x, src, dst)
+        low, high = np.minimum(low, high), np.maximum(low, high)
         pair = np.unique(low[low < high] * len(cid) + high[low < high])
         low, high = pair // len(cid), pair % len(cid)
         near = np.einsum("ij,ij->i", x[low], x[high]) >= cosine
-        return pa.table({"a": cid[low[near]], "b": cid[high[near]]})
+        low, high = low[near], high[near]
+        # a pair belongs to the first shard that both have: no smaller one is in both lists
+        own = np.ones(len(low), bool)
+        for i in range(width):
+            one = held[low, i]
+            for j in range(width):
+                own &= ~((one == held[high, j]) & (one < shard))
+        n = np.bincount(low[own], size[high[own]], len(cid)) + np.bincount(high[own], size[low[own]], len(cid))
+        some = np.unique(np.concatenate([low, high]))
+        top = cid[forest(low, high, len(cid))]
+        return pa.table([pa.array([shard] * len(some), pa.int64()), pa.array(cid[some]), pa.array(n[some].astype(np.int64)), pa.array(top[some])], names)
 
-    return dealt.groupBy("shard").cogroup(lists.groupBy("of")).applyInArrow(run, "a long, b long").distinct()
+    return dealt.groupBy("shard").cogroup(lists.groupBy("of")).applyInArrow(run, "shard long, cid long, n long, top long")
 
 
 def spread(comp: DataFrame, dealt: DataFrame) -> DataFrame:
@@ -251,57 +297,56 @@ def links_in_blocks(found: DataFrame, comp: DataFrame, wide: DataFrame, cosine:
     return counted.groupBy("a").agg(F.sum("n").alias("n"))
 
 
-def near_duplicates(vectors: DataFrame) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row."""
+def near_duplicates(vectors: DataFrame, sample: int = AUDIT, least: float = LEAST) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row. Of `sample` vectors, those with the smallest hashes, the links
+    are counted by brute force too; if n_links has a smaller share of them than `least`, an error is raised."""
     rows, found = classes(vectors)
     found = stored(found, "classes")
     dealt = stored(shards(found), "shards")
-    pairs = stored(near_pairs(dealt), "pairs")
-    comp = components(pairs)
+    links = stored(linked(dealt, found), "links")
+    comp = components(links.where("cid <> top").select(F.col("cid").alias("a"), F.col("top").alias("b")))
     wide = stored(spread(comp, dealt), "wide")
-    exact = comp.join(wide, "root").select(F.col("node").alias("a"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(exact, "a", "left_anti")
-    sizes = found.select(F.col("cid").alias("b"), F.col("size").alias("n"))
-    others = both.join(sizes, "b").groupBy("a").agg(F.sum("n").alias("n"))
+    exact = comp.join(wide, "root").select(F.col("node").alias("cid"))
+    others = links.join(exact, "cid", "left_anti").groupBy(F.col("cid").alias("a")).agg(F.sum("n").alias("n"))
     others = others.unionByName(links_in_blocks(found, comp, wide))
     c = found.select("cid", "size", "vec_id").join(comp, F.col("cid") == F.col("node"), "left").select("cid", "size", "vec_id", F.coalesce("root", "cid").alias("root"))
-    least = c.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    c = c.join(least, "root").join(others, F.col("cid") == F.col("a"), "left")
+    tops = c.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    c = c.join(tops, "root").join(others, F.col("cid") == F.col("a"), "left")
     c = c.select("cid", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
     out = rows.join(c, "cid", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("cid").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.expr("vec_id <=> component_id"))
-
-
-def audit(vectors: DataFrame, result: DataFrame, every: int = 50, block: int = 20_000) -> float:
-    """Share of the links, by brute force, that n_links of the vectors with ids divisible by `every` holds. Queries come in blocks, each of
-    which reads all rows; for small tables and spot checks."""
-    queries = vectors.where(F.col("vec_id") % every == 0).select("vec_id", "label", "embedding").toLocalIterator()
-    total = 0
-    rows: list = []
-
-    def good(v) -> bool:
-        return None not in v and bool(np.isfinite(v).all() and np.any(v))
-
-    def count(rows) -> int:
-        q = pd.DataFrame([(r.vec_id, r.label, r.embedding) for r in rows if r.label is not None and r.embedding and good(r.embedding)], columns=["id", "label", "v"])
-        by = {k: (g.id.to_numpy(), unit(pa.array(g.v.tolist()))) for k, g in q.groupby(["label", q.v.map(len)])}
-
-        def run(batches):
-            for b in batches:
-                n = 0
-                for vid, lb, v in zip(*(b.column(c).to_pylist() for c in ("vec_id", "label", "embedding"))):
-                    if v and (lb, len(v)) in by and good(v):
-                        ids, x = by[lb, len(v)]
-                        n += int(((x @ unit(pa.array([v]))[0] >= COSINE) & (ids != vid)).sum())
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-        return vectors.select("vec_id", "label", "embedding").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
-
-    for r in queries:
-        rows.append(r)
-        if len(rows) == block:
-            total, rows = total + count(rows), []
-    total += count(rows) if rows else 0
-    got = result.where(F.col("vec_id") % every == 0).agg(F.sum("n_links")).first()[0] or 0
-    return got / total if total else 1.0
+    out = out.withColumn("kept", F.expr("vec_id <=> component_id"))
+    if sample:
+        out = stored(out, "embeddings")
+        recall = audit(vectors, out, sample)
+        if recall < least:
+            raise RuntimeError(f"of the audited links {recall:.3f} were found, less than {least}")
+    return out
+
+
+def audit(vectors: DataFrame, result: DataFrame, sample: int = AUDIT) -> float:
+    """Share of the links of `sample` vectors, by brute force against all, that n_links holds. Vectors with ids are
+    taken by the smallest hashes; repeated ids count together."""
+    picked = vectors.where("vec_id is not null").select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
+    full = vectors.select("vec_id", "label", "embedding")
+    some = full.join(F.broadcast(picked), "vec_id").select("label", "embedding").toPandas()
+    by: dict = {}
+    for label, v in zip(some.label, some.embedding):
+        if v is not None and len(v) and label == label:
+            by.setdefault((label, len(v)), []).append(np.asarray(v, np.float64))
+    by = {k: np.stack(v) for k, v in by.items()}
+    by = {k: v[np.isfinite(v).all(1) & (v != 0).any(1)] for k, v in by.items()}
+    by = {k: unit(pa.array(v.tolist())) for k, v in by.items() if len(v)}
+
+    def run(batches):
+        for b in batches:
+            n = 0
+            for label, v in zip(b.column("label").to_pylist(), b.column("embedding").to_pylist()):
+                if v and (label, len(v)) in by and None not in v and np.isfinite(v).all() and np.any(v):
+                    n += int((by[label, len(v)] @ unit(pa.array([v]))[0] >= COSINE).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    # each of the vectors meets itself once
+    total = (full.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0) - sum(map(len, by.values()))
+    got = result.join(F.broadcast(picked), "vec_id").agg(F.sum("n_links")).first()[0] or 0
+    return got / total if total > 0 else 1.0
