@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
+from pagemill.functions.text import decoded
 
 # One token per comment, raw script or style, tag, or run of text.
+RAW = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 TOKEN = r"(?s)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>|[^<]+"
 
 
@@ -44,32 +46,13 @@ def tag_counts(pages: DataFrame) -> DataFrame:
     return t.groupBy("tag").agg(F.count_if(F.col("kind") == "open").alias("opened"), F.count_if(F.col("kind") == "close").alias("closed"))
 
 
-def decoded(text: F.Column) -> F.Column:
-    """The named references that the page store holds, and white space as single spaces."""
-    for name, char in (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
-
-
-def page_metadata(pages: DataFrame) -> DataFrame:
-    html = F.col("html")
-    return pages.select(
-        "page_id",
-        decoded(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),
-        F.regexp_extract(html, r'(?is)<html[^>]*\blang="([^"]*)"', 1).alias("language"),
-        F.regexp_extract(html, r'(?is)<meta\s[^>]*charset="([^"]*)"', 1).alias("charset"),
-        decoded(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1)).alias("headline"),
-    )
-
-
 def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, link_pos, href, dst_url): anchors of a page without fragments and other schemes, each target at its
-    first place; root-relative targets are resolved against the page's origin."""
-    a = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r'(?is)<a\s[^>]*?href="([^"]*)"'), F.lit(1))).alias("link_pos", "href"))
+    """(page_id, dst_url, link_pos): targets of a page's anchors, resolved against its URL, without fragments and other schemes,
+    each at its first place."""
+    a = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all(F.regexp_replace("html", RAW, ""), F.lit(r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))).alias("link_pos", "href"))
+    a = a.withColumn("href", F.trim(decoded(F.regexp_replace("href", r"""^["']|["']$""", ""))))
     a = a.where(~F.col("href").rlike("(?i)^(#|mailto:|tel:|javascript:)")).withColumn("href", F.regexp_replace("href", "#.*$", ""))
-    origin = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]+", 0)
-    dst = F.when(F.col("href").rlike("(?i)^https?://"), F.col("href")).when(F.col("href").startswith("/"), F.concat(origin, "href"))
-    a = a.withColumn("dst_url", dst).where("dst_url is not null")
+    a = a.withColumn("dst_url", urls.resolved(F.col("url"), F.col("href"))).where("dst_url is not null")
     return a.groupBy("page_id", "dst_url").agg(F.min("link_pos").alias("link_pos"))
 
 
@@ -78,44 +61,3 @@ def unseen_links(pages: DataFrame) -> DataFrame:
     known = pages.select(urls.normalized(F.col("url")).alias("dst_url")).distinct()
     links = page_links(pages).where(urls.crawlable(F.col("dst_url"))).withColumn("dst_url", urls.normalized(F.col("dst_url")))
     return links.join(known, "dst_url", "left_anti").groupBy("dst_url").agg(F.countDistinct("page_id").alias("pages"))
-
-
-def main_text(pages: DataFrame) -> DataFrame:
-    """Text of the first article element, else of the body; tags become spaces."""
-    html = F.regexp_replace("html", r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", "")
-    article = F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*?)</article>", 1)
-    body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*?)</body>", 1)
-    text = decoded(F.regexp_replace(F.when(article != "", article).otherwise(body), "<[^>]*>", " "))
-    return pages.select("page_id", text.alias("text"))
-
-
-def domain_tags(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(page_id, tag, confidence) of the rules (domain, tags) whose domain is the page's host, or `*.d` with d a parent
-    of it. Hosts are spread into their suffixes, so that this is an equi-join."""
-    host = F.regexp_replace(urls.host(F.col("url")), r"^www\.", "")
-    parts = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.concat(F.lit("*."), F.array_join(F.slice(parts, i, F.size(parts)), ".")))
-    keys = pages.select("page_id", F.explode(F.concat(F.array(host), suffixes)).alias("domain")).where("domain <> '' and domain <> '*.'")
-    hits = keys.join(rules, "domain").select("page_id", F.explode("tags").alias("tag"))
-    return hits.groupBy("page_id", "tag").agg(F.lit(0.8).alias("confidence"))
-
-
-def note_paths(pages: DataFrame, folder: str = "Clips") -> DataFrame:
-    """Titles as file names."""
-    name = F.regexp_replace("title", r"[\x00-\x1F\x7F]", " ")
-    name = F.trim(F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*]', "-"), r"[\x20\x09-\x0D]+", " "))
-    name = F.trim(F.substring(F.when(name == "", "Untitled").otherwise(name), 1, 100))
-    return page_metadata(pages).select("page_id", F.concat_ws("/", F.lit(folder), name).alias("file_path"))
-
-
-def notes(pages: DataFrame) -> DataFrame:
-    """(file_path, page_id, note): front matter and body of each page."""
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    m = pages.select("page_id", "url").join(page_metadata(pages), "page_id").join(main_text(pages), "page_id").join(note_paths(pages), "page_id")
-    head = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("source: "), quoted("url")), F.concat(F.lit("title: "), quoted("title")), F.concat(F.lit("type: "), urls.page_type(F.col("url"))), F.lit("tags:"), F.lit('  - "web-clip"'), F.lit("---"))
-    return m.select("file_path", "page_id", F.concat(head, F.lit("\n\n"), F.col("text"), F.lit("\n")).alias("note"))
-
-
-def vault_merge(notes_: DataFrame) -> DataFrame:
-    """One note per path; the latest wins."""
-    return notes_.groupBy("file_path").agg(F.max_by("note", "page_id").alias("note"), F.count("*").alias("versions"))
