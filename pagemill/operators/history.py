@@ -1,10 +1,12 @@
-"""Save events, tag usage and conversations. An event's type is its tag; its value at or over 0 means success."""
+"""Save events, tag usage and conversations. An event's type is its tag; a value of 50 or more means success."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import collapsed
+
 
 def tag_usage(events: DataFrame) -> DataFrame:
     """Per tag in lower case: how often, last use, spelling of the first use."""
@@ -16,6 +18,22 @@ def top_tags(events: DataFrame, k: int = 10, min_count: int = 2) -> DataFrame:
     return tag_usage(events).where(F.col("uses") >= min_count).orderBy(F.desc("uses"), F.desc("last_used"), "tag_key").limit(k)
 
 
+def tag_prefix(events: DataFrame, prefix: str, k: int = 10) -> DataFrame:
+    """The k tags used most whose key begins with the prefix, whatever its case; for an empty prefix the top tags."""
+    if not prefix.strip():
+        return top_tags(events, k)
+    return tag_usage(events).where(F.col("tag_key").startswith(prefix.strip().lower())).orderBy(F.desc("uses"), F.desc("last_used"), "tag_key").limit(k)
+
+
+def recent_tags(events: DataFrame, k: int = 10) -> DataFrame:
+    return tag_usage(events).orderBy(F.desc("last_used"), "tag_key").limit(k)
+
+
+def prune_tags(usage: DataFrame, keep: int = 200) -> DataFrame:
+    """The `keep` tags used most and last; the rest is forgotten."""
+    return usage.orderBy(F.desc("uses"), F.desc("last_used"), "tag_key").limit(keep)
+
+
 def clip_counts(events: DataFrame, period: str = "daily") -> DataFrame:
     """Saves per day, or per week from Monday, with the label of a badge."""
     day = F.to_date("ts")
@@ -29,6 +47,26 @@ def clip_history(events: DataFrame, keep: int = 50) -> DataFrame:
     return events.select("event_id", "ts", "user_id", "event_type").where("event_type is not null and ts is not null").orderBy(F.desc("ts"), F.desc("event_id")).limit(keep)
 
 
+def filter_history(history: DataFrame, query: str = "", start: str | None = None, end: str | None = None) -> DataFrame:
+    """Entries (title, url, tags, date as text) that hold the query in title, url or tags, whatever its case, on the days from
+    start to end. A date that can't be read fails only where a bound is set."""
+    out = history
+    if query.strip():
+        whole = F.lower(F.concat_ws(" ", "title", "url", F.array_join("tags", " ")))
+        out = out.where(F.contains(whole, F.lit(query.strip().lower())))
+    day = F.to_date(F.try_to_timestamp("date"))
+    if start:
+        out = out.where(day >= F.lit(start).cast("date"))
+    if end:
+        out = out.where(day <= F.lit(end).cast("date"))
+    return out
+
+
+def run_summary(results: DataFrame) -> DataFrame:
+    """One row for results (success, depth): total, succeeded, failed, max_depth, and whether all succeeded."""
+    return results.agg(F.count("*").alias("total"), F.count_if("success").alias("succeeded"), F.count_if(~F.col("success")).alias("failed"), F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("max_depth"), F.coalesce(F.every("success"), F.lit(True)).alias("success"))
+
+
 def user_summary(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(F.col("value") >= 50).alias("succeeded"), F.count_if(F.col("value") < 50).alias("failed"), F.max("ts").alias("last_ts"))
 
@@ -57,19 +95,15 @@ def conversation_notes(conversations: DataFrame) -> DataFrame:
     return r.groupBy("conv_id").agg(F.count("*").alias("responses"), F.array_join(F.transform(parts, lambda p: p.part), "\n\n---\n\n").alias("note"))
 
 
+def response_notes(conversations: DataFrame, title: str = "Conversation") -> DataFrame:
+    """One note per response: (conv_id, response_no, title, note)."""
+    r = responses(conversations)
+    name = F.concat(F.lit(title + " "), F.col("conv_id").cast("string"), F.lit(" - Response "), F.col("response_no").cast("string"))
+    return r.select("conv_id", "response_no", name.alias("title"), F.concat(F.lit("# "), name, F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("note"))
+
+
 def reading_stats(docs: DataFrame) -> DataFrame:
-    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    return docs.where("text is not null and text <> ''").select("doc_id", words.alias("words"), F.length("text").cast("long").alias("chars"), F.greatest(F.lit(1), F.ceil(words / 220.0)).cast("long").alias("minutes"))
-
-
-def keywords(docs: DataFrame, stop: list[str], k: int = 8) -> DataFrame:
-    """The best words of each document: of 3 letters or more, not in the stop list, found twice or more; counted before
-    the shuffle. Scored by frequency and length, weaker in long texts; ties by word."""
-    w = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z0-9-]*"), F.lit(0))).alias("word"))
-    n = w.groupBy("doc_id", "word").agg(F.count("*").alias("freq"))
-    n = n.withColumn("total", F.sum("freq").over(Window.partitionBy("doc_id")))
-    n = n.where((F.length("word") >= 3) & (F.col("freq") >= 2) & ~F.col("word").isin(stop))
-    raw = (F.lit(0.5) * F.log(F.col("freq") + F.lit(1.0)) / F.log(F.lit(10.0)) + F.least(F.length("word") / 12.0, F.lit(1.0)) * 0.15) * F.least(F.lit(1.0), F.lit(500.0) / F.col("total")) + 0.2
-    n = n.withColumn("score", F.round(F.least(raw, F.lit(1.0)), 6))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "word"))
-    return n.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("doc_id", "word", "freq", "score", "rank")
+    """Words, characters and minutes of the text with its white space collapsed; null where nothing is left."""
+    d = docs.select("doc_id", F.nullif(collapsed(F.col("text")), F.lit("")).alias("t"))
+    words = F.regexp_count("t", F.lit(r"[^\x20]+")).cast("long")
+    return d.select("doc_id", words.alias("words"), F.length("t").cast("long").alias("chars"), F.greatest(F.when(F.col("t").isNotNull(), 1), F.ceil(words / 220.0)).cast("long").alias("minutes"))

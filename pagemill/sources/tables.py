@@ -11,7 +11,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_url_list(spark: SparkSession, path: str, require_http: bool = False) -> DataFrame:
-    """(file, line_no, url): one URL per line, trimmed; blank lines and those that begin with # are left out."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "url"))
-    urls = lines.withColumn("url", F.trim("url")).where("url <> '' and not startswith(url, '#')")
+    """(file, block, line, url): one URL per line, trimmed; blank lines and those that begin with # are left out. Long lists
+    are read in blocks; file, block and line give the order."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.trim(F.regexp_replace("value", "\r", "")).alias("url"))
+    urls = lines.where("url <> '' and not startswith(url, '#')")
     return urls.where(F.col("url").rlike("^http")) if require_http else urls
+
+
+def stream_table(spark: SparkSession, path: str, schema, files: int = 100) -> DataFrame:
+    """A folder of Parquet files as a stream, at most `files` of them in a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)

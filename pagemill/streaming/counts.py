@@ -5,9 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions import urls
+
 
 def clip_counts_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Weekly saves from Monday, for a streaming or batch table of events."""
     timed = events.select(F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
     week = F.window("ts", "1 week", "1 week", "4 days")
     return timed.groupBy(week.alias("w")).agg(F.count("*").alias("saves")).select(F.to_date("w.start").alias("period_start"), "saves")
+
+
+def tag_usage_stream(events: DataFrame) -> DataFrame:
+    """Use of each tag, in lower case, for update or complete mode; the state has a row per tag."""
+    tag = F.trim("event_type")
+    return events.where(tag != "").groupBy(F.lower(tag).alias("tag_key")).agg(F.count("*").alias("uses"), F.max("ts").alias("last_used"), F.min_by(tag, F.struct("ts", "event_id")).alias("tag"))
+
+
+def dedupe_stream(pages: DataFrame, seen: str, within: str = "7 days") -> DataFrame:
+    """Pages whose normalised URL hasn't come within this time; `seen` is the column with a page's time."""
+    d = pages.withColumn("norm_url", urls.normalized(F.col("url"))).withColumn(seen, F.col(seen).cast("timestamp"))
+    return d.withWatermark(seen, within).dropDuplicatesWithinWatermark(["norm_url"])
+
+
+def keep_history(events: DataFrame, path: str, keep: int = 50):
+    """A writer that keeps the newest `keep` events of a stream in a Parquet folder, one version per batch."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        newest = batch.where("event_type is not null and ts is not null").select("event_id", "ts", "user_id", "event_type")
+        if number:
+            newest = newest.unionByName(spark.read.parquet(f"{path}/{number - 1}"))
+        newest.dropDuplicates(["event_id"]).orderBy(F.desc("ts"), F.desc("event_id")).limit(keep).write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return events.writeStream.foreachBatch(merge)
