@@ -3,7 +3,7 @@ from the words of its text. What the page operators should find in them is known
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOSTS = ["blog.example.com", "www.example.org", "news.example.net", "docs.sample.dev", "shop.sample.com", "example.com"]
@@ -51,3 +51,40 @@ def site_pages(docs: DataFrame) -> DataFrame:
 def words_sql(docs: str = "documents") -> str:
     """DuckDB: doc_id, lang and w, the words of each document, with w padded so that w[1] to w[100] exist."""
     return f"SELECT doc_id, lang, len(v) AS n_words, v AS own, v || list_transform(range(100), lambda i: 'word') AS w FROM (SELECT *, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS v FROM {docs} WHERE doc_id IS NOT NULL)"
+
+
+def question_pages(conversations: DataFrame) -> DataFrame:
+    """(page_id, url, html): a question page per conversation, its turns as answers. The turns of one conversation are gathered."""
+    word = F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+", 0)
+    votes = F.pmod(F.col("turn") * 7, F.lit(5)).cast("string")
+    vote = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('<div class="js-vote-count" data-value="'), votes, F.lit('">x</div>'))).otherwise(F.concat(F.lit('<div class="js-vote-count"> '), votes, F.lit(" </div>")))
+    user = F.when(F.col("role") == "user", F.concat(F.lit('<div class="user-details"><a href="/u">'), "role", F.lit("</a></div>"))).otherwise("")
+    cls = F.when(F.col("turn") % 3 == 2, "answer accepted-answer").otherwise("answer")
+    block = F.concat(F.lit('<div class="'), cls, F.lit('">'), vote, F.lit('<div class="s-prose"><p>'), word, F.lit("</p><p>&amp; on</p></div>"), user, F.lit('<time datetime="2024-01-0'), F.pmod("turn", F.lit(9)).cast("string"), F.lit('"></time></div>'))
+    parts = F.array_sort(F.collect_list(F.struct("turn", block.alias("b"))))
+    html = F.concat(F.lit('<html><body><h1>Q</h1><div id="answers">'), F.array_join(F.transform(parts, lambda p: p.b), "\n"), F.lit("</div></body></html>"))
+    return conversations.groupBy("conv_id").agg(html.alias("html")).select(F.col("conv_id").alias("page_id"), F.concat(F.lit("https://stackoverflow.com/questions/"), F.col("conv_id").cast("string")).alias("url"), "html")
+
+
+def listing_pages(events: DataFrame) -> DataFrame:
+    """(page_id, url, html): a listing of stories per user, the first 30 events of each; a listing is that long."""
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    e = events.withColumn("n", number).where("n <= 30")
+    rank = F.when(F.col("n") % 2 == 1, F.concat(F.lit('<span class="rank">'), F.col("n").cast("string"), F.lit(".</span>"))).otherwise("")
+    sub = F.when(F.col("n") % 3 == 0, '<td class="subtext">ad</td>').otherwise(F.concat(F.lit('<td class="subtext"><span>'), F.col("n").cast("string"), F.lit(' points</span> by <a class="hnuser" href="user?id=1">u'), F.col("event_id").cast("string"), F.lit("</a> | <a>"), F.col("n").cast("string"), F.lit("&nbsp;comments</a></td>")))
+    row = F.concat(F.lit('<tr class="athing submission"><td>'), rank, F.lit('</td><td><span class="titleline"><a href="/s?a=1&amp;i='), F.col("event_id").cast("string"), F.lit('">A '), "event_type", F.lit(" &gt; b</a> <span>(<a href='/from'>x</a>)</span></span></td></tr><tr>"), sub, F.lit("</tr>"))
+    parts = F.array_sort(F.collect_list(F.struct("n", row.alias("r"))))
+    html = F.concat(F.lit("<html><body><table>"), F.array_join(F.transform(parts, lambda p: p.r), ""), F.lit("</table></body></html>"))
+    return e.groupBy("user_id").agg(html.alias("html")).select(F.col("user_id").alias("page_id"), F.lit("https://news.ycombinator.com/news").alias("url"), "html")
+
+
+def recipe_pages(docs: DataFrame) -> DataFrame:
+    """(page_id, url, html): a recipe page per document, its JSON-LD made of the text's words."""
+    w = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit("word"))
+    s = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    d = docs.where("doc_id is not null").select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
+    n = F.col("doc_id")
+    steps = F.when(n % 3 == 0, s('["', w(3), '","', w(4), '"]')).when(n % 3 == 1, s('[{"@type":"HowToStep","text":"', w(3), '"},{"@type":"HowToSection","name":"s","itemListElement":[{"text":"', w(4), '"},{"name":"', w(5), '"}]}]')).otherwise(s('"', w(3), '"'))
+    node = s('{"@context":"https://schema.org","@type":"Recipe","name":"', w(0), " ", w(1), '","recipeIngredient":["', w(2), '"," ","', w(3), '"],"recipeInstructions":', steps, ',"cookTime":"PT', F.pmod(n, F.lit(3)).cast("string"), 'H20M","recipeYield":["4","4 servings"],"aggregateRating":{"ratingValue":4.5}}')
+    html = s('<html><head><script type="application/ld+json">{"@type":"WebSite","name":"x"}</script><script type="application/ld+json">', node, "</script></head><body></body></html>")
+    return d.select(n.alias("page_id"), F.concat(F.lit("https://a.com/recipes/"), n.cast("string")).alias("url"), html.alias("html"))

@@ -11,11 +11,12 @@ from pagemill.operators import html as W
 from pagemill.operators import metadata as M
 from pagemill.operators import notes as N
 from pagemill.operators import pages as P
+from pagemill.operators import records as X
 from pagemill.operators import rules as R
 from pagemill.operators import sequences as Q
 from pagemill.operators import suggest as S
 from pagemill.operators import titles as T
-from pagemill.plans.derived import HOSTS, article_pages, site_pages, words_sql
+from pagemill.plans.derived import HOSTS, article_pages, listing_pages, question_pages, recipe_pages, site_pages, words_sql
 from pagemill.sources.tables import read_table
 
 STOP = "the and for are was with that this from not but have has had you all can her his they who will one our out der die und den das ist les des une est que los las por con del".split()
@@ -55,6 +56,18 @@ def _templates(spark, sf_dir):
     return R.all_matches(article_pages(read_table(spark, sf_dir, "documents")), t)
 
 
+TEMPLATE_SPECS = {"plain": X.Spec((("html", ""),), (X.Field("content", (("blockquote", ""),)), X.Field("title", (("h1", ""),)))), "docs": X.Spec((("html", ""),), (X.Field("content", (("", "post"),)), X.Field("author", (("", "none"),))))}
+
+
+def _applied(spark, sf_dir):
+    pages = article_pages(read_table(spark, sf_dir, "documents"))
+    return X.apply_template(pages, _templates(spark, sf_dir).where("rank = 1"), TEMPLATE_SPECS).select("page_id", "name", "title", F.when(F.col("name") == "plain", F.col("content")).alias("content"))
+
+
+def _answered(spark, sf_dir):
+    return X.render_answers(Q.top_answers(X.answers(question_pages(read_table(spark, sf_dir, "conversations"))), 2))
+
+
 def _titles(pages):
     m = M.page_metadata(pages)
     return T.suggest_titles(m.select("page_id", "title", F.col("og_title").alias("headline"), F.lit(None).cast("string").alias("name"), "og_title", "twitter_title", F.concat(F.lit("# "), "headline").alias("markdown")))
@@ -166,6 +179,7 @@ QUERIES = {
     "h17_visible_content": _articles(lambda p: W.visible_content(p, 30, 1)),
     "h18_reading_stats": _on("documents", H.reading_stats),
     "t2_template_matches": _templates,
+    "t5_template_fields": _applied,
     "t3_domain_tags": _domain_tags,
     "t4_rule_tags": _rule_tags,
     "t6_unseen_links": _on("pages", P.unseen_links),
@@ -190,7 +204,11 @@ QUERIES = {
     "n2_note_paths": _articles(lambda p: M.page_metadata(p).select("page_id", N.note_path(F.concat(F.lit(" a/b: "), "title"), "Clips", F.pmod("page_id", F.lit(3))).alias("file_path"))),
     "n5_notes": _notes,
     "n7_linked_terms": _on("documents", lambda d: N.link_terms(d.where("doc_id is not null and text is not null"), TERMS).select("doc_id", "links")),
+    "n8_rendered_answers": _answered,
     "n9_vault_merge": lambda spark, sf_dir: N.vault_merge(_notes(spark, sf_dir).withColumn("file_path", F.lower(F.substring("file_path", 1, 8)))),
+    "r3_story_listing": lambda spark, sf_dir: X.story_listing(listing_pages(read_table(spark, sf_dir, "events"))),
+    "r4_answers": lambda spark, sf_dir: Q.top_answers(X.answers(question_pages(read_table(spark, sf_dir, "conversations"))), 5),
+    "r12_recipes": _on("documents", lambda d: X.recipes(recipe_pages(d)).select("page_id", "name", F.array_join("ingredients", "|").alias("ingredients"), F.array_join("steps", "|").alias("steps"), "cook", "servings", "rating")),
     "k1_crawl": _site(_crawl),
     "b1_batch_clip": _batch,
     "b3_search_results": _articles(lambda p: B.search_results(p)),
@@ -321,6 +339,7 @@ SQL = {
       FROM (SELECT doc_id, nullif(trim(regexp_replace(text, '[\x20\x09-\x0D\x{A0}]+', ' ', 'g')), '') AS t FROM documents)""",
     "h20_clip_spans": """SELECT doc_id, string_agg(p, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS text, count(*) AS ranges FROM (SELECT doc_id, i, trim(substr(text, i * 20 + 1, 10)) AS p FROM documents, range(3) t(i) WHERE doc_id IS NOT NULL AND text IS NOT NULL) WHERE p <> '' GROUP BY 1""",
     "t2_template_matches": f"SELECT doc_id AS page_id, name, rank::BIGINT AS rank FROM documents JOIN {_TEMPLATE} ON doc_id % 6 = k",
+    "t5_template_fields": f"SELECT page_id, CASE WHEN doc_id % 6 = 3 THEN 'docs' ELSE 'plain' END AS name, CASE WHEN doc_id % 6 <> 3 THEN w[1] || ' <' || w[2] || '>' END AS title, CASE WHEN doc_id % 6 <> 3 THEN coalesce(nullif({_QUOTE}, ''), {_MAIN}) END AS content FROM {_W} WHERE doc_id % 6 IN (0, 3, 5)",
     "t3_domain_tags": f"SELECT doc_id AS page_id, tag, 0.8::DOUBLE AS confidence FROM documents JOIN {_DOMAIN} ON doc_id % 6 = k",
     "t4_rule_tags": f"""SELECT page_id, tag, confidence::DOUBLE AS confidence, n::BIGINT AS rule_no FROM (SELECT page_id, unnest([CASE WHEN doc_id % 6 = 2 THEN 1 END, 2, CASE WHEN contains(lower({_TITLE}), 'an') THEN 3 END, CASE WHEN NOT contains(lower(array_to_string({_KEYS}, ' ')), 'e') THEN 4 END, CASE WHEN contains(lower({_SITE}), 'site') THEN 5 END]) AS n FROM {_W})
       JOIN (VALUES (1, 'news', 0.75), (2, 'blog', 0.6), (3, 'an', 0.9), (4, 'no-e', 0.66), (5, 'site', 0.63)) r(no, tag, confidence) ON n = no""",
@@ -359,6 +378,15 @@ SQL = {
     "n7_linked_terms": r"""SELECT doc_id, (regexp_matches(t, '(?i)(^|[^\p{L}\p{N}_])of the($|[^\p{L}\p{N}_])')::INT + regexp_matches(regexp_replace(t, '(^|[^\p{L}\p{N}_])[oO][fF] [tT][hH][eE]\b', '\1  ', 'g'), '(?i)(^|[^\p{L}\p{N}_])the($|[^\p{L}\p{N}_])')::INT
       + regexp_matches(t, '(?i)(^|[^\p{L}\p{N}_])und($|[^\p{L}\p{N}_])')::INT + regexp_matches(t, '(?i)(^|[^\p{L}\p{N}_])de($|[^\p{L}\p{N}_])')::INT)::BIGINT AS links FROM (SELECT doc_id, text AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)""",
     "n9_vault_merge": f"SELECT lower(substr(file_path, 1, 8)) AS file_path, arg_max(note, page_id) AS note, count(*) AS versions FROM ({_NOTES}) GROUP BY 1",
+    "r3_story_listing": """SELECT user_id AS page_id, n AS rank, 'A ' || event_type || ' > b' AS title, '/s?a=1&i=' || event_id AS url, CASE WHEN n % 3 <> 0 THEN n END AS points, CASE WHEN n % 3 <> 0 THEN 'u' || event_id ELSE '' END AS author, CASE WHEN n % 3 <> 0 THEN n END AS comments
+      FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n <= 30""",
+    "r4_answers": """SELECT question_id, rank, accepted, votes, author, body FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY accepted DESC, votes DESC, turn) AS rank FROM (SELECT conv_id AS question_id, turn, turn % 3 = 2 AS accepted, (turn * 7 % 5)::BIGINT AS votes,
+      CASE WHEN role = 'user' THEN 'user' ELSE 'Community' END AS author, trim(regexp_extract(coalesce(text, ''), '[A-Za-z]+', 0) || ' & on') AS body FROM conversations)) WHERE rank <= 5""",
+    "n8_rendered_answers": """SELECT question_id, string_agg('## Answer ' || rank || CASE WHEN accepted THEN ' ✓ accepted' ELSE '' END || chr(10) || chr(10) || '**' || author || '**, ' || votes || ' votes' || chr(10) || chr(10) || body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS body
+      FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY accepted DESC, votes DESC, turn) AS rank FROM (SELECT conv_id AS question_id, turn, turn % 3 = 2 AS accepted, (turn * 7 % 5)::BIGINT AS votes,
+      CASE WHEN role = 'user' THEN 'user' ELSE 'Community' END AS author, trim(regexp_extract(coalesce(text, ''), '[A-Za-z]+', 0) || ' & on') AS body FROM conversations)) WHERE rank <= 2 GROUP BY 1""",
+    "r12_recipes": f"""SELECT page_id, w[1] || ' ' || w[2] AS name, w[3] || '|' || w[4] AS ingredients, CASE doc_id % 3 WHEN 0 THEN w[4] || '|' || w[5] WHEN 1 THEN w[4] || '|' || w[5] || '|' || w[6] ELSE w[4] END AS steps,
+      CASE doc_id % 3 WHEN 0 THEN '20 minutes' WHEN 1 THEN '1 hour 20 minutes' ELSE '2 hours 20 minutes' END AS cook, '4' AS servings, 4.5::DOUBLE AS rating FROM {_W}""",
     "k1_crawl": f"SELECT visit, url, depth::INTEGER AS depth, CASE WHEN i IN (SELECT doc_id FROM documents WHERE doc_id % 11 <> 5) THEN 'success' ELSE 'failed' END AS status, CASE WHEN i IN (SELECT doc_id FROM documents WHERE doc_id % 11 <> 5) THEN i END AS page_id FROM ({_TREE})",
     "b1_batch_clip": "SELECT DISTINCT doc_id AS seq, 'https://www.tree.test/p/' || doc_id || '?fbclid=1' AS url, 'web' AS page_type, doc_id % 11 <> 5 AS success, CASE WHEN doc_id % 11 = 5 THEN 'page not stored' END AS error, CASE WHEN doc_id % 11 <> 5 THEN doc_id END AS page_id FROM documents WHERE doc_id IS NOT NULL",
     "b3_search_results": f"SELECT page_id, 1::BIGINT AS rank, 'https://example.org/x?a=1&b=' || w[6] AS url, w[7] AS title FROM {_W} WHERE length(w[7]) >= 3",
