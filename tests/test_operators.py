@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import text, urls
-from pagemill.operators import batch, history, html, metadata, notes, pages, rules, sequences, suggest, titles
+from pagemill.operators import batch, history, html, metadata, notes, pages, records, rules, sequences, suggest, titles
 from pagemill.sources import tables
 from pagemill.streaming import counts
 
@@ -242,6 +242,19 @@ def test_crawl(spark):
     assert [(r.title, r.file_path) for r in m.orderBy("visit").collect()] == [("T", "Clips/T"), ("Untitled", "Clips/depth-1/Untitled"), ("Untitled", "Clips/depth-1/Untitled"), ("Unknown", None)]
 
 
+def test_records(spark):
+    rows = "<table><tr class='athing'><td><span class='titleline'><a href='/1'>One</a></span></td></tr><tr><td class='subtext'>3 points by <a class='hnuser'>u</a> 1 comment</td></tr><tr class='athing'><td><span class='rank'>7.</span><span class='titleline'><a href='/2'>Two</a></span></td></tr></table>"
+    d = records.story_listing(page(spark, rows))
+    assert [tuple(r) for r in d.orderBy("rank").collect()] == [(0, 1, "One", "/1", 3, "u", 1), (0, 7, "Two", "/2", None, "", None)]
+    assert records.render_stories(d).first().body == "1. [One](/1) (3 points, by u, 1 comments)\n7. [Two](/2)"
+    talk = "<table><tr class='comtr'><td><img width=80><a class=hnuser>v</a><span class='commtext c00'>hi <i>there</i></span></td></tr><tr class='comtr'><td><img width=0></td></tr></table>"
+    assert [(r.author, r.depth, r.body) for r in sequences.top_comments(records.story_comments(page(spark, talk))).collect()] == [("v", 2, "hi there")]
+    node = {"@graph": [{"@type": ["Thing", "http://schema.org/Recipe"], "name": "Soup", "recipeIngredient": ["water"], "recipeInstructions": [{"@type": "HowToStep", "text": "boil"}, "eat"], "totalTime": "PT1H5M", "recipeYield": "2"}]}
+    r = records.recipes(page(spark, f'<script type="application/ld+json">{json.dumps(node)}</script>'))
+    assert (r.first().name, r.first().steps, r.first().total, r.first().servings) == ("Soup", ["boil", "eat"], "1 hour 5 minutes", "2")
+    assert records.render_recipe(r).first().body == "**Total:** 1 hour 5 minutes\n**Servings:** 2\n\n## Ingredients\n\n- water\n\n## Instructions\n\n1. boil\n2. eat"
+
+
 def test_steps(spark):
     d = spark.createDataFrame([(1, "u1", True, ["a"], "", ("x",)), (2, "u2", False, None, "y", ("x",)), (3, "u3", True, None, None, ("y",))], "seq int, url string, success boolean, tags array<string>, kind string, data struct<kind: string>")
     got = batch.run_steps(d, [lambda x: batch.step_filter(x, "kind", "y"), lambda x: batch.step_tags(x, ["t", "t"]), lambda x: batch.step_top(x, 5)])
