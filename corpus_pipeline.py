@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages from raw documents to a mixed training corpus, each written and reread."""
+"""The corpus pipeline: five stages from raw documents to a mixed training corpus, each written and reread.
+
+All stages keep the columns of their input, whatever their names, take whole texts of any length, and give an empty table
+for an empty one. Null ids are rows like any other. Null and empty texts: the quality stage keeps them if the score of
+an empty text is 0.5 or more, the language stage drops them, as they have no language; deduplication and decontamination
+keep them; the mix takes them 0 times. Repeated rows: one stays after deduplication. Ties: see the operators."""
 
 from __future__ import annotations
 
@@ -41,7 +46,7 @@ STAGES = [
     ("mixing sources to target weights", mixing_stage),
 ]
 
-# Classifiers and near-duplicate groups can't be expressed in SQL; tests compare the run with brute force.
+# Classifiers and near-duplicate groups can't be expressed in SQL; a test compares run() with plain_pipeline().
 ORACLE_SQL = None
 
 
