@@ -9,12 +9,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,15 +79,16 @@ def partitions(spark: SparkSession) -> int:
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Record batches cut so that each holds about `limit` bytes of text (always one row at least), each with its
-    texts as bytes; a null text is None."""
+    texts as bytes; a null text is None. Only one slice's texts are Python objects at a time."""
     for batch in batches:
-        raw = batch.column(text).cast(pa.binary()).to_pylist()
-        start = size = 0
-        for i, value in enumerate(raw):
-            size += len(value) if value else 0
-            if size >= limit or i == len(raw) - 1:
-                yield batch.slice(start, i + 1 - start), raw[start : i + 1]
-                start, size = i + 1, 0
+        raw = batch.column(text).cast(pa.binary())
+        upto = np.cumsum(pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(raw):
+            before = upto[start - 1] if start else 0
+            stop = min(len(raw), int(np.searchsorted(upto, before + limit)) + 1)
+            yield batch.slice(start, stop - start), raw.slice(start, stop - start).to_pylist()
+            start = stop
 
 
 class WordHash(dict):
@@ -130,12 +132,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     cur = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     shared_dir(edges.sparkSession)
     cur = cur.checkpoint()
-    seen = None
     for _ in range(rounds):
-        mark = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
+        # done when every node hangs on one other, on which nothing but nodes hang
+        ends = cur.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(cur.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not ends.agg(F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0]:
             break
-        seen = mark
         # every edge in both directions; larger neighbours go to the smallest of the neighbourhood
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontam, embeddings, extraction, jaccard, language, mixing, quality, scores, toxicity, url_filters
+from pagemill.llm import common, decontam, embeddings, extraction, jaccard, language, mixing, quality, scores, toxicity, url_filters
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, sid long, keys string, path string"
 
@@ -104,6 +106,71 @@ def test_one_row_of_each_component_stays(spark):
     assert Counter((r.doc_id, r.text) for r in got) == Counter([(None, a), (None, b), (7, c), (7, d), (None, ""), (7, None)])
 
 
+def naive_components(texts, k, percent):
+    sets = []
+    for t in texts:
+        w = tokens(t)
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_tiles_find_what_the_first_steps_leave(spark, monkeypatch):
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(30)]
+    texts = []
+    for _ in range(60):  # alike below the threshold, so every two sets of the key are compared
+        texts.append(" ".join(shared[:20] + [f"u{rng.randrange(40)}" for _ in range(6)]))
+    for i in range(0, 60, 7):
+        texts.append(texts[i] + " end")
+    used = []
+    tiled = jaccard.tiled
+    monkeypatch.setattr(jaccard, "tiled", lambda *a: used.append(1) or tiled(*a, tile=5))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(table).collect()}
+    assert used and got == dict(enumerate(naive_components(texts, 4, 85)))
+
+
+def test_unrelated_documents_and_any_partitions(spark):
+    rows = [(1, "a b c d e f"), (2, "g h i j k l"), (3, "a b c d e f"), (4, "m"), (5, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    try:
+        for n in ("1", "211"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert [r.component_id for r in jaccard.jaccard_components(table.where("doc_id < 3")).orderBy("doc_id").collect()] == [1, 2]
+            assert [r.component_id for r in jaccard.jaccard_components(table).orderBy("doc_id").collect()] == [1, 2, 1, 4, 5]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_columns_of_any_name_are_carried_on(spark):
+    names = "_id _empty _some _copy _row _sid _n row sid root host".split()
+    rows = [(i, f"word{i} and more of it", "s", *[f"{n}{i}" for n in names]) for i in range(6)]
+    table = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    for got in (jaccard.keep_one(table), mixing.mixed_rows(table)):
+        assert got.columns == table.columns
+        assert {tuple(r) for r in got.collect()} <= set(rows) and got.count() > 3
+
+
+def test_components_of_a_chain(spark):
+    chain = spark.range(400).selectExpr("id as a", "id + 1 as b")
+    assert common.components(chain).groupBy("root").count().collect() == [(0, 401)]
+    with pytest.raises(RuntimeError):
+        common.components(chain, rounds=3)
+
+
 def test_bitmap_bounds_overlap():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -129,6 +196,31 @@ def test_scores(docs, empty):
     assert scores.score_lm(empty).count() == 0
 
 
+def test_interpolated_score_is_the_plain_one(docs, monkeypatch):
+    found = []
+    learn = scores.learn_weights
+    monkeypatch.setattr(scores, "learn_weights", lambda *a: found.append(learn(*a)) or found[0])
+    got = Counter((r.doc_id, round(r.score, 6)) for r in scores.score_lm(docs).collect())
+    rows = [(r.doc_id, [*tokens(r.text), b"\n"]) for r in docs.collect()]
+    train = [t for d, t in rows if zlib.crc32(str("" if d is None else d).encode()) % 10]
+    one = Counter(w for t in train for w in t)
+    two = Counter(p for t in train for p in zip([b"\n", *t], t))
+    total, want = sum(one.values()), Counter()
+    for d, t in rows:
+        score = 0.0
+        for before, w in zip([b"\n", *t], t):
+            c = one[before]
+            a, b, u = found[0][min(math.ceil(math.log2(c + 1)), scores.LEVELS - 1)]
+            score += math.log10(a * min(two[before, w] / max(c, 1), 1) + b * one[w] / total + u / (len(one) + 1))
+        want[(d, round(score, 6))] += 1
+    assert got == want
+
+
+def test_packed_counts():
+    for x in (np.array([], np.int64), np.array([0, 5, 2**32 - 1]), np.array([1, 2**40])):
+        assert scores.unpacked(scores.packed(x)).tolist() == x.tolist()
+
+
 def test_weights_are_learned_at_small_sizes(docs, monkeypatch):
     found = []
     learn = scores.learn_weights
@@ -171,6 +263,52 @@ def test_interactions_are_learned():
     assert ((s >= 0.5) == (y == 1)).all()
 
 
+def test_terms_that_mean_nothing_alone_are_learned():
+    rng = np.random.default_rng(3)
+
+    def table():
+        either = rng.integers(0, 2, (4000, 2))
+        noise = [rng.choice(200, 8, replace=False) + 100 for _ in either]
+        return [np.sort(np.concatenate([np.flatnonzero(r) + 10, x])).astype(np.int32) for r, x in zip(either, noise)], (either.sum(1) == 1).astype(float)
+
+    machine, (found, y) = toxicity.fit_machine(*table()), table()
+    assert ((machine.score(found) >= 0.5) == (y == 1)).all()  # no weighted sum of the two terms parts them
+
+
+def test_trees_against_plain_ones():
+    """Each tree's walk node by node gives the flat arrays' margin, and the trees learn what no single cut parts."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, quality.N_FEATURES))
+    y = ((x[:, 3] > 0) ^ (x[:, 7] > 0.5)).astype(float)
+    model = quality.fit_trees(x, y)
+    test = rng.normal(size=(500, quality.N_FEATURES))
+    for row, margin in zip(test[:50], model.margin(test[:50])):
+        total = model.base
+        for f, c, leaf in zip(model.feature, model.cut, model.leaf):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if row[f[node]] > c[node] else 1)
+            total += leaf[node - len(f)]
+        assert total == pytest.approx(margin)
+    assert ((model.score(test) >= 0.5) == ((test[:, 3] > 0) ^ (test[:, 7] > 0.5))).mean() > 0.95
+
+
+def test_mixtures_of_languages(spark):
+    rng = random.Random(4)
+    alphabets = {"aa": "abcdefg", "bb": "hijklmn", "cc": "opqrstu"}
+
+    def words(lang, n):
+        return " ".join("".join(rng.choice(alphabets[lang]) for _ in range(5)) for _ in range(n))
+
+    rows = [(i, words(lang, 60), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 20)]
+    model = language.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for first, second in (("aa", "bb"), ("cc", "aa")):
+        lang, score, shares = model.predict((words(first, 140) + " " + words(second, 60)).encode())
+        assert lang == first and set(shares) == {first, second}
+        assert shares[first] == score == pytest.approx(0.7, abs=0.05)
+    assert set(model.predict(words("bb", 50).encode())[2]) == {"bb"}
+
+
 def test_languages(docs, empty):
     model = language.fit_languages(docs)
     got = language.predict_languages(docs, model).collect()
@@ -196,6 +334,46 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contaminated(empty, items).count() == 0
 
 
+def test_benchmark_blocks_and_radius_lose_nothing(spark):
+    rng = random.Random(12)
+    word = lambda: f"v{min(int(rng.expovariate(0.004)), 3000)}"
+    items = [(i, " ".join(word() for _ in range(rng.choice([3, 8, 20, 60, 120])))) for i in range(60)]
+    docs = []
+    for i, (_, t) in enumerate(items):
+        w = t.split()
+        for change in (0, 1, 2, 3):
+            c = list(w)
+            for _ in range(change):
+                c[rng.randrange(len(c))] = word()
+            docs.append((4 * i + change, " ".join([word() for _ in range(40)] + c + [word() for _ in range(40)])))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    got = {n: {(r.doc_id, r.item_id, round(r.similarity, 9)) for r in decontam.contaminated(docs, bench, n).collect()} for n in (3, 7, 5000)}
+    assert got[3] == got[7] == got[5000]
+    # every window of an item's length, without fingerprints
+    df = {k: Counter() for k in range(1, 6)}
+    plain = {i: t.split() for i, t in items}
+    sets = {i: (min(5, len(w)), {tuple(w[j : j + min(5, len(w))]) for j in range(len(w) - min(5, len(w)) + 1)}) for i, w in plain.items()}
+    for k, s in sets.values():
+        df[k].update(s)
+    n_items = Counter(k for k, _ in sets.values())
+    weight = lambda k, g: math.log1p(n_items[k] / df[k][g])
+    want = set()
+    for r in docs.collect():
+        w = r.text.split()
+        for i, (k, s) in sets.items():
+            best, n = 0.0, len(plain[i])
+            grams = [tuple(w[j : j + k]) for j in range(len(w) - k + 1)]
+            if not s.intersection(grams):
+                continue
+            for begin in range(max(1, len(w) - n + 1)):
+                best = max(best, sum(weight(k, g) for g in s.intersection(grams[begin : begin + n - k + 1])))
+            if best >= 0.8 * sum(weight(k, g) for g in s) - 1e-9:
+                want.add((r.doc_id, i))
+    found = {(d, i) for d, i, _ in got[7]}
+    assert len(want) > 100 and found <= want and len(found & want) >= 0.99 * len(want)
+
+
 def test_embeddings_find_what_brute_force_finds(spark):
     rng = np.random.default_rng(4)
     centre = rng.normal(size=(60, 16))
@@ -225,7 +403,7 @@ def test_embeddings_link_all_of_a_large_group(spark):
     assert want.sum() > 5_000_000
     assert {r.vec_id: r.n_links for r in got.collect()} == dict(enumerate(want.tolist()))
     assert len({r.component_id for r in got.where("vec_id < 3000").collect()}) == 1
-    assert embeddings.audit(table, got, every=500) == 1
+    assert embeddings.audit(table, got) == 1
 
 
 def test_url_rules(spark):
@@ -236,6 +414,21 @@ def test_url_rules(spark):
     assert url_filters.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_globs_are_a_plain_matcher():
+    rng = random.Random(6)
+    globs = [tuple("".join(rng.choice(c) for _ in range(rng.randrange(1, 7))) for c in (["a", "b", ".", "*", "?"], ["/", "a", "b", "*", "**", "?"])) for _ in range(300)]
+    globs = [(h, "/" + re.sub(r"\*{3,}", "**", p)) for h, p in ((re.sub(r"\*{2,}", "*", h), p) for h, p in globs)]
+    machine = url_filters.compile_globs([h.encode() + b"\xff" + p.encode() for h, p in globs])
+
+    def pattern(glob):
+        return "".join({"**": "(?s:.*)", "*": "[^\xff]*", "?": "[^\xff]"}.get(x, re.escape(x)) for x in re.findall(r"\*\*|.", glob))
+
+    urls = [("".join(rng.choice("ab.") for _ in range(rng.randrange(0, 6))), "/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(0, 7)))) for _ in range(300)]
+    got = machine.run([h.encode() + b"\xff" + p.encode() for h, p in urls])
+    want = [[bool(re.fullmatch(pattern(h) + "\xff" + pattern(p), f"{host}\xff{path}")) for h, p in globs] for host, path in urls]
+    assert got.tolist() == want and got.any()
+
+
 def test_globs_over_word_bounds():
     machine = url_filters.compile_globs([b"a" * 70 + b"*z", b"?b", b"*q"])
     assert machine.run([b"a" * 70 + b"xxz", b"ab", b"xq", b""]).tolist() == [[True, False, False], [False, True, False], [False, False, True], [False] * 3]
@@ -255,6 +448,16 @@ def test_mixing(docs, empty):
     assert mixing.mix_report(empty).count() == 0
 
 
+def test_key_ranges_are_small_for_any_script(spark):
+    rows = [(i, " ".join(chr(0x4E00 + (i * 7 + j) % 900) * 3 for j in range(5)) + " 12345 67890 !?" * (i % 2), "cjk") for i in range(4000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    assert table.select(mixing.quality_weight("text").alias("w")).where("w > 0.9").count() == 2000
+    key = -F.log((F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") + 1) / F.lit(float(2**48 + 1))) / mixing.quality_weight("text")
+    sizes = table.groupBy(F.floor(F.log(key) * mixing.RANGES)).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 0.03 * 4000
+
+
 def test_targets_by_resharing(spark):
     rng = random.Random(9)
     for n in (1, 2, 7, 25):
@@ -283,6 +486,92 @@ def test_extraction(spark):
     assert extraction.extract(pages.limit(0)).count() == 0
 
 
+def test_extraction_keeps_what_holds_the_page():
+    body = "some words of a long article " * 9
+    got = lambda html: extraction.Page(html).text(None)
+    for html in (
+        f"<html><body><form action='/x'><div><p>{body}</p></div></form></body></html>",
+        f"<article><div class='social-story'><p>{body}</p></div></article>",
+        f"<div class='content no-sidebar'><p>{body}</p></div>",
+        f"<div class='widget'><p>{body}</p></div><p>ad</p>",
+        f"<div class='notice-page share-it'><p title='a hidden gem' data-class='ad'>{body}</p></div>",
+        f"<div><p>{body}</p><div class='post-comments'><p>{body * 3}</p></div><form><p>your mail</p></form><div class='cookie-notice'>We use</div></div>",
+    ):
+        assert got(html) == body.strip()
+    assert got(f"<p>a <span class='notice'>b</span> c {body}</p>").startswith("a b c some")
+    assert got("<nav><p>menu only</p></nav>") == ""
+
+
+def test_hot_hosts_are_dealt_by_salt(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}/p", f"<div class='x'><p>page {i} with words</p></div><div><p>no</p></div>") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, extraction.extract(pages).collect()))
+    monkeypatch.setattr(extraction, "PATHS", 0)
+    assert sorted(map(tuple, extraction.extract(pages).collect())) == want
+
+
+def plain_pipeline(spark, sf):
+    """The five stages over plain lists; the learned models are the operators' own, applied row by row."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [r.asDict() for r in docs.collect()]
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    raw = lambda r: r["text"].encode() if r["text"] else None
+    trees = quality.fit_quality(docs, labels)
+    rows = [r for r in rows if trees.score(quality.features(raw(r))[None])[0] >= 0.5]
+    model = language.fit_languages(spark.createDataFrame(rows, docs.schema))
+    found = [model.predict(raw(r)) for r in rows]
+    rows = [r for r, f in zip(rows, found) if f[0] != "und" and f[1] >= 0.4]
+    best = {}
+    for r, root in zip(rows, naive_components([r["text"] for r in rows], 5, 80)):
+        if root not in best or (r["doc_id"], r["text"]) < (best[root]["doc_id"], best[root]["text"]):
+            best[root] = r
+    rows = list(best.values())
+    items = [i.encode() for (i,) in spark.read.parquet(f"{sf}/benchmark.parquet").select("text").collect() if i]
+    words = lambda t: [w for w in (x.lower().strip(decontam.EDGES) for x in t.split()) if w]
+    grams = lambda w, k: [tuple(w[j : j + k]) for j in range(len(w) - k + 1)]
+    items = [w for w in map(words, items) if w]
+    df = Counter((min(5, len(w)), g) for w in items for g in set(grams(w, min(5, len(w)))))
+    total = Counter(min(5, len(w)) for w in items)
+
+    def clean(r):
+        w = words(raw(r))
+        for item in items:
+            k = min(5, len(item))
+            s, own = set(grams(item, k)), grams(w, k)
+            if s.isdisjoint(own):
+                continue
+            weight = {g: math.log1p(total[k] / df[k, g]) for g in s}
+            for begin in range(max(1, len(w) - len(item) + 1)):
+                if sum(weight[g] for g in s.intersection(own[begin : begin + len(item) - k + 1])) >= 0.8 * sum(weight.values()) - 1e-9:
+                    return False
+        return True
+
+    rows = [r for r in rows if clean(r)]
+    table = spark.createDataFrame(rows, docs.schema)
+    taken = {r.doc_id: r.taken // r["size"] if r["size"] else 0 for r in mixing.mix_report(table).collect()}
+    return Counter(tuple(r.values()) for r in rows for _ in range(taken[r["doc_id"]]))
+
+
+def test_pipeline_is_the_plain_one(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    got = corpus_pipeline.run(spark, sf)
+    want = plain_pipeline(spark, sf)
+    assert Counter(map(tuple, got.collect())) == want and len(want) > 50
+
+
+def test_pipeline_stages_on_odd_tables(spark, docs):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    for table in (docs.limit(0), docs.where("text is null or trim(text) = ''"), docs):
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, table, sf)
+            assert after.columns == table.columns, name
+            assert {tuple(r) for r in after.collect()} <= {tuple(r) for r in table.collect()}, name
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
