@@ -128,8 +128,8 @@ def apply_template(pages: DataFrame, matches: DataFrame, specs: dict[str, Spec])
         d = extract_records(of, spec).where("record_no = 1")
         d = d.select("page_id", F.lit(name).alias("name"), *[F.nullif(F.col(c), F.lit("")).alias(c) if c in d.columns else F.lit(None).cast("string").alias(c) for c in columns])
         out = d if out is None else out.unionByName(d)
-    poor = pages.join(out.where("content is null").select("page_id"), "page_id", "left_semi")
-    return out.join(main_content(poor), "page_id", "left").withColumn("content", F.coalesce("content", "text")).drop("text")
+    matched = pages.join(matches.where(F.col("name").isin(list(specs))).select("page_id"), "page_id", "left_semi")
+    return out.join(main_content(matched), "page_id", "left").withColumn("content", F.coalesce("content", "text")).drop("text")
 
 
 def listed(d: DataFrame, key: str, order: str, line: Column, by: str = "\n") -> DataFrame:

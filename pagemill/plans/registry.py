@@ -56,12 +56,12 @@ def _templates(spark, sf_dir):
     return R.all_matches(article_pages(read_table(spark, sf_dir, "documents")), t)
 
 
-TEMPLATE_SPECS = {"plain": X.Spec((("html", ""),), (X.Field("content", (("blockquote", ""),)), X.Field("title", (("h1", ""),)))), "docs": X.Spec((("html", ""),), (X.Field("content", (("", "post"),)), X.Field("author", (("", "none"),))))}
+TEMPLATE_SPECS = {"plain": X.Spec((("html", ""),), (X.Field("content", (("blockquote", ""),)), X.Field("title", (("h1", ""),))))}
 
 
 def _applied(spark, sf_dir):
     pages = article_pages(read_table(spark, sf_dir, "documents"))
-    return X.apply_template(pages, _templates(spark, sf_dir).where("rank = 1"), TEMPLATE_SPECS).select("page_id", "name", "title", F.when(F.col("name") == "plain", F.col("content")).alias("content"))
+    return X.apply_template(pages, _templates(spark, sf_dir).where("rank = 1"), TEMPLATE_SPECS).select("page_id", "name", "title", "content")
 
 
 def _answered(spark, sf_dir):
@@ -339,7 +339,7 @@ SQL = {
       FROM (SELECT doc_id, nullif(trim(regexp_replace(text, '[\x20\x09-\x0D\x{A0}]+', ' ', 'g')), '') AS t FROM documents)""",
     "h20_clip_spans": """SELECT doc_id, string_agg(p, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS text, count(*) AS ranges FROM (SELECT doc_id, i, trim(substr(text, i * 20 + 1, 10)) AS p FROM documents, range(3) t(i) WHERE doc_id IS NOT NULL AND text IS NOT NULL) WHERE p <> '' GROUP BY 1""",
     "t2_template_matches": f"SELECT doc_id AS page_id, name, rank::BIGINT AS rank FROM documents JOIN {_TEMPLATE} ON doc_id % 6 = k",
-    "t5_template_fields": f"SELECT page_id, CASE WHEN doc_id % 6 = 3 THEN 'docs' ELSE 'plain' END AS name, CASE WHEN doc_id % 6 <> 3 THEN w[1] || ' <' || w[2] || '>' END AS title, CASE WHEN doc_id % 6 <> 3 THEN coalesce(nullif({_QUOTE}, ''), {_MAIN}) END AS content FROM {_W} WHERE doc_id % 6 IN (0, 3, 5)",
+    "t5_template_fields": f"SELECT page_id, 'plain' AS name, w[1] || ' <' || w[2] || '>' AS title, coalesce(nullif({_QUOTE}, ''), {_MAIN}) AS content FROM {_W} WHERE doc_id % 6 IN (0, 5)",
     "t3_domain_tags": f"SELECT doc_id AS page_id, tag, 0.8::DOUBLE AS confidence FROM documents JOIN {_DOMAIN} ON doc_id % 6 = k",
     "t4_rule_tags": f"""SELECT page_id, tag, confidence::DOUBLE AS confidence, n::BIGINT AS rule_no FROM (SELECT page_id, unnest([CASE WHEN doc_id % 6 = 2 THEN 1 END, 2, CASE WHEN contains(lower({_TITLE}), 'an') THEN 3 END, CASE WHEN NOT contains(lower(array_to_string({_KEYS}, ' ')), 'e') THEN 4 END, CASE WHEN contains(lower({_SITE}), 'site') THEN 5 END]) AS n FROM {_W})
       JOIN (VALUES (1, 'news', 0.75), (2, 'blog', 0.6), (3, 'an', 0.9), (4, 'no-e', 0.66), (5, 'site', 0.63)) r(no, tag, confidence) ON n = no""",
