@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import WordHash, components, mixed, partitions, shingles, slices, stored
+from pagemill.llm.common import WordHash, components, mixed, partitions, shingles, slices, small_batches, stored
 
 K = 4
 PERCENT = 85
@@ -317,9 +317,10 @@ def components_of_sets(sets: DataFrame, docs: DataFrame, k: int = K, percent: in
 
 def placed_rows(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """doc_id, row, n_shingles, root, component_id for every row of docs: row is its hash, root the component's number."""
-    sig = stored(signatures(docs, k, percent), "signatures")
-    sets = stored(sig.where("size(keys) > 0").dropDuplicates(["sid"]).drop("doc_id"), "classes")
-    comp = components_of_sets(sets, docs, k, percent)
+    with small_batches(docs.sparkSession):
+        sig = stored(signatures(docs, k, percent), "signatures")
+        sets = stored(sig.where("size(keys) > 0").dropDuplicates(["sid"]).drop("doc_id"), "classes")
+        comp = components_of_sets(sets, docs, k, percent)
     placed = sig.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("d"))
     placed = placed.join(comp, F.col("sid") == F.col("node"), "left").select("sid", "d", F.coalesce("root", "sid").alias("root"))
     least = placed.groupBy("root").agg(F.min("d").alias("component_id"))
