@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import decontam, embeddings, extraction, jaccard, language, mixing, quality, scores, toxicity, url_filters
+from pagemill.llm import decontam, embeddings, extraction, jaccard, language, lines, mixing, quality, scores, toxicity, url_filters
 from pagemill.llm.common import table
 
 
@@ -51,11 +51,15 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_ngram_jaccard_join, op3_quality_classifier, op4_embedding_near_dedup, op5_toxicity, op6_url_filters, op7_language_id, op8_decontamination, op9_source_mixing, op10_html_extraction, pipeline)}
-SQL = {"op6_url_filters": url_filters.SQL, "op9_source_mixing": mixing.mix_sql()}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_ngram_jaccard_join, op3_quality_classifier, op4_embedding_near_dedup, op5_toxicity, op6_url_filters, op7_language_id, op8_decontamination, op9_source_mixing, op10_html_extraction, op13_line_dedup, pipeline)}
+SQL = {"op6_url_filters": url_filters.SQL, "op9_source_mixing": mixing.mix_sql(), "op13_line_dedup": lines.lines_sql()}
