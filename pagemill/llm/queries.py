@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import decontam, embeddings, extraction, jaccard, language, lines, mixing, quality, scores, toxicity, url_filters
+from pagemill.llm import conversations, decontam, embeddings, extraction, jaccard, language, lines, mixing, quality, scores, search, toxicity, url_filters
 from pagemill.llm.common import table
 
 
@@ -51,6 +51,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
@@ -61,5 +69,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_ngram_jaccard_join, op3_quality_classifier, op4_embedding_near_dedup, op5_toxicity, op6_url_filters, op7_language_id, op8_decontamination, op9_source_mixing, op10_html_extraction, op13_line_dedup, pipeline)}
-SQL = {"op6_url_filters": url_filters.SQL, "op9_source_mixing": mixing.mix_sql(), "op13_line_dedup": lines.lines_sql()}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_ngram_jaccard_join, op3_quality_classifier, op4_embedding_near_dedup, op5_toxicity, op6_url_filters, op7_language_id, op8_decontamination, op9_source_mixing, op10_html_extraction, op11_lexical_search, op12_conversation_repair, op13_line_dedup, pipeline)}
+SQL = {"op6_url_filters": url_filters.SQL, "op9_source_mixing": mixing.mix_sql(), "op11_lexical_search": search.search_sql(), "op12_conversation_repair": conversations.repair_sql(), "op13_line_dedup": lines.lines_sql()}
