@@ -4,10 +4,10 @@ A conversation's rows are repaired by edits so that their role initials are noth
 and assistant in turns, up to an assistant: `(s?(ua)+)?`. Keep costs 0, Rerole to user or assistant 1, Delete 2 (forced on blank
 rows and repeats), Insert 5, a truncated row that stays 5 more. The cheapest edits are found, and of these the ASCII-least.
 
-There are four states: nothing yet, after s, after u, after a. Each state has a survivor, the best path that ends there.
-Survivors are leaves of a tree of back pointers that counts references; where all of them come from one node, the edits up to
-it are final and are given out, so the tree holds only what isn't resolved. Two paths of equal cost into a state are
-compared over all that they don't share: the order of the survivors' complete strings is carried along as their ranks, and
+There are four states: nothing yet, after s, after u, after a. Each state has a survivor, the best path that ends there. One
+that is dearer than another by more than it can still make good is dropped. Survivors are leaves of a tree of back pointers
+that counts references; where all of them come from one node, the edits up to it are final and are given out, so the tree
+holds only what isn't resolved. Two paths of equal cost into a state are compared over all that they don't share: the order of the survivors' complete strings is carried along as their ranks, and
 an extended path compares by its survivor's rank, then by its own step. (Given an edit, the next state is known, and a step
 ends with a row's edit; so no survivor's string begins another's.) Inserts stand before a row's edit or at the end.
 
@@ -42,6 +42,8 @@ FINE, BLANK, REPEAT, CUT = range(4)
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 1, 2, 5, 5
 START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = (USER, USER, ASSISTANT, USER)  # the state after a row that is made to fit
+# What it costs at most to go on from another state instead: (that state, cost). A system row can only be kept at the start.
+STAND_IN = (((ASSISTANT, DELETE), (USER, INSERT + DELETE)), ((ASSISTANT, 0), (USER, INSERT)), ((ASSISTANT, INSERT),), ((USER, INSERT),))
 TAILS = ("", "II", "I", "")  # inserts that end a path well, by state
 LEGAL = {"su", "ua", "au"}
 
@@ -96,6 +98,10 @@ class Trellis:
                 way = (cost[begin] + price, rank[begin], step, begin)
                 if found[end] is None or way < found[end]:
                     found[end] = way
+        price = [way[0] if way else 1 << 60 for way in found]
+        for end in range(4):  # a survivor that others can do all that follows for less than is dropped
+            if any(price[end] > price[other] + more for other, more in STAND_IN[end]):
+                found[end] = None
         self.tips = [None] * 4
         for end, way in enumerate(found):
             if way:
