@@ -16,6 +16,7 @@ from pagemill.operators import rules as R
 from pagemill.operators import sequences as Q
 from pagemill.operators import suggest as S
 from pagemill.operators import titles as T
+from pagemill.plans import site_records
 from pagemill.plans.derived import HOSTS, article_pages, listing_pages, question_pages, recipe_pages, site_pages, words_sql
 from pagemill.sources.tables import read_table
 
@@ -399,3 +400,6 @@ SQL = {
     "y1_weekly_counts": _counts("date_trunc('week', ts)::DATE"),
     "y3_clip_history": "SELECT event_id, ts, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
 }
+
+QUERIES |= site_records.QUERIES
+SQL |= site_records.SQL
