@@ -310,3 +310,267 @@ def documentation_pages(pages: DataFrame, longest: int = 80) -> DataFrame:
 def breadcrumb_rows(docs: DataFrame) -> DataFrame:
     """(page_id, position, label), position from 1."""
     return docs.select("page_id", F.posexplode("breadcrumbs").alias("position", "label")).withColumn("position", (F.col("position") + 1).cast("long"))
+
+
+# --- articles and newsletters
+
+
+def _meta(kind: str, name: str) -> El:
+    return El("meta", attr=kind, op="equals", value=name)
+
+
+def _cls(part: str, tag: str = "") -> El:
+    """An element with this anywhere in its class attribute."""
+    return El(tag, attr="class", op="holds", value=part)
+
+
+def _href(part: str) -> El:
+    return El("a", attr="href", op="holds", value=part)
+
+
+def _all(field: str, *els: El, take: str = "raw") -> list[Pick]:
+    """Elements that are one selector: the first one on the page counts."""
+    return [Pick(field, el, take) for el in els]
+
+
+_BLOCKS = ("p", "h1", "h2", "h3")
+# Where articles and newsletters keep their fields, and phrases of those that aren't free.
+ARTICLE_WALLS = (_part("paywall"), El(any_cls=("paywall", "metered-content")))
+ARTICLE_ROOTS = (El("article"), _part("postContent"), El(cls="postArticle-content"))
+ARTICLE_PHRASES = ["member-only", "member only", "members only", "become a member", "upgrade to read full", "unlimited access"]
+COMMON = [
+    Pick("canonical", El("link", attr="rel", op="equals", value="canonical"), "href"), Pick("og_url", _meta("property", "og:url"), "content"), Pick("keywords", _meta("name", "keywords"), "content"), Pick("meta_tag", _meta("property", "article:tag"), "content"), Pick("whole", El("body"), "raw"),
+]
+ARTICLE = [
+    *COMMON, *_all("title", El("h1"), _part("storyTitle")), *_all("author", _part("authorName"), El("a", inside=El(cls="author-name")), _href("/@")), Pick("handle", _href("/@"), "href"),
+    *_all("publication", _href("/publication/"), _part("publicationName")), Pick("section", _meta("property", "article:section"), "content"),
+    *[Pick(f, x, t) for x in (_part("storyReadTime"), El(cls="readingTime"), El("time", attr="title", inside=El(cls="postMeta"))) for f, t in (("minutes", "raw"), ("minutes_title", "title"))], Pick("minutes_meta", _meta("name", "twitter:data1"), "content"),
+    *[Pick(f, x, t) for x in (_part("clapButton"), El(cls="clap-count"), El(attr="aria-label", op="holds", value="clap")) for f, t in (("claps", "raw"), ("claps_label", "aria-label"))],
+    *[Pick(f, x, t) for x in (El("time"), _part("storyPublishDate")) for f, t in (("stamp", "datetime"), ("stamp_text", "raw"))], *_all("tag", El("a", inside=_part("tagButton")), _href("/tag/")),
+    *_all("sign", *ARTICLE_WALLS, _part("memberOnly"), El(cls="member-only"), take="none"), *_all("root", *ARTICLE_ROOTS, take="none"),
+    *[Pick("block", El(tags=_BLOCKS, inside=x), "raw") for x in ARTICLE_ROOTS], *[Pick("walled", El(tags=_BLOCKS, inside=x), "none") for x in ARTICLE_WALLS],
+]
+LETTER_WALLS = (_cls("paywall"),)
+LETTER_ROOTS = (El(any_cls=("post-content", "body")), El("article"))
+LETTER_PHRASES = ["this post is for paid subscribers", "for paid subscribers only", "upgrade to paid", "become a paid subscriber", "paid subscriber", "subscription required"]
+LETTER = [
+    *COMMON, *_all("title", El("h1", cls="post-title"), _cls("title", "h1"), El("h1", inside=El("article"))), *_all("author", El(cls="author-name"), El("a", inside=El(cls="byline")), _cls("author-name")), *_all("handle", _href("/profile/"), _href("/@"), take="href"),
+    *_all("publication", El(cls="publication-logo"), _cls("publicationName"), El(cls="pub-name")), Pick("site", _meta("property", "og:site_name"), "content"), Pick("app", _meta("name", "application-name"), "content"),
+    *[Pick(f, x, t) for x in (El(cls="like-button"), _cls("likeButton"), _href("/like")) for f, t in (("likes", "raw"), ("likes_label", "aria-label"))], *_all("like_count", El(cls="like-count"), _cls("likeCount")),
+    *[Pick(f, x, t) for x in (_href("#comments"), _href("/comments"), El(cls="comment-count")) for f, t in (("comments", "raw"), ("comments_label", "aria-label"))], *_all("post_id", _meta("property", "article:id"), _meta("name", "article:id"), take="content"),
+    *[Pick(f, x, t) for x in (El(cls="post-date"), El("time", inside=El(cls="byline")), _cls("publishDate")) for f, t in (("stamp", "datetime"), ("stamp_text", "raw"))], *_all("tag", _href("/topic/"), El(cls="topic-tag"), _cls("topicLink")),
+    *_all("sign", *LETTER_WALLS, El(cls="subscription-required"), _cls("paidContent"), take="none"), *_all("free", El(cls="free-post"), _cls("freePost"), take="none"), *_all("open", El(cls="available-content"), _cls("availableContent")), *_all("root", *LETTER_ROOTS, take="none"),
+    *[Pick("block", El(tags=("p", "h2", "h3"), inside=x), "raw") for x in LETTER_ROOTS], *[Pick("walled", El(tags=("p", "h2", "h3"), inside=x), "none") for x in LETTER_WALLS],
+]
+
+
+def first_number(*texts: Column) -> Column:
+    """The first number of the first text that isn't empty."""
+    return F.regexp_extract(F.coalesce(*[F.nullif(t, F.lit("")) for t in texts]), "([0-9]+)", 1).try_cast("long")
+
+
+def bounded(h: DataFrame) -> DataFrame:
+    """Hits with `is_open`: blocks of the page's first root before the first block that lies in a wall, the ranges' bounds found by
+    windows over the page."""
+    field, pos, page = F.col("field"), F.col("pos"), Window.partitionBy("page_id")
+    h = h.withColumn("_root", F.min_by(F.when(field == "root", F.struct("pos", "close")), F.when(field == "root", pos)).over(page))
+    inside = (pos > F.col("_root.pos")) & (pos <= F.col("_root.close"))
+    h = h.withColumn("_wall", F.min(F.when((field == "walled") & inside, pos)).over(page))
+    return h.withColumn("is_open", (field == "block") & inside & (F.col("_wall").isNull() | (pos < F.col("_wall"))) & (F.col("value") != "")).drop("_root", "_wall")
+
+
+def preview(blocks: int = 5, least: int = 100) -> Column:
+    """The first open blocks, by blank lines; null if they are no longer than `least`. A block that is in two roots counts once."""
+    text = F.array_join(F.slice(F.array_distinct(F.array_sort(F.collect_list(F.when(F.col("is_open"), F.struct("pos", "value"))))), 1, blocks)["value"], "\n\n")
+    return F.when(F.length(text) > least, text)
+
+
+def all_tags() -> Column:
+    """Tags of links, then of the keywords, under 50 characters, then of the page's tags; each once."""
+    text = F.col("value")
+    words = F.filter(F.transform(F.split(F.coalesce(first_of("keywords"), F.lit("")), ","), trimmed), lambda k: (k != "") & (F.length(k) < 50))
+    return F.array_distinct(F.concat(ordered("tag", more=F.length(text) < 50), words, ordered("meta_tag")))
+
+
+def signed(phrases: list[str]) -> Column:
+    """Whether an element or a phrase of the page says that it isn't free."""
+    body = F.lower(F.coalesce(first_of("whole"), F.lit("")))
+    out = F.count_if(F.col("field") == "sign") > 0
+    for phrase in phrases:
+        out = out | F.contains(body, F.lit(phrase))
+    return out
+
+
+def _trimmed_hits(pages: DataFrame, fields: list[Pick]) -> DataFrame:
+    h = collect_hits(page_structure(pages), fields)
+    return bounded(h.withColumn("value", F.when(F.col("field") == "whole", F.col("value")).otherwise(trimmed(F.col("value")))))
+
+
+def article_site_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, title, author, handle, publication, date, minutes, claps, tags, member_only, preview, canonical_url)."""
+    h = _trimmed_hits(pages, ARTICLE)
+    handle = F.regexp_extract("value", r"/(@[A-Za-z0-9_-]+)", 1)
+    h = h.where((F.col("field") != "handle") | (handle != ""))
+    there = F.count_if(F.col("field") == "publication") > 0
+    has_minutes = F.coalesce(first_number(first_of("minutes"), first_of("minutes_title")), first_number(first_of("minutes_meta")))
+    return h.groupBy("page_id").agg(
+        F.coalesce(first_of("title"), F.lit("")).alias("title"), F.coalesce(first_of("author"), F.lit("")).alias("author"), F.regexp_extract(first_of("handle"), r"/(@[A-Za-z0-9_-]+)", 1).alias("handle"),
+        F.when(there, F.nullif(first_of("publication"), F.lit(""))).otherwise(first_of("section")).alias("publication"), F.coalesce(F.nullif(first_of("stamp"), F.lit("")), F.nullif(first_of("stamp_text"), F.lit(""))).alias("date"),
+        has_minutes.alias("minutes"), first_number(first_of("claps"), first_of("claps_label")).alias("claps"), all_tags().alias("tags"), signed(ARTICLE_PHRASES).alias("member_only"), preview().alias("preview"), F.coalesce(first_of("canonical"), first_of("og_url")).alias("canonical_url"),
+    )
+
+
+def newsletter_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, title, author, handle, publication, date, post_id, tags, likes, comments, paid, free, preview, canonical_url); the preview of paid
+    posts only. post_id is the page's own; for one that its URL carries see post_id_of()."""
+    h = _trimmed_hits(pages, LETTER)
+    handle = lambda v: F.coalesce(F.nullif(F.regexp_extract(v, r"/profile/[0-9]+-([A-Za-z0-9_]+)", 1), F.lit("")), F.nullif(F.regexp_extract(v, r"/@([A-Za-z0-9_]+)", 1), F.lit("")))
+    h = h.where((F.col("field") != "handle") | handle(F.col("value")).isNotNull())
+    known = lambda v: F.when(v != "Substack", F.nullif(v, F.lit("")))
+    there = F.count_if(F.col("field") == "publication") > 0
+    d = h.groupBy("page_id").agg(
+        F.coalesce(first_of("title"), F.lit("")).alias("title"), F.coalesce(first_of("author"), F.lit("")).alias("author"), handle(first_of("handle")).alias("handle"), F.when(there, F.nullif(first_of("publication"), F.lit(""))).otherwise(F.coalesce(known(first_of("site")), known(first_of("app")))).alias("publication"),
+        F.coalesce(F.nullif(first_of("stamp"), F.lit("")), F.nullif(first_of("stamp_text"), F.lit(""))).alias("date"), first_of("post_id").alias("post_id"), all_tags().alias("tags"), F.coalesce(first_number(first_of("likes"), first_of("likes_label")), first_number(first_of("like_count"))).alias("likes"),
+        first_number(first_of("comments"), first_of("comments_label")).alias("comments"), signed(LETTER_PHRASES).alias("paid"), (F.count_if(F.col("field") == "free") > 0).alias("_free"), (F.count_if(F.col("field") == "open") > 0).alias("_open"), F.nullif(first_of("open"), F.lit("")).alias("_shown"), preview().alias("_preview"), F.coalesce(first_of("canonical"), first_of("og_url")).alias("canonical_url"),
+    )
+    d = d.withColumn("free", ~F.col("paid") | F.col("_free")).withColumn("preview", F.when(F.col("paid"), F.when(F.col("_open"), F.col("_shown")).otherwise(F.col("_preview"))))
+    return d.select("page_id", "title", "author", "handle", "publication", "date", "post_id", "tags", "likes", "comments", "paid", "free", "preview", "canonical_url")
+
+
+def post_id_of(url: Column) -> Column:
+    return F.nullif(F.regexp_extract(url, "/p/([a-zA-Z0-9-]+)", 1), F.lit(""))
+
+
+# --- video pages
+
+VIDEO = [
+    Pick("title", El("title"), "raw"), Pick("channel", El("a", inside=El(id="channel-name")), "raw"), Pick("duration", El("span", cls="ytp-time-duration"), "raw"), Pick("meta_duration", _meta("itemprop", "duration"), "content"), Pick("whole", El("body"), "raw"),
+    Pick("live", El(cls="ytp-live-badge"), "none"), Pick("live", El(attr="data-live", op="equals", value="true"), "none"), Pick("gate", El(cls="ytp-age-gate"), "none"), Pick("account", El(id="account-container"), "raw"), Pick("alert", El(cls="yt-alert-message"), "raw"),
+]
+
+
+def assigned_json(html: Column, name: str) -> Column:
+    """The JSON object that a script assigns to a variable, cut where its braces balance; braces within strings don't count, nor
+    quotes after a backslash. Null where there is none or it doesn't end. The state of the running depth is three numbers, so
+    a long object costs no more than one look at its pieces."""
+    tail = F.regexp_extract(html, rf"(?s)\b{name}\s*=\s*(\{{.*)", 1)
+    pieces = F.regexp_extract_all(tail, F.lit(r"(?s)\\.|[\"{}]|[^\"{}\\]+"), F.lit(0))
+    state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("quoted"), F.lit(False).alias("done"))
+
+    def step(s: Column, p: Column) -> Column:
+        depth = s.depth + F.when(s.quoted, 0).when(p == "{", 1).when(p == "}", -1).otherwise(0)
+        after = F.struct(depth.alias("depth"), (s["size"] + F.length(p)).alias("size"), F.when(p == '"', ~s.quoted).otherwise(s.quoted).alias("quoted"), ((depth == 0) & ~s.quoted & (p == "}")).alias("done"))
+        return F.when(s.done, s).otherwise(after)
+
+    end = F.aggregate(pieces, state, step, lambda s: F.when(s.done, s["size"]))
+    return F.substr(tail, F.lit(1), end)
+
+
+def clock(seconds: Column) -> Column:
+    """Seconds as m:ss or h:mm:ss."""
+    short = F.format_string("%d:%02d", F.floor(seconds / 60), seconds % 60)
+    return F.when(seconds >= 3600, F.format_string("%d:%02d:%02d", F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60)).otherwise(short)
+
+
+def video_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, title, channel, duration, kind, supported): from the page, else from the player's data in a script. Kinds are asked for in this
+    order: shorts, live, age-restricted, unavailable, normal; shorts and normal ones have transcripts."""
+    data = pages.select("page_id", "url", F.try_parse_json(assigned_json(F.col("html"), "ytInitialPlayerResponse")).alias("_data"))
+    part = lambda path: F.try_variant_get("_data", path, "string")
+    data = data.select("page_id", "url", part("$.videoDetails.title").alias("_title"), part("$.videoDetails.author").alias("_author"), part("$.videoDetails.lengthSeconds").try_cast("long").alias("_seconds"))
+    h = collect_hits(page_structure(pages), VIDEO)
+    has, body = lambda n: F.count_if(F.col("field") == n) > 0, F.coalesce(first_of("whole"), F.lit(""))
+    says = lambda n, word: F.contains(F.coalesce(first_of(n), F.lit("")), F.lit(word))
+    d = h.groupBy("page_id").agg(
+        trimmed(F.replace(F.coalesce(first_of("title"), F.lit("")), F.lit(" - YouTube"), F.lit(""))).alias("title"), F.coalesce(trimmed(first_of("channel")), F.lit("")).alias("channel"), F.coalesce(F.nullif(first_of("duration"), F.lit("")), F.nullif(first_of("meta_duration"), F.lit(""))).alias("duration"),
+        (has("live") | F.contains(body, F.lit("Watching live"))).alias("live"), (has("gate") | F.contains(body, F.lit("sign in to confirm your age")) | says("account", "age")).alias("aged"), (F.contains(body, F.lit("This video is unavailable")) | says("alert", "unavailable")).alias("gone"),
+    )
+    kind = F.when(F.col("url").rlike(r"^https?://(www\.)?youtube\.com/shorts"), "shorts").when(F.col("live"), "live").when(F.col("aged"), "age-restricted").when(F.col("gone"), "unavailable").otherwise("normal")
+    d = data.join(d, "page_id", "left").withColumn("kind", kind)
+    filled = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), other, F.lit(""))
+    return d.select("page_id", filled("title", F.col("_title")).alias("title"), filled("channel", F.col("_author")).alias("channel"), filled("duration", clock(F.col("_seconds"))).alias("duration"), "kind", F.col("kind").isin("shorts", "normal").alias("supported"))
+
+
+# --- papers
+
+AUTHORS = (El(any_cls=("authors", "ltx_author")), El(id="authors"))
+PAPER = [
+    *picks("title", El("h1", cls="title"), El(cls="title"), El(id="title"), El("h1", cls="ltx_title"), take="raw"), *_all("authors", *AUTHORS), *[Pick("author", El("a", inside=x), "raw") for x in AUTHORS],
+    *picks("abstract", El("blockquote", cls="abstract"), El(cls="abstract"), El(id="abstract"), El(cls="ltx_abstract"), take="raw"), *picks("date", El(cls="dateline"), El(cls="submission-date"), El(cls="ltx_date"), take="raw"),
+    *_all("subjects", El(any_cls=("subjects", "keywords")), El(id="keywords")), *_all("acm", El(any_cls=("acm-classes", "msc-classes"))), *_all("comments", El(cls="comments"), El(id="comments")), *_all("journal", El(cls="journal-ref"), El(id="journal-ref")),
+    *[Pick(f, x, t) for x in (El(cls="doi"), El(id="doi"), _href("doi.org")) for f, t in (("doi", "raw"), ("doi_href", "href"))],
+]
+
+
+def paper_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, paper_id, version, title, authors, abstract, subjects, acm, comments, journal, doi, submitted, pdf_url, abs_url, html_url).
+    Authors are the links in the first list of authors, in page order, each once, else its text between commas; subjects the
+    primary and the secondary ones, else all parts of the text."""
+    from pagemill.functions.urls import site_key_of
+
+    field, value, pos, page = F.col("field"), F.col("value"), F.col("pos"), Window.partitionBy("page_id")
+    h = collect_hits(page_structure(pages), PAPER).withColumn("value", trimmed(value))
+    h = h.withColumn("_list", F.min_by(F.when(field == "authors", F.struct("pos", "close")), F.when(field == "authors", pos)).over(page))
+    inside = (pos > F.col("_list.pos")) & (pos <= F.col("_list.close")) & (F.length(value) > 1)
+    h = h.withColumn("_first", F.row_number().over(Window.partitionBy("page_id", "field", "rank").orderBy("pos")) == 1)
+    by_rank = lambda name, v=value: F.get(F.array_sort(F.collect_list(F.when(F.col("_first") & (field == name) & (v != ""), F.struct("rank", v.alias("v"))))), F.lit(0))["v"]
+    split = lambda text, by: F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), by), trimmed), lambda x: x != "")
+    d = h.groupBy("page_id").agg(
+        collapsed(by_rank("title")).alias("title"), F.array_distinct(ordered("author", more=inside)).alias("links"), first_of("authors").alias("listed"), by_rank("abstract", collapsed(F.regexp_replace(value, rf"(?i)^Abstract:{WHITE}*", ""))).alias("abstract"),
+        by_rank("date").alias("date"), F.coalesce(first_of("subjects"), F.lit("")).alias("topics"), split(first_of("acm"), "[;,]").alias("acm"), F.nullif(trimmed(F.regexp_replace(first_of("comments"), "(?i)^Comments:", "")), F.lit("")).alias("comments"),
+        F.nullif(trimmed(F.regexp_replace(first_of("journal"), "(?i)^Journal reference:", "")), F.lit("")).alias("journal"), first_of("doi").alias("doi_text"), first_of("doi_href").alias("doi_href"),
+    )
+    names = F.array_distinct(F.filter(split(F.col("listed"), ","), lambda x: F.length(x) > 1))
+    primary = F.nullif(F.regexp_extract("topics", rf"(?i)Primary:{WHITE}*([a-z-]+\.[A-Z]+)", 1), F.lit(""))
+    second = split(F.regexp_extract("topics", rf"(?i)Secondary:{WHITE}*([A-Za-z0-9_.,\s;-]+)", 1), "[;,]")
+    both = F.array_distinct(F.concat(F.array_compact(F.array(primary)), second))
+    plain = F.filter(split(F.col("topics"), "[;,]"), lambda x: (F.length(x) > 2) & ~x.startswith("Primary") & ~x.startswith("Secondary"))
+    found = lambda pattern: F.nullif(F.regexp_extract("date", pattern, 1), F.lit(""))
+    submitted = F.coalesce(found(r"([0-9]{1,2}\s+\w+\s+[0-9]{4})"), found("([0-9]{4}-[0-9]{2}-[0-9]{2})"), trimmed(F.regexp_replace("date", r"[\[\]]", "")))
+    doi = F.when(F.contains(F.col("doi_href"), F.lit("doi.org")), F.regexp_replace("doi_href", r".*doi\.org/", "")).otherwise(F.nullif(F.regexp_extract("doi_text", r"10\.[0-9]{4,}/[^\s]+", 0), F.lit("")))
+    keys = pages.select("page_id", site_key_of(F.col("url")).alias("k")).select("page_id", F.when(F.col("k.site") == "paper", F.col("k.key")).alias("paper_id"), F.when(F.col("k.site") == "paper", F.regexp_replace("k.key2", "^v", "")).try_cast("long").alias("version"))
+    at = lambda kind: F.concat(F.lit(kind), F.col("paper_id"))
+    return keys.join(d, "page_id", "left").select(
+        "page_id", "paper_id", "version", "title", F.when(F.size("links") > 0, F.col("links")).otherwise(names).alias("authors"), "abstract", F.when(F.size(both) > 0, both).otherwise(plain).alias("subjects"), "acm", "comments", "journal", doi.alias("doi"), submitted.alias("submitted"),
+        F.concat(at("https://arxiv.org/pdf/"), F.lit(".pdf")).alias("pdf_url"), at("https://arxiv.org/abs/").alias("abs_url"), at("https://ar5iv.org/abs/").alias("html_url"),
+    )
+
+
+# --- note bodies
+
+
+def paper_bibtex(year: str) -> Column:
+    """BibTeX of a paper; `year` stands in where it has no date. Null without id or title."""
+    first = F.coalesce(F.get("authors", F.lit(0)), F.lit("Unknown"))
+    of = F.coalesce(F.nullif(F.regexp_extract("submitted", "[0-9]{4}", 0), F.lit("")), F.lit(year))
+    key = F.concat(F.lower(F.regexp_extract(first, r"(\S+)\s*$", 1)), of, F.regexp_replace("paper_id", "[./]", ""))
+    line = lambda name, text: F.concat(F.lit(f"  {name:<9} = {{"), text, F.lit("}"))
+    rows = F.concat_ws(",\n", F.concat(F.lit("@article{"), key), line("title", F.col("title")), F.when(F.size("authors") > 0, line("author", F.array_join("authors", " and "))), line("journal", F.concat(F.lit("arXiv preprint arXiv:"), F.col("paper_id"))), line("year", of), line("doi", F.col("doi")), line("url", F.col("abs_url")))
+    return F.when(F.col("paper_id").isNotNull() & F.col("title").isNotNull(), F.concat(rows, F.lit("\n}")))
+
+
+def paper_citation() -> Column:
+    who = F.when(F.size("authors") > 2, F.concat(F.get("authors", F.lit(0)), F.lit(" et al."))).when(F.size("authors") > 0, F.array_join("authors", " & ")).otherwise("Unknown Author")
+    year = F.regexp_extract(F.coalesce("submitted", F.lit("")), "[0-9]{4}", 0)
+    return F.when(F.col("title").isNotNull(), F.concat(who, F.when(year != "", F.concat(F.lit(" ("), year, F.lit(")"))).otherwise(""), F.lit('. "'), F.col("title"), F.lit('".'), F.coalesce(F.concat(F.lit(" arXiv:"), F.col("paper_id")), F.lit(""))))
+
+
+def render_paper(papers: DataFrame, year: str = "2024") -> DataFrame:
+    """(page_id, body)."""
+    ticked = F.array_join(F.transform("subjects", lambda s: F.concat(F.lit("`"), s, F.lit("`"))), ", ")
+    parts = [
+        F.concat(F.lit("# "), F.col("title")), F.when(F.size("authors") > 0, F.concat(F.lit("**Authors:** "), F.array_join("authors", ", "))), F.concat(F.lit("**ArXiv ID:** [`"), F.col("paper_id"), F.lit("`]("), F.col("abs_url"), F.lit(")\n\n[PDF]("), F.col("pdf_url"), F.lit(") | [HTML]("), F.col("html_url"), F.lit(")")),
+        F.concat(F.lit("**Submitted:** "), F.nullif("submitted", F.lit(""))), F.when(F.size("subjects") > 0, F.concat(F.lit("**Subjects:** "), ticked)), F.concat(F.lit("## Abstract\n\n"), F.col("abstract")), F.concat(F.lit("> **Comments:** "), F.col("comments")), F.concat(F.lit("**Journal Reference:** "), F.col("journal")),
+        F.concat(F.lit("**DOI:** ["), F.col("doi"), F.lit("](https://doi.org/"), F.col("doi"), F.lit(")")), F.concat(F.lit("## Citation\n\n```bibtex\n"), paper_bibtex(year), F.lit("\n```")),
+    ]
+    return papers.select("page_id", F.concat_ws("\n\n", *parts).alias("body"))
+
+
+def render_documentation(docs: DataFrame, contents: DataFrame) -> DataFrame:
+    """(page_id, body): the content of (page_id, content) under its title, path, section, languages."""
+    d = docs.join(contents, "page_id", "left")
+    path = F.when(F.size("breadcrumbs") > 0, F.concat(F.lit("> 📍 Path: "), F.array_join("breadcrumbs", " → "), F.lit("\n"), F.when((F.col("section") != "") & (F.col("section") != F.col("title")), F.concat(F.lit("> 📁 Section: "), F.col("section"), F.lit("\n"))).otherwise(""), F.lit("\n"))).otherwise("")
+    code = F.when(F.size("languages") > 0, F.concat(F.lit("> 💻 Languages: "), F.array_join(F.transform("languages", lambda x: F.concat(F.lit("`"), x, F.lit("`"))), ", "), F.lit("\n"))).otherwise("")
+    live = F.when(F.col("interactive"), F.lit("> ▶️ This page has interactive examples\n")).otherwise("")
+    gap = F.when((code != "") | (live != ""), "\n").otherwise("")
+    return d.select("page_id", F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), path, code, live, gap, F.coalesce("content", F.lit(""))).alias("body"))

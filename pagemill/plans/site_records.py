@@ -177,5 +177,125 @@ SELECT n AS page_id, title, array_to_string(b, ' > ') AS breadcrumbs, coalesce(b
 """
 BREADCRUMB_SQL = f"{_CRUMBS_SQL} SELECT n AS page_id, unnest(range(1, len(b) + 1)) AS position, unnest(b) AS label FROM y"
 
-QUERIES = {"r6_encyclopedia": _encyclopedia, "r13_social_posts": _social, "r11_products": _products, "r10_documentation": _documentation, "r10_breadcrumbs": _breadcrumbs}
-SQL = {"r6_encyclopedia": ENCYCLOPEDIA_SQL, "r13_social_posts": SOCIAL_SQL, "r11_products": PRODUCT_SQL, "r10_documentation": DOCUMENTATION_SQL, "r10_breadcrumbs": BREADCRUMB_SQL}
+def article_html(docs: DataFrame, newsletter: bool = False) -> DataFrame:
+    """(page_id, url, html): an article per document, its whole text the third block; a wall comes after the second block, after the
+    sixth, or not at all."""
+    n, s = F.col("n"), joined
+    p = lambda *x: s("<p>", *x, "</p>")
+    wall = '<div class="x-paywall">' if newsletter else '<section data-testid="paywall">'
+    end = "</div>" if newsletter else "</section>"
+    blocks = s(
+        "<h2>", word(0), "</h2>", p(" "), p(word(1), " and a sentence."), F.when(n % 3 == 0, s(wall, p("walled"), end)).otherwise(""), p(escaped(F.col("t"))), p(word(2)), p(word(3), " &amp; ", word(4)), F.when(n % 3 == 1, s(wall, "<h2>walled</h2>", p("walled"), end)).otherwise(""), p("sixth or not"), p("a seventh one"),
+    )
+    head = s('<html><head><meta name="keywords" content="', word(5), ", ", word(6), " ,", word(5), ",", F.repeat(F.lit("k"), 50), '"><meta property="article:tag" content="', word(7), '"><meta property="og:url" content="https://a.test/og">', F.when(n % 2 == 0, s('<link rel="canonical" href="https://a.test/', n.cast("string"), '">')).otherwise(""))
+    if newsletter:
+        html = s(
+            head, F.when(n % 4 == 0, '<meta property="article:id" content="77">').otherwise(""), '<meta property="og:site_name" content="', F.when(n % 2 == 0, "Substack").otherwise("Site"), '"><meta name="application-name" content="App"></head><body>', F.when(n % 5 == 0, s('<div class="pencraft publicationName-x">Pub ', word(8), "</div>")).otherwise(""),
+            '<article><h1 class="post-title"> ', word(0), " ", word(9), '</h1><div class="byline"><a href="https://s.test/profile/12-', word(1), '">', word(1), '</a><time datetime="2024-01-02">Jan</time></div>', F.when(n % 6 == 0, s('<div class="available-content"> all of ', word(2), "</div>")).otherwise(""), '<div class="body">', blocks, "</div></article>",
+            '<a class="likeButton" aria-label="Like (', F.pmod(n, F.lit(40)).cast("string"), ')"></a><a href="/p/x/comments" aria-label="x">', F.pmod(n, F.lit(7)).cast("string"), ' comments</a><a href="/topic/x">', word(10), "</a>", F.when(n % 9 == 0, '<i class="freePost"></i>').otherwise(""), "</body></html>",
+        )
+    else:
+        html = s(
+            head, '<meta name="twitter:data1" content="9 min read"><meta property="article:section" content="Section"></head><body><article><h1> ', word(0), " ", word(9), '</h1><a href="https://m.test/about">no</a><a data-testid="authorName" href="https://m.test/@', word(1), '?s=1">', word(1), " ", word(2), "</a>", F.when(n % 4 == 0, s('<a href="/publication/x"> Pub ', word(8), "</a>")).otherwise(""),
+            F.when(n % 2 == 1, s('<span data-testid="storyReadTime">', F.pmod(n, F.lit(12)).cast("string"), " min</span>")).otherwise(""), '<span data-testid="storyPublishDate">Jan ', F.pmod(n, F.lit(28)).cast("string"), "</span>", blocks, F.when(n % 10 == 2, p("Become a member now")).otherwise(""), '</article><div data-testid="tagButton"><a>', word(10), '</a></div><a href="/tag/x">', word(10), '</a><a href="/tag/y">', F.repeat(F.lit("t"), 50), '</a><button aria-label="',
+            F.pmod(n, F.lit(33)).cast("string"), ' claps"> </button></body></html>',
+        )
+    return one_text(docs).select(n.alias("page_id"), s("https://a.test/p/", word(0), "-", n.cast("string")).alias("url"), html.alias("html"))
+
+
+def _article_sites(spark, sf_dir):
+    return X.article_site_pages(article_html(read_table(spark, sf_dir, "documents"))).withColumn("tags", F.array_join("tags", "|"))
+
+
+def _newsletters(spark, sf_dir):
+    return X.newsletter_pages(article_html(read_table(spark, sf_dir, "documents"), True)).withColumn("tags", F.array_join("tags", "|"))
+
+
+# DuckDB: the blocks that are open, five of them at most, and tags in order, each once.
+_OPEN_SQL = lambda first: rf"""WITH {TEXT_SQL},
+b AS (SELECT *, list_filter([{first}w[1], w[2] || ' and a sentence.'] || CASE WHEN n % 3 = 0 THEN [] ELSE [trimmed, w[3], w[4] || ' & ' || w[5]] || CASE WHEN n % 3 = 1 THEN [] ELSE ['sixth or not', 'a seventh one'] END END, lambda x: x <> '')[1:5] AS bs FROM d),
+x AS (SELECT *, array_to_string(bs, chr(10) || chr(10)) AS pre, list_filter([w[11], w[6], w[7], w[8]], lambda x: true) AS raw_tags FROM b),
+y AS (SELECT *, array_to_string(list_filter(raw_tags, lambda x, i: list_position(raw_tags, x) = i), '|') AS tags, CASE WHEN n % 2 = 0 THEN 'https://a.test/' || n ELSE 'https://a.test/og' END AS canonical_url FROM x)"""
+_PHRASED = lambda phrases: "(" + " OR ".join(f"contains(lower(t), '{x}')" for x in phrases) + ")"
+ARTICLE_SITE_SQL = rf"""{_OPEN_SQL("w[1] || ' ' || w[10], ")}
+SELECT n AS page_id, w[1] || ' ' || w[10] AS title, w[2] || ' ' || w[3] AS author, '@' || w[2] AS handle, CASE WHEN n % 4 = 0 THEN 'Pub ' || w[9] ELSE 'Section' END AS publication, 'Jan ' || n % 28 AS date, CASE WHEN n % 2 = 1 THEN n % 12 ELSE 9 END::BIGINT AS minutes, (n % 33)::BIGINT AS claps, tags,
+  n % 3 <= 1 OR n % 10 = 2 OR {_PHRASED(X.ARTICLE_PHRASES)} AS member_only, CASE WHEN length(pre) > 100 THEN pre END AS preview, canonical_url FROM y
+"""
+NEWSLETTER_SQL = rf"""{_OPEN_SQL("")},
+z AS (SELECT *, n % 3 <= 1 OR {_PHRASED(X.LETTER_PHRASES)} AS paid FROM y)
+SELECT n AS page_id, w[1] || ' ' || w[10] AS title, w[2] AS author, w[2] AS handle, CASE WHEN n % 5 = 0 THEN 'Pub ' || w[9] WHEN n % 2 = 0 THEN 'App' ELSE 'Site' END AS publication, '2024-01-02' AS date, CASE WHEN n % 4 = 0 THEN '77' END AS post_id, tags, (n % 40)::BIGINT AS likes, (n % 7)::BIGINT AS comments, paid, NOT paid OR n % 9 = 0 AS free,
+  CASE WHEN paid THEN CASE WHEN n % 6 = 0 THEN 'all of ' || w[3] WHEN length(pre) > 100 THEN pre END END AS preview, canonical_url FROM z
+"""
+
+
+def video_html(docs: DataFrame) -> DataFrame:
+    """(page_id, url, html): a video page per document; the whole text is the title in the player's data, before braces and quotes
+    within strings."""
+    n, s = F.col("n"), joined
+    player = s('{"a":"} \\" {","videoDetails":{"title":', F.regexp_extract(F.to_json(F.array(F.replace(F.col("t"), F.lit("<"), F.lit("&")))), r"(?s)^\[(.*)\]$", 1), ',"author":"By } ', word(1), '","lengthSeconds":"', (F.pmod(n, F.lit(5000))).cast("string"), '"},"z":[{}]}')
+    html = s(
+        "<html><head><title>", F.when(n % 2 == 0, s(word(0), " ", word(2), " - YouTube")).otherwise(" - YouTube"), "</title>", F.when(n % 3 == 0, '<meta itemprop="duration" content="PT9S">').otherwise(""), "</head><body><script>var other = {};var ytInitialPlayerResponse = ", player, ';var meta = {"}":1};</script>',
+        F.when(n % 4 == 0, s('<div id="channel-name"><a href="/c"> ', word(3), " </a></div>")).otherwise(""), F.when(n % 6 == 1, '<span class="ytp-time-duration">4:05</span>').otherwise(""), "<p>", word(4), "</p>", F.when(n % 5 == 0, '<i class="ytp-live-badge"></i>').otherwise(""), F.when(n % 7 == 0, "<p>please sign in to confirm your age</p>").otherwise(""), F.when(n % 11 == 0, '<div class="yt-alert-message">is unavailable</div>').otherwise(""), "</body></html>",
+    )
+    return one_text(docs).select(n.alias("page_id"), F.when(n % 13 == 0, s("https://www.youtube.com/shorts/", n.cast("string"))).otherwise(s("https://www.youtube.com/watch?v=", n.cast("string"))).alias("url"), html.alias("html"))
+
+
+def _videos(spark, sf_dir):
+    return X.video_pages(video_html(read_table(spark, sf_dir, "documents")))
+
+
+VIDEO_SQL = rf"""
+WITH {TEXT_SQL},
+x AS (SELECT *, CASE WHEN n % 6 = 1 THEN '4:05' WHEN n % 3 = 0 THEN 'PT9S' ELSE CASE WHEN n % 5000 >= 3600 THEN (n % 5000) // 3600 || ':' || lpad(((n % 5000) // 60 % 60)::VARCHAR, 2, '0') ELSE ((n % 5000) // 60)::VARCHAR END || ':' || lpad((n % 60)::VARCHAR, 2, '0') END AS duration,
+  CASE WHEN n % 13 = 0 THEN 'shorts' WHEN n % 5 = 0 THEN 'live' WHEN n % 7 = 0 THEN 'age-restricted' WHEN n % 11 = 0 THEN 'unavailable' ELSE 'normal' END AS kind FROM d)
+SELECT n AS page_id, CASE WHEN n % 2 = 0 THEN w[1] || ' ' || w[3] ELSE replace(t, '<', '&') END AS title, CASE WHEN n % 4 = 0 THEN w[4] ELSE 'By }} ' || w[2] END AS channel, duration, kind, kind IN ('shorts', 'normal') AS supported FROM x
+"""
+
+
+def paper_html(docs: DataFrame) -> DataFrame:
+    """(page_id, url, html): a paper per document, its whole text the abstract."""
+    n, s = F.col("n"), joined
+    authors = F.when(n % 3 == 0, s('<div class="authors"><span>Authors:</span><a>', word(0), " ", word(1), "</a>, <a> ", word(2), "</a>, <a>", word(0), " ", word(1), "</a></div>")).when(n % 3 == 1, s('<div class="authors">', word(3), ", ", word(4), " ", word(5), ", x</div>")).otherwise(s('<div id="authors"><a>', word(0), "</a><a>", word(1), "</a><a>", word(2), ' Lee</a></div><div class="authors"><a>other</a></div>'))
+    subjects = F.when(n % 2 == 0, "Primary: cs.AI; Secondary: cs.LG, I.2.7 ; cs.LG").otherwise(s("cs.CL, ab; ", word(6), "xx"))
+    date = F.when(n % 4 == 0, s('<div class="dateline">[Submitted on ', (F.pmod(n, F.lit(28)) + 1).cast("string"), " Jan 2023]</div>")).when(n % 4 == 1, '<div class="dateline"> </div><div class="submission-date">on 2022-05-06</div>').when(n % 4 == 2, '<div class="dateline">[some day]</div>').otherwise("")
+    html = s(
+        '<html><body><h1 class="title"> </h1><h1 id="title">', word(0), "\n ", word(7), "</h1>", authors, '<blockquote class="abstract"><span>Abstract:</span>  ', escaped(F.col("t")), '</blockquote><td class="subjects">', subjects, "</td>", date, F.when(n % 5 == 0, '<td class="comments">Comments: 5 pages</td><td class="journal-ref">Journal Reference: J. of X 3</td>').otherwise(""),
+        F.when(n % 3 == 0, s('<td class="doi"><a href="https://doi.org/10.1000/inner">10.1000/x', n.cast("string"), " </a></td>")).when(n % 3 == 1, s('<a href="https://doi.org/10.2000/y', n.cast("string"), '">link</a>')).otherwise(""), '<td class="acm-classes">H.3; I.2, ', word(8), "</td></body></html>",
+    )
+    number = F.concat(F.lit("2301."), F.lpad(F.pmod(n, F.lit(100_000)).cast("string"), 5, "0"))
+    return one_text(docs).select(n.alias("page_id"), s("https://arxiv.org/abs/", number, F.when(n % 2 == 0, "v2").otherwise("")).alias("url"), html.alias("html"))
+
+
+def _papers(spark, sf_dir):
+    d = X.paper_pages(paper_html(read_table(spark, sf_dir, "documents")))
+    d = d.withColumn("citation", X.paper_citation()).withColumn("bibtex", X.paper_bibtex("2024"))
+    return d.select("page_id", "paper_id", "version", "title", F.array_join("authors", "|").alias("authors"), "abstract", F.array_join("subjects", "|").alias("subjects"), F.array_join("acm", "|").alias("acm"), "comments", "journal", "doi", "submitted", "html_url", "citation", "bibtex")
+
+
+def _paper_notes(spark, sf_dir):
+    return X.render_paper(X.paper_pages(paper_html(read_table(spark, sf_dir, "documents"))))
+
+
+_PAPER_SQL = rf"""WITH {TEXT_SQL},
+x AS (SELECT *, '2301.' || lpad((n % 100000)::VARCHAR, 5, '0') AS id, w[1] || ' ' || w[8] AS title, nullif(regexp_replace(p, '^(?i)Abstract: ?', ''), '') AS abstract,
+  CASE n % 3 WHEN 0 THEN list_filter([w[1] || ' ' || w[2], w[3]], lambda a: length(a) > 1) WHEN 1 THEN list_filter(CASE WHEN w[4] = w[5] || ' ' || w[6] THEN [w[4]] ELSE [w[4], w[5] || ' ' || w[6]] END, lambda a: length(a) > 1) ELSE list_filter(list_filter([w[1], w[2], w[3] || ' Lee'], lambda a, i: list_position([w[1], w[2], w[3] || ' Lee'], a) = i), lambda a: length(a) > 1) END AS au,
+  CASE WHEN n % 2 = 0 THEN ['cs.AI', 'cs.LG', 'I.2.7'] ELSE list_filter(['cs.CL', w[7] || 'xx'], lambda a: length(a) > 2) END AS su, CASE WHEN n % 5 = 0 THEN '5 pages' END AS comments, CASE WHEN n % 5 = 0 THEN 'J. of X 3' END AS journal, CASE n % 3 WHEN 0 THEN '10.1000/x' || n WHEN 1 THEN '10.2000/y' || n END AS doi,
+  CASE n % 4 WHEN 0 THEN (n % 28 + 1) || ' Jan 2023' WHEN 1 THEN '2022-05-06' WHEN 2 THEN 'some day' END AS submitted, CASE n % 4 WHEN 0 THEN '2023' WHEN 1 THEN '2022' END AS year FROM d),
+y AS (SELECT *, 'https://arxiv.org/abs/' || id AS abs, coalesce(au[1], 'Unknown') AS fa FROM x),
+z AS (SELECT *, '@article{{' || lower(string_split(fa, ' ')[-1]) || coalesce(year, '2024') || replace(id, '.', '') || ',' || chr(10) || '  title     = {{' || title || '}},' || chr(10) || CASE WHEN len(au) > 0 THEN '  author    = {{' || array_to_string(au, ' and ') || '}},' || chr(10) ELSE '' END
+  || '  journal   = {{arXiv preprint arXiv:' || id || '}},' || chr(10) || '  year      = {{' || coalesce(year, '2024') || '}},' || chr(10) || CASE WHEN doi IS NULL THEN '' ELSE '  doi       = {{' || doi || '}},' || chr(10) END || '  url       = {{' || abs || '}}' || chr(10) || '}}' AS bibtex FROM y)"""
+PAPER_SQL = f"""{_PAPER_SQL}
+SELECT n AS page_id, id AS paper_id, CASE WHEN n % 2 = 0 THEN 2::BIGINT END AS version, title, array_to_string(au, '|') AS authors, abstract, array_to_string(su, '|') AS subjects, 'H.3|I.2|' || w[9] AS acm, comments, journal, doi, submitted, 'https://ar5iv.org/abs/' || id AS html_url,
+  CASE WHEN len(au) > 2 THEN au[1] || ' et al.' WHEN len(au) > 0 THEN array_to_string(au, ' & ') ELSE 'Unknown Author' END || coalesce(' (' || year || ')', '') || '. "' || title || '". arXiv:' || id AS citation, bibtex FROM z
+"""
+PAPER_NOTE_SQL = f"""{_PAPER_SQL}
+SELECT n AS page_id, concat_ws(chr(10) || chr(10), '# ' || title, CASE WHEN len(au) > 0 THEN '**Authors:** ' || array_to_string(au, ', ') END, '**ArXiv ID:** [`' || id || '`](' || abs || ')', '[PDF](https://arxiv.org/pdf/' || id || '.pdf) | [HTML](https://ar5iv.org/abs/' || id || ')', '**Submitted:** ' || submitted,
+  CASE WHEN len(su) > 0 THEN '**Subjects:** ' || array_to_string(list_transform(su, lambda a: '`' || a || '`'), ', ') END, '## Abstract' || chr(10) || chr(10) || abstract, '> **Comments:** ' || comments, '**Journal Reference:** ' || journal, '**DOI:** [' || doi || '](https://doi.org/' || doi || ')', '## Citation' || chr(10) || chr(10) || '```bibtex' || chr(10) || bibtex || chr(10) || '```') AS body FROM z
+"""
+
+QUERIES = {
+    "r6_encyclopedia": _encyclopedia, "r13_social_posts": _social, "r11_products": _products, "r10_documentation": _documentation, "r10_breadcrumbs": _breadcrumbs, "r7_article_sites": _article_sites, "r8_newsletters": _newsletters, "r14_videos": _videos, "r9_papers": _papers, "n8_paper_notes": _paper_notes,
+}
+SQL = {
+    "r6_encyclopedia": ENCYCLOPEDIA_SQL, "r13_social_posts": SOCIAL_SQL, "r11_products": PRODUCT_SQL, "r10_documentation": DOCUMENTATION_SQL, "r10_breadcrumbs": BREADCRUMB_SQL, "r7_article_sites": ARTICLE_SITE_SQL, "r8_newsletters": NEWSLETTER_SQL, "r14_videos": VIDEO_SQL, "r9_papers": PAPER_SQL, "n8_paper_notes": PAPER_NOTE_SQL,
+}
