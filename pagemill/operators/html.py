@@ -24,7 +24,6 @@ LANGUAGE_NAMES = {"js": "javascript", "ts": "typescript", "py": "python", "rb":
 KNOWN_LANGUAGES = "javascript typescript python ruby bash yaml markdown csharp cpp rust kotlin java go php html css json sql swift scala xml text".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 BLOCKS = "address article aside blockquote body br dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead title tr ul".split()
-HOLDERS = "article aside blockquote body div dl footer form header html li main nav ol section table tbody td th thead tr ul".split()
 
 
 def raw_attribute(tok: Column, name: str) -> Column:
@@ -130,28 +129,6 @@ def parents(elements: DataFrame, holders: DataFrame) -> DataFrame:
     return met.groupBy(F.col("e.page_id").alias("page_id"), F.col("e.open_pos").alias("open_pos")).agg(F.max("h.open_pos").alias("parent_pos"))
 
 
-def score_blocks(pages: DataFrame, least: int = 25) -> DataFrame:
-    """(page_id, open_pos, tag, score): the best holder of each page. A paragraph, pre or cell of `least` characters gives
-    its score (length up to 3 hundreds, half a point a comma, one a full stop) whole to its parent, half to the
-    grandparent; of equal scores the first."""
-    t = page_tokens(pages)
-    iv = page_intervals(t)
-    out = is_one_of([*REMOVED, ("tag", "form")])
-    t = inside(t, iv.where(out), "_out").where("_out = 0").drop("_out")
-    blocks = iv.where("tag in ('p', 'pre', 'td')")
-    texts = element_texts(t, blocks).where(F.length("text") >= least)
-    text = F.col("text")
-    points = F.least(F.length(text) / 100.0, F.lit(3.0)) + 0.5 * F.regexp_count(text, F.lit(",")) + F.regexp_count(text, F.lit(r"\."))
-    holders = iv.where(F.col("tag").isin(HOLDERS)).select("page_id", "open_pos", "close_pos", "tag")
-    of = parents(blocks.select("page_id", "open_pos"), holders.where("tag <> 'td'"))
-    up = parents(holders.select("page_id", "open_pos"), holders).select("page_id", F.col("open_pos").alias("parent_pos"), F.col("parent_pos").alias("grand_pos"))
-    given = texts.select("page_id", "open_pos", points.alias("points")).join(of, ["page_id", "open_pos"]).join(up, ["page_id", "parent_pos"], "left")
-    each = given.select("page_id", F.explode(F.array(F.struct(F.col("parent_pos").alias("pos"), F.col("points").alias("s")), F.struct(F.col("grand_pos").alias("pos"), (F.col("points") / 2).alias("s")))).alias("g"))
-    total = each.where("g.pos is not null").groupBy("page_id", F.col("g.pos").alias("open_pos")).agg(F.round(F.sum("g.s"), 6).alias("score"))
-    best = total.groupBy("page_id").agg(F.max_by(F.struct("open_pos", "score"), F.struct("score", -F.col("open_pos"))).alias("b")).select("page_id", "b.open_pos", "b.score")
-    return best.join(holders.select("page_id", "open_pos", "tag"), ["page_id", "open_pos"]).select("page_id", "open_pos", "tag", "score")
-
-
 def code_language(classes: Column, code: Column) -> Column:
     """A language from a class, else from what the code looks like; empty where neither tells."""
     named = F.get(F.filter(F.transform(classes, lambda c: F.lower(F.regexp_extract(c, r"(?i)^(?:language|lang|highlight)-(.+)$", 1))), lambda c: c != ""), F.lit(0))

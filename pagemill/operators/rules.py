@@ -1,5 +1,6 @@
-"""Rules that meet pages: domains, templates, conditions, links to notes. Rule tables are small and checked for it; plain
-domains meet hosts by equality on the host's suffixes, only globs and conditions are compared one by one."""
+"""Rules that meet pages: domains, templates, conditions, links to notes. Rules meet pages by equality only: plain domains
+on the host's suffixes, globs and conditions on a piece of a few characters that a page has to have; what meets is then checked
+exactly. Rule tables of a checked size are broadcast, larger ones are joined as any other table."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import urls
 
 MOST_RULES = 20_000
+PIECES = (4, 2, 1)  # lengths of the pieces, the longest first
 
 # Domains whose pages need a login, and those for which cookies do.
 AUTH_DOMAINS = ["twitter.com", "x.com", "facebook.com", "instagram.com", "linkedin.com", "medium.com", "substack.com", "nytimes.com", "wsj.com", "washingtonpost.com", "theverge.com"]
@@ -16,10 +18,28 @@ COOKIE_DOMAINS = ["medium.com", "substack.com"]
 
 
 def rule_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A table of rules, broadcast; its size is known, and too many rows raise an error."""
-    if len(rows) > MOST_RULES:
-        raise ValueError(f"{len(rows)} rules; a table of over {MOST_RULES} is joined as any other")
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    """A table of rules; broadcast up to MOST_RULES of them."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= MOST_RULES else table
+
+
+def pieces_of(text: Column) -> Column:
+    """All runs of 4, 2 and 1 characters of a text, each once, and the empty one, which rules without a piece have."""
+    runs = [F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in PIECES]
+    return F.array_distinct(F.concat(F.array(F.lit("")), *runs))
+
+
+def with_piece(rules: DataFrame, text: Column, *keys: str) -> DataFrame:
+    """rules with column `_piece`, a run of the text as long as it has one; of its runs that which the fewest rules have, so that
+    what all of them begin with isn't taken."""
+    runs = F.lit(None).cast("array<string>")
+    for n in reversed(PIECES):
+        runs = F.when(F.length(text) >= n, F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)))).otherwise(runs)
+    d = rules.withColumn("_runs", F.coalesce(runs, F.array(F.lit("")))).withColumn("_rule", F.xxhash64(*keys))
+    each = d.select("_rule", F.explode("_runs").alias("_run")).distinct()
+    common = each.groupBy("_run").agg(F.count("*").alias("_n"))
+    chosen = each.join(common, "_run").groupBy("_rule").agg(F.min_by("_run", F.struct("_n", "_run")).alias("_piece"))
+    return d.join(chosen, "_rule").drop("_runs", "_rule")
 
 
 def plain_host(url: Column) -> Column:
@@ -42,7 +62,7 @@ def domain_tags(pages: DataFrame, rules: DataFrame, custom: DataFrame | None = N
     if custom is not None:
         custom = bare(custom)
         rules = rules.join(custom, "domain", "left_anti").unionByName(custom)
-    rules = F.broadcast(rules.where("enabled").select("domain", "tags"))
+    rules = rules.where("enabled").select("domain", "tags")
     host = plain_host(F.col("url"))
     parents = F.transform(F.slice(urls.host_suffixes(host), 2, 1 << 20), lambda s: F.concat(F.lit("*."), s))
     keys = pages.select("page_id", F.explode(F.concat(F.array(host), parents)).alias("domain")).where("domain <> ''")
@@ -67,10 +87,14 @@ def all_matches(pages: DataFrame, templates: DataFrame) -> DataFrame:
     tail = F.concat(F.when(urls.path(url) == "", "/").otherwise(urls.path(url)), F.regexp_extract(url, urls.PARTS, 4))
     p = pages.select("page_id", urls.host(url).alias("host"), urls.path(url).alias("path"), tail.alias("tail"))
     is_glob = F.col("domain").rlike(r"[*?\[]")
-    # (pages x suffixes) meets plain domains by equality; few templates are globs
-    plain = p.withColumn("domain", F.explode(urls.host_suffixes(F.col("host")))).join(F.broadcast(t.where(~is_glob)), "domain")
+    # suffixes meet plain domains by equality; a glob meets the hosts that have a piece of its longest plain run
+    plain = p.withColumn("domain", F.explode(urls.host_suffixes(F.col("host")))).join(t.where(~is_glob), "domain")
     globs = t.where(is_glob).withColumn("host_regex", F.when(F.col("domain") == "*", "").otherwise(glob_regex(F.col("domain"))))
-    globbed = p.join(F.broadcast(globs), F.expr("rlike(host, host_regex)")).drop("host_regex")
+    runs = F.filter(F.split(F.regexp_replace("domain", r"\[[^\]]*\]?", "*"), r"[*?]"), lambda r: r != "")
+    longest = F.coalesce(F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"], F.lit(""))
+    globs = with_piece(globs.withColumn("_run_of", longest), F.col("_run_of"), "domain", "name", "url_pattern", "priority", "is_custom").drop("_run_of")
+    hosts = p.withColumn("_piece", F.explode(pieces_of(F.lower("host"))))
+    globbed = hosts.join(globs, "_piece").where(F.expr("rlike(host, host_regex)")).drop("host_regex", "_piece")
     pattern = F.col("url_pattern")
     regex = pattern.startswith("^") | pattern.endswith("$")
     fits = pattern.isNull() | (pattern == "") | (regex & F.expr("rlike(tail, url_pattern)")) | (~regex & F.rlike(F.col("tail"), glob_regex(F.regexp_replace(pattern, r"\*+", "**"))))
@@ -95,16 +119,24 @@ def template_summary(templates: DataFrame) -> DataFrame:
 def rule_tags(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(page_id, tag, confidence, rule_no): tags of the enabled rules (rule_no, type, value, invert, tags, priority, enabled)
     whose condition holds, inverted where asked for. pages: page_id, url, title, content, keywords, categories, author,
-    site_name. Confidence rises with priority, between 0.6 and 0.9."""
-    v = F.lower("value")
-    has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), v)
-    kind = F.col("type")
-    held = (
-        F.when(kind == "domain-contains", has(urls.host(F.col("url")))).when(kind == "url-contains", has(F.col("url"))).when(kind == "title-contains", has(F.col("title"))).when(kind == "content-contains", has(F.col("content")))
-        .when(kind == "keywords-contain", F.exists(F.coalesce("keywords", F.array()), has)).when(kind == "category-is", F.array_contains(F.coalesce("categories", F.array()), v))
-        .when(kind == "author-contains", has(F.col("author"))).when(kind == "site-name-contains", has(F.col("site_name"))).otherwise(False)
-    )
-    hits = pages.join(F.broadcast(rules.where("enabled")), held != F.coalesce("invert", F.lit(False)))
+    site_name. Rule numbers are unique; a rule of another type never holds. Confidence rises with priority, between 0.6 and 0.9."""
+    text = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    fields = {
+        "domain-contains": text(urls.host(F.col("url"))), "url-contains": text(F.col("url")), "title-contains": text(F.col("title")), "content-contains": text(F.col("content")), "author-contains": text(F.col("author")), "site-name-contains": text(F.col("site_name")),
+        "keywords-contain": F.array_join(F.transform(F.coalesce("keywords", F.array().cast("array<string>")), F.lower), "\x00"),
+    }
+    whole = F.coalesce("categories", F.array().cast("array<string>"))
+    kinds = F.concat(F.array(*[F.struct(F.lit(k).alias("type"), t.alias("text"), F.lit(False).alias("whole")) for k, t in fields.items()]), F.transform(whole, lambda c: F.struct(F.lit("category-is").alias("type"), c.alias("text"), F.lit(True).alias("whole"))))
+    rules = rules.where("enabled").withColumn("_value", F.lower("value")).withColumn("_key", F.when(F.col("type") == "category-is", "").otherwise(F.col("_value")))
+    rules = with_piece(rules, F.col("_key"), "rule_no", "type", "value").withColumn("_piece", F.when(F.col("type") == "category-is", F.col("_value")).otherwise(F.col("_piece"))).drop("_key")
+    each = pages.select("page_id", F.explode(kinds).alias("k")).select("page_id", "k.*")
+    each = each.withColumn("_piece", F.explode(F.when(F.col("whole"), F.array("text")).otherwise(pieces_of(F.col("text")))))
+    met = each.join(rules, ["type", "_piece"]).where(F.col("whole") | F.contains("text", F.col("_value"))).select("page_id", "rule_no").distinct()
+    # an inverted rule holds for all pages but those that it meets; their number is that of the result
+    plain = met.join(rules.where("not coalesce(invert, false)").select("rule_no", "tags", "priority"), "rule_no")
+    inverted = rules.where("coalesce(invert, false)").agg(F.collect_list(F.struct("rule_no", "tags", "priority")).alias("r"))
+    every = pages.select("page_id", F.explode(inverted.scalar()).alias("r")).select("page_id", "r.*")
+    hits = plain.select("page_id", "rule_no", "tags", "priority").unionByName(every.join(met, ["page_id", "rule_no"], "left_anti"))
     priority = F.coalesce("priority", F.lit(0))
     confidence = F.round(F.least(F.lit(0.9), F.greatest(F.lit(0.6), 0.6 + priority / 10.0 * 0.3)), 6)
     return hits.select("page_id", F.explode("tags").alias("tag"), confidence.alias("confidence"), "rule_no")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import collapsed
-from pagemill.operators.structure import El, Pick, collect_hits, first_values, page_structure, picks, record
+from pagemill.operators.structure import El, Pick, collect_hits, page_structure, picks, text_in, written
 
 WHITE = r"[\x20\x09-\x0D\x{A0}]"
 
@@ -29,6 +29,60 @@ def first_of(field: str) -> Column:
     return F.min_by(F.when(F.col("field") == field, F.col("value")), F.when(F.col("field") == field, F.col("pos")))
 
 
+# --- block scoring
+
+# What is taken out of a page before its blocks are scored, patterns of unlikely and of likely names, and bonuses.
+OUT_TAGS = "script style link iframe nav footer header aside".split()
+OUT_CLASSES = "ad advertisement sidebar comments comment navigation menu social share cookie popup modal newsletter".split()
+OUT_ROLES = "complementary navigation".split()
+UNLIKELY = (
+    "ad|banner|breadcrumbs|combx|comment|community|cover-wrap|disqus|extra|foot|header|legends|menu|related|remark|replies|rss|shoutbox|sidebar|skyscraper|social|sponsor|supplement|ad-break|agegate|pagination|pager|popup|sub-sidebar",
+    "print|archive|comment|article|discussion|email|share|login|signup|feedback",
+)
+LIKELY = "article|body|content|entry|main|post|text"
+BONUSES = (("article|body|content|entry|main|page", 2, ("class", "id")), ("post|text|blog|story", 1, ("class",)))
+OUT_OF_SCORING = (
+    f"tag IN ({', '.join(repr(t) for t in OUT_TAGS)}) OR role IN ({', '.join(repr(r) for r in OUT_ROLES)}) OR arrays_overlap(split(class, '\\\\s+'), array({', '.join(repr(c) for c in OUT_CLASSES)}))"
+    f" OR (tag NOT IN ('html', 'head', 'body') AND (class <> '' OR id <> '') AND (class RLIKE '(?i){'|'.join(UNLIKELY)}' OR id RLIKE '(?i){'|'.join(UNLIKELY)}') AND NOT concat(class, ' ', id) RLIKE '{LIKELY}')"
+)
+
+
+def block_scores(pages: DataFrame, least: int = 25) -> DataFrame:
+    """(page_id, open_pos, tag, score, seq): every element that a block gives a score. Unlikely elements are removed first, with all
+    that they hold, but for html, head and body. A p, pre or td of `least` characters gives its score, by length up to three
+    hundreds, commas, full stops and its names, whole to its parent and half to the parent's parent; tables get none, nor
+    does what is above them. seq tells which was given a score first."""
+    s = page_structure(pages, OUT_OF_SCORING)
+    text = F.col("text")
+
+    def points(e: Column) -> Column:
+        words = {"class": F.coalesce(F.get(e["values"], (F.array_position(e["names"], "class") - 1).cast("int")), F.lit("")), "id": e["id"]}
+        t = trimmed(written(text_in(e)))
+        out = F.least(F.length(t) / 100.0, F.lit(3.0)) + 0.5 * F.regexp_count(t, F.lit(",")) + F.regexp_count(t, F.lit(r"\."))
+        for pattern, bonus, where in BONUSES:
+            for name in where:
+                out = out + F.when(words[name].rlike(pattern), bonus).otherwise(0)
+        return F.when(F.length(t) >= least, out)
+
+    holder = lambda e, seq: F.when(e.isNotNull(), F.struct(e["pos"].alias("pos"), e["tag"].alias("tag"), seq.alias("seq")))
+
+    def given(e: Column) -> Column:
+        up = F.get("elements", e["up"])
+        top = F.get("elements", up["up"])
+        return F.struct(points(e).alias("points"), holder(up, e["pos"] * 2).alias("up"), F.when(top["tag"] != "table", holder(top, e["pos"] * 2 + 1)).alias("top"))
+
+    blocks = F.filter(F.transform(F.filter("elements", lambda e: e["tag"].isin("p", "pre", "td")), given), lambda g: g["points"].isNotNull() & (g["up"]["tag"] != "table"))
+    shares = F.flatten(F.transform(blocks, lambda g: F.array(F.struct(g["up"].alias("to"), g["points"].alias("s")), F.struct(g["top"].alias("to"), (g["points"] / 2).alias("s")))))
+    each = s.select("page_id", F.explode(shares).alias("g")).where("g.to is not null").select("page_id", "g.to.*", "g.s")
+    return each.groupBy("page_id", F.col("pos").alias("open_pos"), "tag").agg(F.round(F.sum("s"), 6).alias("score"), F.min("seq").alias("seq"))
+
+
+def best_blocks(pages: DataFrame, least: int = 25) -> DataFrame:
+    """(page_id, open_pos, tag, score): of each page the element with the highest score, of equal ones the first given one."""
+    b = block_scores(pages, least)
+    return b.groupBy("page_id").agg(F.max_by(F.struct("open_pos", "tag", "score"), F.struct("score", -F.col("seq"))).alias("b")).select("page_id", "b.*")
+
+
 # --- encyclopedia pages
 
 # Where the parts of an article lie.

@@ -15,18 +15,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import collapsed, decoded, let
-from pagemill.operators.html import BLOCKS, VOID
+from pagemill.operators.html import BLOCKS, VOID, raw_attribute
 from pagemill.operators.pages import page_tokens
 
 ATTRIBUTE = r"""(?s)[\s"']([A-Za-z_:@][-A-Za-z0-9_:.@]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""  # its name and its value, with quotes
 BREAK = "\x01"  # stands in a page's text where a block element begins or ends
 
 
-def page_structure(pages: DataFrame) -> DataFrame:
+def page_structure(pages: DataFrame, removed: str | None = None) -> DataFrame:
     """(page_id, text, elements): text is binary; elements have pos and close (places of tokens), up (index of the parent, from 0),
-    parent (its pos), depth, nth (place among the
-    elements opened under the same one, from 1), tag, id, classes, role, names and values of the attributes, tok, start and
-    size (of the text, in bytes)."""
+    parent (its pos), depth, nth (place among the elements opened under the same one, from 1), tag, id, classes, role, names and
+    values of the attributes, tok, start and size (of the text, in bytes). Elements that fulfil `removed`, SQL over tag, id, class
+    and role, are left out with all that they hold."""
     html = F.coalesce(F.nullif(F.col("html"), F.lit("")), F.lit(" "))
     t = page_tokens(pages.select("page_id", html.alias("html")).repartition("page_id"))
     opens, closes = F.col("kind") == "open", F.col("kind") == "close"
@@ -52,9 +52,17 @@ def page_structure(pages: DataFrame) -> DataFrame:
     # depth: openings and ends in page order; an end comes before what stands at the next place
     at = lambda place, step: F.struct(place.cast("int").alias("at"), F.lit(step).alias("step"))
     holds = opens & ~F.col("void")
-    t = t.select("page_id", "pos", "close", "tag", "tok", "piece", "upto", "number", "void", opens.alias("opens"), F.explode(F.when(holds, F.array(at(F.col("pos"), 1), at(F.col("close") + 1, -1))).otherwise(F.array(at(F.col("pos"), 0)))).alias("e"))
+    out = F.lit(False)
+    if removed:
+        word = lambda name: F.coalesce(raw_attribute(F.col("tok"), name), F.lit("")).alias(name)
+        t = t.select("*", word("id"), word("class"), word("role"))
+        out = opens & F.expr(removed)
+    t = t.select("page_id", "pos", "close", "tag", "tok", "piece", "upto", "number", "void", opens.alias("opens"), out.alias("out"), F.explode(F.when(holds, F.array(at(F.col("pos"), 1), at(F.col("close") + 1, -1))).otherwise(F.array(at(F.col("pos"), 0)))).alias("e"))
     order = Window.partitionBy("page_id").orderBy("e.at", F.col("e.step") >= 0, "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("depth", F.sum("e.step").over(order) + F.col("void").cast("int")).where("e.step >= 0").drop("e")
+    t = t.withColumn("depth", F.sum("e.step").over(order) + F.col("void").cast("int")).withColumn("gone", F.sum(F.when(F.col("out"), F.col("e.step")).otherwise(0)).over(order)).where("e.step >= 0").drop("e")
+    if removed:
+        t = t.withColumn("gone", (F.col("gone") > 0) | F.col("out")).withColumn("opens", F.col("opens") & ~F.col("gone")).withColumn("piece", F.when(F.col("gone"), "").otherwise(F.col("piece")))
+        t = t.withColumn("upto", F.sum(F.octet_length("piece")).over(page)).withColumn("number", F.sum(F.col("opens").cast("int")).over(page))
     # the parent is the last element one level up that was opened before: elements are there as holders and as children
     role = lambda level, child: F.struct(level.cast("int").alias("level"), F.lit(child).alias("child"))
     child = role(F.col("depth") - 1, True)

@@ -172,7 +172,6 @@ QUERIES = {
     "h6_best_jsonld": _articles(lambda p: M.best_jsonld(p).select("page_id", F.col("score").cast("long").alias("score"), "schema_type", "headline", F.array_join("authors", "|").alias("authors"), "date_published", F.array_join("keywords", "|").alias("keywords"), "word_count")),
     "h7_page_links": _on("pages", P.page_links),
     "h8_main_text": _on("pages", W.main_content),
-    "h9_best_block": _articles(lambda p: W.score_blocks(p).select("page_id", "tag")),
     "h11_page_markdown": _articles(W.page_markdown),
     "h12_tables": _articles(W.gfm_tables),
     "h13_code_blocks": _articles(W.code_blocks),
@@ -330,7 +329,6 @@ SQL = {
       CASE WHEN w[12] = w[13] THEN w[12] ELSE w[12] || '|' || w[13] END AS keywords, n_words::DOUBLE AS word_count FROM {_W}""",
     "h7_page_links": _LINKS,
     "h8_main_text": _TEXT,
-    "h9_best_block": "SELECT doc_id AS page_id, 'article' AS tag FROM documents WHERE doc_id IS NOT NULL",
     "h11_page_markdown": f"SELECT page_id, {_MARKDOWN} AS markdown FROM {_W}",
     "h12_tables": f"SELECT page_id, 1::BIGINT AS table_no, {_TABLE} AS markdown FROM {_W}",
     "h13_code_blocks": f"SELECT page_id, 1::BIGINT AS block_no, 'python' AS language, {_CODE} AS code, '```' AS fence FROM {_W}",

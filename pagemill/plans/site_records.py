@@ -36,6 +36,30 @@ d AS (SELECT n, t, v AS own, len(v) AS size, v || list_transform(range(40), lamb
   regexp_replace(t, '^[\x20\x09-\x0D\x{A0}]+|[\x20\x09-\x0D\x{A0}]+$', '', 'g') AS trimmed FROM (SELECT *, regexp_extract_all(t, '[A-Za-z]+') AS v FROM t))"""
 
 
+def block_html(docs: DataFrame) -> DataFrame:
+    """(page_id, url, html): the whole text of a document in an article's body, beside comments with many commas, a table and a
+    sidebar; which block is the best depends on the text."""
+    n, s = F.col("n"), joined
+    html = s(
+        '<html><body class="archive"><div class="unlikely comment"><p>one, two, three, four, five, six, seven, eight, nine. ten, eleven, twelve.</p></div><div id="x"><div class="article-body"><p class="entry">', escaped(F.col("t")), '<span class="share-it">, , , , , , . . . .</span></p><p>', word(0), "</p></div></div>",
+        '<section><div><p>', F.repeat(F.lit("a, b. "), (F.pmod(n, F.lit(9)) + 5).cast("int")), "</p></div></section><table><tr><td>", F.repeat(F.lit("c, d. "), (F.pmod(n, F.lit(13)) + 5).cast("int")), "</td></tr></table></body></html>",
+    )
+    return one_text(docs).select(n.alias("page_id"), s("https://a.test/", n.cast("string")).alias("url"), html.alias("html"))
+
+
+def _best_blocks(spark, sf_dir):
+    return X.best_blocks(block_html(read_table(spark, sf_dir, "documents")))
+
+
+BLOCK_SQL = rf"""
+WITH {TEXT_SQL},
+x AS (SELECT n, length(trimmed) AS c, CASE WHEN length(trimmed) >= 25 THEN least(length(trimmed) / 100.0::DOUBLE, 3.0) + 0.5 * len(regexp_extract_all(t, ',')) + len(regexp_extract_all(t, '\.')) + 2 END AS a, 4 * (n % 9 + 5) + n % 9 + 5 AS lb, n % 9 + 5 AS kb, n % 13 + 5 AS kd, CASE WHEN t = '' THEN 1 ELSE 0 END AS z FROM d),
+y AS (SELECT n, unnest([{{'open_pos': 8, 'tag': 'div', 'score': a, 'seq': 1}}, {{'open_pos': 7, 'tag': 'div', 'score': a / 2, 'seq': 2}}, {{'open_pos': 21 - z, 'tag': 'div', 'score': b, 'seq': 3}}, {{'open_pos': 20 - z, 'tag': 'section', 'score': b / 2, 'seq': 4}}, {{'open_pos': 28 - z, 'tag': 'tr', 'score': e, 'seq': 5}}]) AS s
+  FROM (SELECT *, least((6 * kb - 1) / 100.0::DOUBLE, 3.0) + 1.5 * kb AS b, least((6 * kd - 1) / 100.0::DOUBLE, 3.0) + 1.5 * kd AS e FROM x))
+SELECT n AS page_id, s.open_pos AS open_pos, s.tag AS tag, round(s.score, 6) AS score FROM y WHERE s.score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY n ORDER BY round(s.score, 6) DESC, s.seq) = 1
+"""
+
+
 def encyclopedia_html(docs: DataFrame) -> DataFrame:
     """(page_id, url, html): an article per document, its whole text as a paragraph."""
     n, s = F.col("n"), joined
@@ -294,8 +318,8 @@ SELECT n AS page_id, concat_ws(chr(10) || chr(10), '# ' || title, CASE WHEN len(
 """
 
 QUERIES = {
-    "r6_encyclopedia": _encyclopedia, "r13_social_posts": _social, "r11_products": _products, "r10_documentation": _documentation, "r10_breadcrumbs": _breadcrumbs, "r7_article_sites": _article_sites, "r8_newsletters": _newsletters, "r14_videos": _videos, "r9_papers": _papers, "n8_paper_notes": _paper_notes,
+    "h9_best_block": _best_blocks, "r6_encyclopedia": _encyclopedia, "r13_social_posts": _social, "r11_products": _products, "r10_documentation": _documentation, "r10_breadcrumbs": _breadcrumbs, "r7_article_sites": _article_sites, "r8_newsletters": _newsletters, "r14_videos": _videos, "r9_papers": _papers, "n8_paper_notes": _paper_notes,
 }
 SQL = {
-    "r6_encyclopedia": ENCYCLOPEDIA_SQL, "r13_social_posts": SOCIAL_SQL, "r11_products": PRODUCT_SQL, "r10_documentation": DOCUMENTATION_SQL, "r10_breadcrumbs": BREADCRUMB_SQL, "r7_article_sites": ARTICLE_SITE_SQL, "r8_newsletters": NEWSLETTER_SQL, "r14_videos": VIDEO_SQL, "r9_papers": PAPER_SQL, "n8_paper_notes": PAPER_NOTE_SQL,
+    "h9_best_block": BLOCK_SQL, "r6_encyclopedia": ENCYCLOPEDIA_SQL, "r13_social_posts": SOCIAL_SQL, "r11_products": PRODUCT_SQL, "r10_documentation": DOCUMENTATION_SQL, "r10_breadcrumbs": BREADCRUMB_SQL, "r7_article_sites": ARTICLE_SITE_SQL, "r8_newsletters": NEWSLETTER_SQL, "r14_videos": VIDEO_SQL, "r9_papers": PAPER_SQL, "n8_paper_notes": PAPER_NOTE_SQL,
 }
