@@ -75,7 +75,8 @@ def page_keywords_of(metas: str) -> Column:
 def page_keywords(pages: DataFrame) -> DataFrame:
     """(page_id, pos, keyword)."""
     d = with_metas(pages).select("page_id", page_keywords_of("metas").alias("k"))
-    return d.select("page_id", F.posexplode("k").alias("pos", "keyword"))
+    # an inner explode would have the keywords worked out once more, in a filter that is pushed into the tags
+    return d.select("page_id", F.posexplode_outer("k").alias("pos", "keyword")).where("pos is not null")
 
 
 def jsonld_nodes(pages: DataFrame) -> DataFrame:
