@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import collapsed
-from pagemill.operators.structure import El, Pick, collect_hits, page_structure, picks, text_in, written
+from pagemill.operators.structure import BREAK, El, Pick, collect_hits, page_structure, picks, text_in, written
 
 WHITE = r"[\x20\x09-\x0D\x{A0}]"
 
@@ -83,6 +83,59 @@ def best_blocks(pages: DataFrame, least: int = 25) -> DataFrame:
     return b.groupBy("page_id").agg(F.max_by(F.struct("open_pos", "tag", "score"), F.struct("score", -F.col("seq"))).alias("b")).select("page_id", "b.*")
 
 
+# --- parts of any page
+
+# Where the visible text of a page is looked for, in this order, and what gives a selection its context.
+VISIBLE = (El("main"), El("article"), El(role="main"), El(cls="content"), El(cls="article-content"), El(cls="post-content"), El(cls="entry-content"), El(id="content"))
+TITLED = ("p", "h1", "h2", "h3", "h4", "h5", "h6")
+CONTEXT_TAGS = "p li h1 h2 h3 h4 h5 h6 blockquote td th dd dt".split()
+CONTEXT_ENDS = "article main body".split()
+VISIBLE_PARTS = [*[Pick("root", x, "none", i) for i, x in enumerate(VISIBLE)], Pick("block", El(tags=TITLED), "raw"), Pick("para", El("p", inside=El("body")), "raw")]
+
+
+def visible_texts(pages: DataFrame, blocks: int = 2, least: int = 200, longer: int = 50, most: int = 20) -> DataFrame:
+    """(page_id, text): what shows of a page: of the first alternative whose first element holds more than `blocks` paragraphs and
+    headings, with a text longer than `least`, their texts by blank lines; else the first `most` paragraphs longer than
+    `longer`; else that nothing can be extracted. A page's roots, eight at most, meet its blocks within the row."""
+    field, pos = F.col("field"), F.col("pos")
+    h = collect_hits(page_structure(pages), VISIBLE_PARTS).withColumn("value", trimmed(F.col("value")))
+    first = F.row_number().over(Window.partitionBy("page_id", "field", "rank").orderBy("pos")) == 1
+    at = lambda name, *cols: F.array_sort(F.collect_list(F.when(field == name, F.struct(*cols))))
+    h = h.withColumn("_first", first | (field != "root")).where("_first")
+    d = h.groupBy("page_id").agg(at("root", "rank", "pos", "close").alias("roots"), at("block", "pos", "value").alias("blocks"), at("para", "pos", "value").alias("paras"))
+
+    def held(root: Column) -> Column:
+        inner = F.filter("blocks", lambda b: (b["pos"] > root["pos"]) & (b["pos"] <= root["close"]))
+        text = F.array_join(F.transform(F.filter(inner, lambda b: b["value"] != ""), lambda b: b["value"]), "\n\n")
+        return F.when((F.size(inner) > blocks) & (F.length(text) > least), text)
+
+    rest = F.array_join(F.slice(F.transform(F.filter("paras", lambda p: F.length(p["value"]) > longer), lambda p: p["value"]), 1, most), "\n\n")
+    text = F.coalesce(F.get(F.array_compact(F.transform("roots", held)), F.lit(0)), F.nullif(rest, F.lit("")), F.lit("No extractable content found."))
+    return pages.select("page_id").join(d.select("page_id", text.alias("text")), "page_id", "left").select("page_id", F.coalesce("text", F.lit("No extractable content found.")).alias("text"))
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """(page_id, text): the text of the whole page, over which ranges are counted in characters; a line ends where a block element
+    begins or ends. References count as they are written."""
+    return page_structure(pages).select("page_id", F.replace(F.decode("text", "UTF-8"), F.lit(BREAK), F.lit("\n")).alias("text"))
+
+
+def selection_contexts(pages: DataFrame, spans: DataFrame, longest: int = 200) -> DataFrame:
+    """(page_id, context) of the first range (page_id, range_no, start, end) of each page that isn't empty, over page_texts():
+    the text of the innermost block around the whole range that has one of up to twice `longest` characters, cut to `longest`;
+    null where none lies within the innermost article, main or body. A range finds its blocks by offsets in the page's row."""
+    first = spans.where("end > start").groupBy("page_id").agg(F.min_by(F.struct("start", "end"), "range_no").alias("r"))
+    d = page_structure(pages).join(first, "page_id")
+    text = F.decode("text", "UTF-8")
+    d = d.withColumn("b0", F.octet_length(F.substring(text, F.lit(1), F.col("r.start").cast("int")))).withColumn("b1", F.octet_length(F.substring(text, F.lit(1), F.col("r.end").cast("int"))))
+    around = F.filter("elements", lambda e: (e["start"] <= F.col("b0")) & (e["start"] + e["size"] >= F.col("b1")) & e["tag"].isin(*CONTEXT_TAGS, *CONTEXT_ENDS))
+    d = d.withColumn("around", around)
+    end = F.coalesce(F.array_max(F.transform(F.filter("around", lambda e: e["tag"].isin(CONTEXT_ENDS)), lambda e: e["pos"])), F.lit(-1))
+    texts = F.transform(F.filter("around", lambda e: e["tag"].isin(CONTEXT_TAGS) & (e["pos"] > end)), lambda e: trimmed(written(text_in(e))))
+    context = F.get(F.reverse(F.filter(texts, lambda t: F.length(t).between(1, 2 * longest))), F.lit(0))
+    return d.select("page_id", F.when(F.length(context) > longest, F.concat(F.substring(context, 1, longest), F.lit("…"))).otherwise(context).alias("context"))
+
+
 # --- encyclopedia pages
 
 # Where the parts of an article lie.

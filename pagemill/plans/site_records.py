@@ -60,6 +60,47 @@ SELECT n AS page_id, s.open_pos AS open_pos, s.tag AS tag, round(s.score, 6) AS
 """
 
 
+def part_html(docs: DataFrame) -> DataFrame:
+    """(page_id, url, html): a page per document whose text is in a main element, an article of a few blocks, or paragraphs; with
+    the marks @1, @2 and so on, which selections are made of."""
+    n, s = F.col("n"), joined
+    p = lambda *x: s("<p>", *x, "</p>")
+    whole = s(p(escaped(F.col("t")), " @1@2"), "<h2>", word(0), " @3</h2>", p("more &amp; more @4"), "<ul><li>", word(1), " <b>@5</b></li><li>", word(2), " @6</li></ul><blockquote><p>", F.repeat(F.lit("é ü "), (F.pmod(n, F.lit(60)) + 80).cast("int")), "@7</p></blockquote>")
+    html = s("<html><body><header><p>", F.repeat(F.lit("Of the header. "), 5), "</p></header>", F.when(n % 3 == 0, s("<main>", whole, "</main>")).when(n % 3 == 1, s("<main><p>few</p></main><article>", whole, "</article>")).otherwise(s('<div class="content"><p>one</p><p>two</p></div>', whole)), "</body></html>")
+    return one_text(docs).select(n.alias("page_id"), s("https://a.test/", n.cast("string")).alias("url"), html.alias("html"))
+
+
+def _visible(spark, sf_dir):
+    return X.visible_texts(part_html(read_table(spark, sf_dir, "documents")))
+
+
+def _contexts(spark, sf_dir):
+    """Of each page the range from one mark to the end of another, after an empty one."""
+    pages = part_html(read_table(spark, sf_dir, "documents"))
+    texts = X.page_texts(pages)
+    pair = F.get(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in SELECTED]), F.pmod("page_id", F.lit(len(SELECTED))).cast("int"))
+    t = texts.withColumn("m", pair)
+    found = t.select("page_id", (F.locate("@1@2", "text") - 1).alias("p"), (F.expr("locate(m.a, text)") - 1).cast("long").alias("start"), (F.expr("locate(m.b, text)") + 1).cast("long").alias("end"))
+    spans = found.select("page_id", F.lit(1).alias("range_no"), "start", "end").unionByName(found.select("page_id", F.lit(0).alias("range_no"), F.col("start").alias("start"), F.col("start").alias("end")))
+    return X.selection_contexts(pages, spans)
+
+
+# Marks that selections begin and end with: within a paragraph, a heading, an item, over two items, in a quote.
+SELECTED = [("@1", "@2"), ("@3", "@3"), ("@5", "@5"), ("@5", "@6"), ("@7", "@7")]
+PARTS_SQL = rf"""{TEXT_SQL},
+x AS (SELECT *, regexp_replace(t || ' @1@2', '^[\x20\x09-\x0D\x{{A0}}]+', '') AS a, rtrim(repeat('é ü ', n % 60 + 80) || '@7') AS q FROM d)"""
+VISIBLE_SQL = rf"""
+WITH {PARTS_SQL},
+y AS (SELECT *, array_to_string([a, w[1] || ' @3', 'more & more @4', q], chr(10) || chr(10)) AS whole, rtrim(repeat('Of the header. ', 5)) AS head FROM x)
+SELECT n AS page_id, CASE WHEN n % 3 <= 1 THEN whole ELSE array_to_string(list_filter([head, a, q], lambda z: length(z) > 50), chr(10) || chr(10)) END AS text FROM y
+"""
+CONTEXT_SQL = rf"""
+WITH {PARTS_SQL},
+y AS (SELECT n, CASE n % 5 WHEN 0 THEN CASE WHEN length(a) <= 400 THEN a END WHEN 1 THEN w[1] || ' @3' WHEN 2 THEN w[2] || ' @5' WHEN 4 THEN CASE WHEN length(q) <= 400 THEN q END END AS c FROM x)
+SELECT n AS page_id, CASE WHEN length(c) > 200 THEN c[1:200] || '…' ELSE c END AS context FROM y
+"""
+
+
 def encyclopedia_html(docs: DataFrame) -> DataFrame:
     """(page_id, url, html): an article per document, its whole text as a paragraph."""
     n, s = F.col("n"), joined
@@ -318,8 +359,8 @@ SELECT n AS page_id, concat_ws(chr(10) || chr(10), '# ' || title, CASE WHEN len(
 """
 
 QUERIES = {
-    "h9_best_block": _best_blocks, "r6_encyclopedia": _encyclopedia, "r13_social_posts": _social, "r11_products": _products, "r10_documentation": _documentation, "r10_breadcrumbs": _breadcrumbs, "r7_article_sites": _article_sites, "r8_newsletters": _newsletters, "r14_videos": _videos, "r9_papers": _papers, "n8_paper_notes": _paper_notes,
+    "h17_visible_by_selector": _visible, "h20_selection_contexts": _contexts, "h9_best_block": _best_blocks, "r6_encyclopedia": _encyclopedia, "r13_social_posts": _social, "r11_products": _products, "r10_documentation": _documentation, "r10_breadcrumbs": _breadcrumbs, "r7_article_sites": _article_sites, "r8_newsletters": _newsletters, "r14_videos": _videos, "r9_papers": _papers, "n8_paper_notes": _paper_notes,
 }
 SQL = {
-    "h9_best_block": BLOCK_SQL, "r6_encyclopedia": ENCYCLOPEDIA_SQL, "r13_social_posts": SOCIAL_SQL, "r11_products": PRODUCT_SQL, "r10_documentation": DOCUMENTATION_SQL, "r10_breadcrumbs": BREADCRUMB_SQL, "r7_article_sites": ARTICLE_SITE_SQL, "r8_newsletters": NEWSLETTER_SQL, "r14_videos": VIDEO_SQL, "r9_papers": PAPER_SQL, "n8_paper_notes": PAPER_NOTE_SQL,
+    "h17_visible_by_selector": VISIBLE_SQL, "h20_selection_contexts": CONTEXT_SQL, "h9_best_block": BLOCK_SQL, "r6_encyclopedia": ENCYCLOPEDIA_SQL, "r13_social_posts": SOCIAL_SQL, "r11_products": PRODUCT_SQL, "r10_documentation": DOCUMENTATION_SQL, "r10_breadcrumbs": BREADCRUMB_SQL, "r7_article_sites": ARTICLE_SITE_SQL, "r8_newsletters": NEWSLETTER_SQL, "r14_videos": VIDEO_SQL, "r9_papers": PAPER_SQL, "n8_paper_notes": PAPER_NOTE_SQL,
 }
