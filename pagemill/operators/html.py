@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import collapsed, decoded
-from pagemill.operators.pages import page_tokens
+from pagemill.functions.text import attribute, collapsed, decoded, raw_attribute
+from pagemill.operators.pages import BLOCKS, VOID, page_tokens
+from pagemill.operators.structure import marked, page_structure, shown, text_in, written
 
 # Selectors of the main content in their order, and what is taken out of it, as (kind, value).
 CONTENT = [("tag", "article"), ("role", "main"), ("tag", "main"), ("class", "post-content"), ("class", "article-content"), ("class", "entry-content"), ("class", "content")]
@@ -22,19 +23,6 @@ PAYWALL = ["subscribe", "subscription", "premium", "paywall", "limited access",
 # Short names of languages.
 LANGUAGE_NAMES = {"js": "javascript", "ts": "typescript", "py": "python", "rb": "ruby", "sh": "bash", "shell": "bash", "zsh": "bash", "yml": "yaml", "md": "markdown", "cs": "csharp", "c++": "cpp", "rs": "rust", "kt": "kotlin"}
 KNOWN_LANGUAGES = "javascript typescript python ruby bash yaml markdown csharp cpp rust kotlin java go php html css json sql swift scala xml text".split()
-VOID = "area base br col embed hr img input link meta param source track wbr".split()
-BLOCKS = "address article aside blockquote body br dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead title tr ul".split()
-
-
-def raw_attribute(tok: Column, name: str) -> Column:
-    """An attribute's value as it stands, quoted or not; null where there is none."""
-    found = F.regexp_extract_all(tok, F.lit(rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
-    return F.regexp_replace(F.get(found, F.lit(0)), r"""^["']|["']$""", "")
-
-
-def attribute(tok: Column, name: str) -> Column:
-    """An attribute's value, decoded; empty where there is none."""
-    return F.coalesce(decoded(raw_attribute(tok, name)), F.lit(""))
 
 
 def page_intervals(tokens: DataFrame) -> DataFrame:
@@ -107,11 +95,23 @@ def text_of(tokens: DataFrame, *keys: str) -> DataFrame:
     return tokens.groupBy("page_id", *keys).agg(F.array_join(F.transform(parts, lambda p: p.piece), "").alias("_t")).select("page_id", *keys, collapsed(decoded(F.col("_t"))).alias("text"))
 
 
-def main_content(pages: DataFrame) -> DataFrame:
-    """(page_id, text): text of the main content of every page; empty where there is none."""
-    t = page_tokens(pages)
-    text = text_of(main_tokens(t, page_intervals(t)))
-    return pages.select("page_id").join(text, "page_id", "left").select("page_id", F.coalesce("text", F.lit("")).alias("text"))
+def selector_sql(rules: list[tuple[str, str]], e: str = "", classes: str = "classes") -> str:
+    """SQL: whether an element, whose parts are named from `e` on, is one of the (kind, value) selectors."""
+    one = {"tag": f"{e}tag = '{{}}'", "role": f"{e}role = '{{}}'", "class": f"array_contains({e}{classes}, '{{}}')", "id": f"{e}id = '{{}}'"}
+    return " OR ".join(f"({one[kind].format(value)})" for kind, value in rules)
+
+
+def first_ranked(rules: list[tuple[str, str]]) -> Column:
+    """Of the structure's elements the first one of the first selector that has one; null where there is none."""
+    cases = " ".join(f"WHEN {selector_sql([rule], 'e.')} THEN {i}" for i, rule in enumerate(rules))
+    return F.expr(f"array_min(filter(transform(elements, e -> named_struct('rank', CASE {cases} END, 'pos', e.pos, 'e', e)), x -> x.rank IS NOT NULL)).e")
+
+
+def main_content(pages: DataFrame, content=CONTENT, removed=REMOVED) -> DataFrame:
+    """(page_id, text): text of the main content of every page, without what is removed from it; empty where there is none."""
+    s = page_structure(pages, selector_sql(removed, classes="split(class, '\\\\s+')"))
+    s = s.withColumn("e", first_ranked([*content, ("tag", "body")]))
+    return s.select("page_id", F.coalesce(shown(text_in(F.col("e"))), F.lit("")).alias("text"))
 
 
 def element_texts(tokens: DataFrame, elements: DataFrame) -> DataFrame:
@@ -146,48 +146,32 @@ def code_language(classes: Column, code: Column) -> Column:
     return F.coalesce(name, guess)
 
 
-def raw_texts(tokens: DataFrame, elements: DataFrame) -> DataFrame:
-    """(page_id, open_pos, text) of elements whose white space counts."""
-    e = elements.select("page_id", "open_pos", "close_pos").alias("e")
-    t = tokens.where("kind = 'text'").alias("t")
-    met = t.join(e, F.expr("t.page_id = e.page_id and t.pos between e.open_pos and e.close_pos"))
-    parts = F.array_sort(F.collect_list(F.struct("t.pos", "t.tok")))
-    return met.groupBy("e.page_id", "e.open_pos").agg(decoded(F.array_join(F.transform(parts, lambda p: p.tok), "")).alias("text"))
-
-
 def code_blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, block_no, language, code, fence): every pre, with a fence longer than any run of backticks in it."""
-    t = page_tokens(pages)
-    iv = page_intervals(t)
-    pre = iv.where("tag = 'pre'")
-    texts = raw_texts(t, pre)
-    p, c = pre.alias("p"), iv.where("tag = 'code'").alias("c")
-    inner = c.join(p, F.expr("c.page_id = p.page_id and c.open_pos between p.open_pos and p.close_pos")).groupBy("p.page_id", "p.open_pos").agg(F.min_by("c.classes", "c.open_pos").alias("inner"))
-    d = pre.select("page_id", "open_pos", "classes").join(texts, ["page_id", "open_pos"]).join(inner, ["page_id", "open_pos"], "left")
-    code = F.regexp_replace("text", r"^\n+|\s+$", "")
-    runs = F.transform(F.regexp_extract_all(code, F.lit("`+"), F.lit(0)), F.length)
+    """(page_id, block_no, language, code, fence): every pre, with a fence longer than any run of backticks in it. The language is
+    that of the first code element in it, else of the pre."""
+    pre = F.filter("elements", lambda e: e["tag"] == "pre")
+    inner = lambda p: F.get(F.filter("elements", lambda e: (e["tag"] == "code") & e["pos"].between(p["pos"], p["close"])), F.lit(0))["classes"]
+    found = F.transform(pre, lambda p: F.struct(F.concat(F.coalesce(inner(p), F.array().cast("array<string>")), p["classes"]).alias("classes"), F.regexp_replace(written(text_in(p)), r"^\n+|\s+$", "").alias("code")))
+    d = page_structure(pages).select("page_id", F.posexplode(found).alias("n", "p")).select("page_id", (F.col("n") + 1).cast("long").alias("block_no"), "p.classes", "p.code")
+    runs = F.transform(F.regexp_extract_all("code", F.lit("`+"), F.lit(0)), F.length)
     fence = F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
-    number = F.row_number().over(Window.partitionBy("page_id").orderBy("open_pos")).cast("long")
-    return d.select("page_id", number.alias("block_no"), code_language(F.concat(F.coalesce("inner", F.array().cast("array<string>")), F.col("classes")), code).alias("language"), code.alias("code"), fence.alias("fence"))
+    return d.select("page_id", "block_no", code_language(F.col("classes"), F.col("code")).alias("language"), "code", fence.alias("fence"))
 
 
 def table_cells(pages: DataFrame) -> DataFrame:
-    """(page_id, table_no, row_no, col_no, text, plain): cells of all tables. A table with spans, or one that holds or is in
-    another, isn't plain."""
-    t = page_tokens(pages)
-    iv = page_intervals(t)
-    tables = iv.where("tag = 'table'").select("page_id", "open_pos", "close_pos")
-    rows, cells = iv.where("tag = 'tr'").select("page_id", "open_pos", "close_pos"), iv.where("tag in ('td', 'th')")
-    in_row = parents(cells.select("page_id", "open_pos"), rows).withColumnRenamed("parent_pos", "row_pos")
-    in_table = parents(rows, tables).select("page_id", F.col("open_pos").alias("row_pos"), F.col("parent_pos").alias("table_pos"))
-    nested = parents(tables, tables).select("page_id", F.explode(F.array("open_pos", "parent_pos")).alias("table_pos")).distinct().withColumn("nested", F.lit(True))
-    texts = element_texts(t, cells)
-    d = cells.select("page_id", "open_pos", F.col("tok").rlike(r"(?i)\s(col|row)span\s*=").alias("spans")).join(in_row, ["page_id", "open_pos"]).join(in_table, ["page_id", "row_pos"]).join(texts, ["page_id", "open_pos"], "left").join(nested, ["page_id", "table_pos"], "left")
-    of = Window.partitionBy("page_id", "table_pos")
-    d = d.withColumn("plain", ~F.max(F.col("spans") | F.coalesce("nested", F.lit(False))).over(of))
-    return d.select(
+    """(page_id, table_no, row_no, col_no, text, plain, table_pos): cells of all tables. A table with spans, or one that holds or is
+    in another, isn't plain."""
+    e = F.transform(F.filter("elements", lambda e: e["tag"].isin("table", "tr", "td", "th")), lambda e: F.struct(e.alias("e"), F.when(e["tag"].isin("td", "th"), shown(text_in(e))).alias("text")))
+    d = page_structure(pages).select("page_id", F.explode(e).alias("x")).select("page_id", "x.e", "x.text")
+    d = marked(d, {"table_pos": "e.tag = 'table'", "row_pos": "e.tag = 'tr'"})
+    tag, of = F.col("e.tag"), Window.partitionBy("page_id", "table_pos")
+    # a table within another, and the one that it is in; both see a row of it
+    d = d.withColumn("own", F.when(tag == "table", F.col("e.pos")).otherwise(F.col("table_pos"))).withColumn("bad", F.when(tag == "table", F.col("table_pos").isNotNull()).otherwise(tag.isin("td", "th") & (F.array_contains("e.names", "colspan") | F.array_contains("e.names", "rowspan"))))
+    d = d.withColumn("bad", F.max("bad").over(Window.partitionBy("page_id", "own")) | F.coalesce(F.max(F.when(tag == "table", True)).over(of), F.lit(False)))
+    cells = d.where(tag.isin("td", "th") & F.col("table_pos").isNotNull() & F.col("row_pos").isNotNull() & (F.col("row_pos") > F.col("table_pos")))
+    return cells.select(
         "page_id", F.dense_rank().over(Window.partitionBy("page_id").orderBy("table_pos")).cast("long").alias("table_no"), F.dense_rank().over(of.orderBy("row_pos")).cast("long").alias("row_no"),
-        F.row_number().over(Window.partitionBy("page_id", "table_pos", "row_pos").orderBy("open_pos")).cast("long").alias("col_no"), F.coalesce("text", F.lit("")).alias("text"), "plain",
+        F.row_number().over(Window.partitionBy("page_id", "table_pos", "row_pos").orderBy("e.pos")).cast("long").alias("col_no"), F.coalesce("text", F.lit("")).alias("text"), (~F.max("bad").over(of)).alias("plain"), "table_pos",
     )
 
 
@@ -259,10 +243,9 @@ def page_markdown(pages: DataFrame) -> DataFrame:
 
 
 def body_text(pages: DataFrame) -> DataFrame:
-    """(page_id, body): the text of each page's body, without scripts and styles."""
-    t = page_tokens(pages)
-    body = page_intervals(t).where("tag = 'body'")
-    return text_of(inside(t, body, "_in").where("_in > 0 and kind in ('text', 'open', 'close')")).withColumnRenamed("text", "body")
+    """(page_id, body): the text of each page's body, without scripts and styles; empty where there is none."""
+    s = page_structure(pages).withColumn("e", first_ranked([("tag", "body")]))
+    return s.select("page_id", F.coalesce(shown(text_in(F.col("e"))), F.lit("")).alias("body"))
 
 
 def paywall_flags(pages: DataFrame) -> DataFrame:
@@ -276,10 +259,8 @@ def paywall_flags(pages: DataFrame) -> DataFrame:
 
 
 def visible_content(pages: DataFrame, least: int = 50, most: int = 20) -> DataFrame:
-    """(page_id, text): what shows of a page without main text: its first paragraphs of more than `least` characters, at
-    most `most` of them, by blank lines."""
-    t = page_tokens(pages)
-    p = element_texts(t, page_intervals(t).where("tag = 'p'")).where(F.length("text") > least)
-    p = p.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("open_pos"))).where(F.col("n") <= most)
-    parts = F.array_sort(F.collect_list(F.struct("n", "text")))
-    return p.groupBy("page_id").agg(F.array_join(F.transform(parts, lambda x: x.text), "\n\n").alias("text"))
+    """(page_id, text): the first paragraphs of more than `least` characters of each page that has one, at most `most` of them,
+    by blank lines."""
+    texts = F.filter(F.transform(F.filter("elements", lambda e: e["tag"] == "p"), lambda e: shown(text_in(e))), lambda t: F.length(t) > least)
+    d = page_structure(pages).select("page_id", texts.alias("t")).where(F.size("t") > 0)
+    return d.select("page_id", F.array_join(F.slice("t", 1, most), "\n\n").alias("text"))

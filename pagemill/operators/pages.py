@@ -12,6 +12,10 @@ from pagemill.functions.text import decoded
 RAW = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 TOKEN = r"(?s)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>|[^<]+"
 
+# Elements without an end, and those that stand on lines of their own.
+VOID = "area base br col embed hr img input link meta param source track wbr".split()
+BLOCKS = "address article aside blockquote body br dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead title tr ul".split()
+
 
 def normalize_urls(pages: DataFrame) -> DataFrame:
     u = F.col("url")

@@ -1,5 +1,5 @@
 """Records of known sites. A spec is data: what a record's element is, and for each field the first element in the record that
-fits a tag or class and what is taken from it. Sites differ by specs only; elements meet records by page and span."""
+fits a tag or class and what is taken from it. Sites differ by specs only; records are read from the page structure."""
 
 from __future__ import annotations
 
@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import collapsed
-from pagemill.operators.html import attribute, element_texts, main_content, page_intervals
+from pagemill.operators.html import main_content
 from pagemill.operators.metadata import _strings, _variant, jsonld_nodes
 from pagemill.operators.notes import duration_words
-from pagemill.operators.pages import page_tokens
+from pagemill.operators.structure import El, Pick, collect_hits, page_structure
 
 
 @dataclass(frozen=True)
@@ -37,40 +37,25 @@ class Spec:
     flags: dict[str, str] = field(default_factory=dict)  # name: class of the record's own element
 
 
-def fits(pairs) -> Column:
-    out = F.lit(False)
-    for tag, cls in pairs:
-        out = out | ((F.col("tag") == tag) if tag else F.lit(True)) & (F.array_contains("classes", cls) if cls else F.lit(True))
-    return out
-
-
 def extract_records(pages: DataFrame, spec: Spec) -> DataFrame:
-    """(page_id, record_no, fields and flags) for every record of every page; a field that isn't found is null."""
-    t = page_tokens(pages)
-    iv = page_intervals(t)
-    page = Window.partitionBy("page_id").orderBy("open_pos")
-    scopes = iv.where(fits(spec.scope)).withColumn("record_no", F.row_number().over(page).cast("long"))
+    """(page_id, record_no, fields and flags) for every record of every page; a field that isn't found is null. A record within a
+    record owns its own fields."""
+    fields = [Pick(f.name, El(tag, cls, inside=El(*f.within) if f.within else None), f.take) for f in spec.fields for tag, cls in f.where]
+    flags = [Pick(f"flag {name}", El(tag, f"{cls} {flag}".strip()), "none") for name, flag in spec.flags.items() for tag, cls in spec.scope]
+    h = collect_hits(page_structure(pages), [*fields, *flags], {str(i): El(tag, cls) for i, (tag, cls) in enumerate(spec.scope)})
+    field, pos, page = F.col("field"), F.col("pos"), Window.partitionBy("page_id")
+    own = (field == "scope") | field.startswith("flag ")
     if spec.upto_next:
-        scopes = scopes.withColumn("close_pos", F.coalesce(F.lead("open_pos").over(page) - 1, F.lit(1 << 30)).cast("int"))
-    flags = [F.array_contains("classes", cls).alias(name) for name, cls in spec.flags.items()]
-    records = scopes.select("page_id", "record_no", F.col("open_pos").alias("from_pos"), F.col("close_pos").alias("to_pos"), *flags)
-    wanted = [F.when(fits(f.where), F.lit(f.name)) for f in spec.fields]
-    e = iv.withColumn("field", F.explode(F.filter(F.array(*wanted), lambda n: n.isNotNull()))).select("page_id", "open_pos", "close_pos", "tok", "field")
-    for f in spec.fields:
-        if f.within:
-            outer = iv.where(fits([f.within])).select(F.col("page_id").alias("_p"), F.col("open_pos").alias("_from"), F.col("close_pos").alias("_to"))
-            inner = e.where(F.col("field") == f.name).join(outer, F.expr("page_id = _p and open_pos between _from and _to"), "left_semi")
-            e = e.where(F.col("field") != f.name).unionByName(inner)
-    met = e.join(records.select(F.col("page_id").alias("_p"), "record_no", "from_pos", "to_pos"), F.expr("page_id = _p and open_pos > from_pos and open_pos <= to_pos"))
-    first = met.groupBy("page_id", "record_no", "field").agg(F.min_by(F.struct("open_pos", "close_pos", "tok"), "open_pos").alias("e")).select("page_id", "record_no", "field", "e.*")
-    texts = element_texts(t, first.select("page_id", "open_pos", "close_pos").distinct())
-    value = F.col("text")
-    for f in spec.fields:
-        if f.take != "text":
-            value = F.when(F.col("field") == f.name, F.nullif(attribute(F.col("tok"), f.take), F.lit(""))).otherwise(value)
-    found = first.join(texts, ["page_id", "open_pos"], "left").select("page_id", "record_no", "field", value.alias("value"))
-    wide = found.groupBy("page_id", "record_no").agg(*[F.max(F.when(F.col("field") == f.name, F.col("value"))).alias(f.name) for f in spec.fields])
-    return records.drop("from_pos", "to_pos").join(wide, ["page_id", "record_no"], "left")
+        before = F.last(F.when(field == "scope", pos), ignorenulls=True).over(page.orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        h = h.withColumn("record", before).where(own | (pos > F.col("record")))
+    else:
+        h = h.withColumn("record", F.when(own, pos).otherwise(F.col("scope"))).where(own | (F.col("scope") > 0))
+    value = lambda f: F.col("value") if f.take == "text" else F.nullif("value", F.lit(""))
+    first = [value(f) for f in spec.fields]
+    kept = [F.min_by(F.when(field == f.name, v), F.when(field == f.name, pos)).alias(f.name) for f, v in zip(spec.fields, first)]
+    held = [(F.count_if(field == f"flag {name}") > 0).alias(name) for name in spec.flags]
+    d = h.groupBy("page_id", "record").agg(*held, *kept)
+    return d.select("page_id", F.row_number().over(page.orderBy("record")).cast("long").alias("record_no"), *spec.flags, *[f.name for f in spec.fields])
 
 
 # Where sites keep the fields of their records.

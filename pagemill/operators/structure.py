@@ -14,9 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import collapsed, decoded, let
-from pagemill.operators.html import BLOCKS, VOID, raw_attribute
-from pagemill.operators.pages import page_tokens
+from pagemill.functions.text import collapsed, decoded, let, raw_attribute
+from pagemill.operators.pages import BLOCKS, VOID, page_tokens
 
 ATTRIBUTE = r"""(?s)[\s"']([A-Za-z_:@][-A-Za-z0-9_:.@]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""  # its name and its value, with quotes
 BREAK = "\x01"  # stands in a page's text where a block element begins or ends
