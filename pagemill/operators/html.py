@@ -187,14 +187,23 @@ def gfm_tables(pages: DataFrame) -> DataFrame:
     return rows.groupBy("page_id", "table_no").agg(F.array_join(F.transform(lines, lambda x: x.l), "\n").alias("markdown"))
 
 
-def page_markdown(pages: DataFrame) -> DataFrame:
+def page_markdown(pages: DataFrame, tables: str = "gfm") -> DataFrame:
     """(page_id, markdown): the main content with headings, bold, emphasis, code, links, images, lists, quotes, fenced code
-    and tables. Every token becomes a marker or its text; the ordered pieces are joined, then tidied up."""
+    and tables. Every token becomes a marker or its text; the ordered pieces are joined, then tidied up. Code is put in after
+    that, as code_blocks() has it, so that no white space in it is touched. Tables that aren't plain stay HTML; `tables` may
+    also be `html`, all of them stay, or `remove`."""
     t = page_tokens(pages)
     iv = page_intervals(t)
     pre = iv.where("tag = 'pre'")
-    marked = inside(inside(inside(t, pre, "_pre"), iv.where("tag = 'blockquote'"), "_quote"), iv.where("tag in ('td', 'th')"), "_cell")
-    main = main_tokens(marked, iv)
+    table_spans = iv.where("tag = 'table'")
+    if tables == "gfm":
+        kept = table_cells(pages).where("not plain").select("page_id", F.col("table_pos").alias("open_pos")).distinct()
+        table_spans = table_spans.join(kept, ["page_id", "open_pos"], "left_semi")
+    placed = inside(inside(inside(inside(t, pre, "_pre"), iv.where("tag = 'blockquote'"), "_quote"), iv.where("tag in ('td', 'th')"), "_cell"), table_spans, "_html")
+    main = main_tokens(placed, iv)
+    if tables == "remove":
+        main = main.where("_html = 0")
+    numbers = pre.select("page_id", F.col("open_pos").alias("pos"), F.row_number().over(Window.partitionBy("page_id").orderBy("open_pos")).alias("block_no"))
     lists = iv.where("tag in ('ol', 'ul')").select("page_id", "open_pos", "close_pos", "tag")
     items = iv.where("tag = 'li'").select("page_id", "open_pos", "close_pos")
     i, o = items.alias("i"), lists.alias("l")
@@ -210,18 +219,17 @@ def page_markdown(pages: DataFrame) -> DataFrame:
     heads = parents(iv.where("tag = 'tr'").select("page_id", "open_pos"), iv.where("tag = 'table'").select("page_id", "open_pos", "close_pos"))
     heads = heads.groupBy("page_id", "parent_pos").agg(F.min("open_pos").alias("open_pos")).join(iv.where("tag = 'tr'").select("page_id", "open_pos", "close_pos"), ["page_id", "open_pos"]).join(widths, ["page_id", "open_pos"])
     rules = heads.select("page_id", F.col("close_pos").alias("pos"), F.col("n").cast("int").alias("width"))
-    code_class = iv.where("tag = 'code'").select("page_id", "open_pos", "classes").alias("c").join(pre.alias("p"), F.expr("c.page_id = p.page_id and c.open_pos between p.open_pos and p.close_pos"))
-    code_class = code_class.groupBy(F.col("p.page_id").alias("page_id"), F.col("p.open_pos").alias("pos")).agg(code_language(F.min_by("c.classes", "c.open_pos"), F.lit("")).alias("language"))
-    d = main.join(nested, ["page_id", "pos"], "left").join(bullets, ["page_id", "pos"], "left").join(links, ["page_id", "pos"], "left").join(rules, ["page_id", "pos"], "left").join(code_class, ["page_id", "pos"], "left")
+    d = main.join(nested, ["page_id", "pos"], "left").join(bullets, ["page_id", "pos"], "left").join(links, ["page_id", "pos"], "left").join(rules, ["page_id", "pos"], "left").join(numbers, ["page_id", "pos"], "left")
     tok, tag, opens = F.col("tok"), F.col("tag"), F.col("kind") == "open"
     level = F.substring("tag", 2, 1).cast("int")
     marker = (
-        F.when(F.col("kind") == "text", F.when(F.col("_pre") > 0, decoded(tok)).otherwise(decoded(F.regexp_replace(tok, r"[\x20\x09-\x0D]+", " "))))
+        F.when((F.col("_html") == 1) & (tag == "table"), F.when(opens, F.concat(F.lit("\n\n"), tok)).otherwise(F.concat(tok, F.lit("\n\n")))).when(F.col("_html") > 0, tok)
+        .when((tag == "pre") & opens & (F.col("_pre") == 1), F.concat(F.lit("\n\n\x02"), F.col("block_no").cast("string"), F.when(F.col("_quote") > 0, "q").otherwise(""), F.lit("\x02\n\n"))).when(F.col("_pre") > 0, "")
+        .when(F.col("kind") == "text", decoded(F.regexp_replace(tok, r"[\x20\x09-\x0D]+", " ")))
         .when(tag.rlike("^h[1-6]$"), F.when(opens, F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), level), F.lit(" "))).otherwise("\n\n"))
         .when(tag.isin("p", "div", "section", "article", "main", "figure", "table", "ul", "ol", "blockquote"), F.when(F.col("nested"), "").otherwise("\n\n"))
         .when(tag.isin("strong", "b"), "**").when(tag.isin("em", "i"), "*").when(tag == "br", "\n").when(tag == "hr", "\n\n---\n\n")
-        .when(tag == "pre", F.when(opens, F.concat(F.lit("\n\n```"), F.coalesce("language", F.lit("")), F.lit("\n"))).otherwise("\n```\n\n"))
-        .when((tag == "code") & (F.col("_pre") == 0), "`")
+        .when(tag == "code", "`")
         .when(tag == "li", F.when(opens, F.coalesce("bullet", F.lit("\n- "))).otherwise(""))
         .when(tag == "a", F.when(opens, "[").otherwise(F.concat(F.lit("]("), F.coalesce("href", F.lit("")), F.lit(")"))))
         .when(tag == "img", F.concat(F.lit("!["), attribute(tok, "alt"), F.lit("]("), attribute(tok, "src"), F.lit(")")))
@@ -230,7 +238,7 @@ def page_markdown(pages: DataFrame) -> DataFrame:
         .otherwise("")
     )
     d = d.withColumn("m", marker)
-    d = d.withColumn("m", F.when((F.col("_cell") > 0) & (F.col("kind") == "text"), F.replace("m", F.lit("|"), F.lit("\\|"))).otherwise(F.col("m")))
+    d = d.withColumn("m", F.when((F.col("_cell") > 0) & (F.col("_html") == 0) & (F.col("kind") == "text"), F.replace("m", F.lit("|"), F.lit("\\|"))).otherwise(F.col("m")))
     d = d.withColumn("m", F.when((F.col("_quote") > 0) & (tag != "blockquote"), F.replace("m", F.lit("\n"), F.lit("\n> "))).otherwise(F.col("m")))
     parts = F.array_sort(F.collect_list(F.struct("pos", "m")))
     md = F.array_join(F.transform(parts, lambda p: p.m), "")
@@ -238,7 +246,12 @@ def page_markdown(pages: DataFrame) -> DataFrame:
     md = F.regexp_replace(F.regexp_replace(md, r"\n{2,}(?:>\n)+(?=> )", "\n\n"), r"(?:\n>)+(?=\n> )", "\n>")
     md = F.regexp_replace(md, r"\n{3,}", "\n\n")
     md = F.trim(F.regexp_replace(F.regexp_replace(md, r"(?m)^ (?=\S)", ""), r"^\s+|\s+$", ""))
-    out = d.groupBy("page_id").agg(md.alias("markdown"))
+    out = d.groupBy("page_id").agg(md.alias("md"))
+    fenced = F.concat("fence", "language", F.lit("\n"), "code", F.lit("\n"), "fence")
+    blocks = code_blocks(pages).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("block_no", fenced.alias("f")))).alias("blocks"))
+    block = lambda s: F.get("blocks", F.replace(s, F.lit("q"), F.lit("")).cast("int") - 1)["f"]
+    segments = F.transform(F.split("md", "\x02"), lambda s, i: F.when(i % 2 == 0, s).when(s.endswith("q"), F.replace(block(s), F.lit("\n"), F.lit("\n> "))).otherwise(block(s)))
+    out = out.join(blocks, "page_id", "left").select("page_id", F.array_join(segments, "").alias("markdown"))
     return pages.select("page_id").join(out, "page_id", "left").select("page_id", F.coalesce("markdown", F.lit("")).alias("markdown"))
 
 
