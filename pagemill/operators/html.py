@@ -1,7 +1,7 @@
 """Page structure: element spans, main content, text, Markdown, tables and code, as joins and windows by page.
 
 Tokens of a page carry their place `pos`; an element is the span of places from its opening to its closing token. All
-windows are over a page, or a page and a tag. Callers that use several of these operators store the tokens first."""
+windows are over a page, or a page and a tag. Markdown, which looks at tokens and spans many times, has both in checkpoints."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import attribute, collapsed, decoded, raw_attribute
-from pagemill.operators.pages import BLOCKS, VOID, page_tokens
-from pagemill.operators.structure import marked, page_structure, shown, text_in, written
+from pagemill.operators.pages import BLOCKS, page_tokens
+from pagemill.operators.structure import marked, page_structure, shown, text_in, with_ends, written
+from pagemill.sources.tables import checkpointed
 
 # Selectors of the main content in their order, and what is taken out of it, as (kind, value).
 CONTENT = [("tag", "article"), ("role", "main"), ("tag", "main"), ("class", "post-content"), ("class", "article-content"), ("class", "entry-content"), ("class", "content")]
@@ -26,27 +27,11 @@ KNOWN_LANGUAGES = "javascript typescript python ruby bash yaml markdown csharp c
 
 
 def page_intervals(tokens: DataFrame) -> DataFrame:
-    """(page_id, tag, open_pos, close_pos, id, classes, role, tok) for every element. The n-th opening and the n-th closing
-    token of a tag at one depth are a pair. An element that isn't closed ends before the next one of its tag, or with
-    the smallest closed element around it, whichever is first, else with the page; void elements are one token long."""
-    # one window sees both kinds: a closing token belongs to the last opening one of its depth before it
-    both = tokens.where("kind in ('open', 'close')").withColumn("d", F.when(F.col("kind") == "open", F.col("dep")).otherwise(F.col("dep") + 1))
-    by_depth = Window.partitionBy("page_id", "tag", "d").orderBy("pos")
-    both = both.withColumn("next_kind", F.lead("kind").over(by_depth)).withColumn("next_pos", F.lead("pos").over(by_depth))
-    opened = both.where("kind = 'open'").withColumn("void", F.col("tag").isin(VOID) | F.col("tok").rlike(r"/>$") & F.col("tag").isin("path", "use", "rect", "circle"))
-    opened = opened.withColumn("pair", F.when(F.col("void"), F.col("pos")).when(F.col("next_kind") == "close", F.col("next_pos")))
-    same = Window.partitionBy("page_id", "tag").orderBy("pos")
-    opened = opened.withColumn("next_open", F.lead("pos").over(same))
-    last = tokens.groupBy("page_id").agg(F.max("pos").alias("last_pos"))
-    loose = opened.where("pair is null").alias("u")
-    closed = opened.where("pair is not null and not void").select("page_id", F.col("pos").alias("from_pos"), F.col("pair").alias("to_pos")).alias("c")
-    ends = loose.join(closed, F.expr("u.page_id = c.page_id and u.pos > c.from_pos and u.pos < c.to_pos"), "left")
-    ends = ends.groupBy("u.page_id", "u.pos").agg(F.min("c.to_pos").alias("parent_end"))
-    out = opened.join(ends, ["page_id", "pos"], "left").join(last, "page_id")
-    implied = F.least(F.col("next_open") - 1, F.col("parent_end") - 1, F.col("last_pos"))
+    """(page_id, tag, open_pos, close_pos, id, classes, role, tok) for every element, ending as with_ends() says."""
+    last = F.max("pos").over(Window.partitionBy("page_id"))
     tok = F.col("tok")
-    return out.select(
-        "page_id", "tag", F.col("pos").alias("open_pos"), F.coalesce("pair", implied).cast("int").alias("close_pos"),
+    return with_ends(tokens).withColumn("close", F.least(F.col("close"), last)).where("kind = 'open'").select(
+        "page_id", "tag", F.col("pos").alias("open_pos"), F.col("close").alias("close_pos"),
         F.coalesce(raw_attribute(tok, "id"), F.lit("")).alias("id"), F.split(collapsed(F.coalesce(raw_attribute(tok, "class"), F.lit(""))), " ").alias("classes"), F.coalesce(F.lower(raw_attribute(tok, "role")), F.lit("")).alias("role"), "tok",
     )
 
@@ -114,19 +99,13 @@ def main_content(pages: DataFrame, content=CONTENT, removed=REMOVED) -> DataFram
     return s.select("page_id", F.coalesce(shown(text_in(F.col("e"))), F.lit("")).alias("text"))
 
 
-def element_texts(tokens: DataFrame, elements: DataFrame) -> DataFrame:
-    """(page_id, open_pos, text) of every element: each of a page's text tokens meets the elements around it."""
-    e = elements.select("page_id", "open_pos", "close_pos").alias("e")
-    t = tokens.where("kind in ('text', 'open', 'close')").alias("t")
-    met = t.join(e, F.expr("t.page_id = e.page_id and t.pos between e.open_pos and e.close_pos")).select("t.page_id", "t.pos", "t.kind", "t.tag", "t.tok", "e.open_pos")
-    return text_of(met, "open_pos")
-
-
 def parents(elements: DataFrame, holders: DataFrame) -> DataFrame:
-    """(page_id, open_pos, parent_pos): the innermost holder around each element."""
-    e, h = elements.alias("e"), holders.alias("h")
-    met = e.join(h, F.expr("e.page_id = h.page_id and h.open_pos < e.open_pos and e.open_pos <= h.close_pos"))
-    return met.groupBy(F.col("e.page_id").alias("page_id"), F.col("e.open_pos").alias("open_pos")).agg(F.max("h.open_pos").alias("parent_pos"))
+    """(page_id, open_pos, parent_pos): the innermost holder around each element. Elements and holders are put in page order, so none
+    meets another."""
+    e = F.struct(F.col("open_pos").alias("pos"), F.coalesce("close_pos", "open_pos").alias("close")).alias("e")
+    asked = elements.select("page_id", F.struct(F.col("open_pos").alias("pos"), F.col("open_pos").alias("close")).alias("e"), F.lit(False).alias("holds"))
+    d = marked(asked.unionByName(holders.select("page_id", e, F.lit(True).alias("holds"))), {"parent_pos": "holds"})
+    return d.where("not holds and parent_pos is not null").select("page_id", F.col("e.pos").alias("open_pos"), "parent_pos")
 
 
 def code_language(classes: Column, code: Column) -> Column:
@@ -192,8 +171,8 @@ def page_markdown(pages: DataFrame, tables: str = "gfm") -> DataFrame:
     and tables. Every token becomes a marker or its text; the ordered pieces are joined, then tidied up. Code is put in after
     that, as code_blocks() has it, so that no white space in it is touched. Tables that aren't plain stay HTML; `tables` may
     also be `html`, all of them stay, or `remove`."""
-    t = page_tokens(pages)
-    iv = page_intervals(t)
+    t = checkpointed(page_tokens(pages.repartition("page_id")))
+    iv = checkpointed(page_intervals(t))
     pre = iv.where("tag = 'pre'")
     table_spans = iv.where("tag = 'table'")
     if tables == "gfm":

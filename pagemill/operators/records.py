@@ -49,7 +49,7 @@ def extract_records(pages: DataFrame, spec: Spec) -> DataFrame:
         before = F.last(F.when(field == "scope", pos), ignorenulls=True).over(page.orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow))
         h = h.withColumn("record", before).where(own | (pos > F.col("record")))
     else:
-        h = h.withColumn("record", F.when(own, pos).otherwise(F.col("scope"))).where(own | (F.col("scope") > 0))
+        h = h.withColumn("record", F.when(own, pos).otherwise(F.col("scope"))).where(own | (F.col("scope") >= 0))
     value = lambda f: F.col("value") if f.take == "text" else F.nullif("value", F.lit(""))
     first = [value(f) for f in spec.fields]
     kept = [F.min_by(F.when(field == f.name, v), F.when(field == f.name, pos)).alias(f.name) for f, v in zip(spec.fields, first)]

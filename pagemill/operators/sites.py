@@ -259,7 +259,7 @@ def social_posts(pages: DataFrame) -> DataFrame:
     # a scope's own row goes to itself; what it lies in is kept
     own = field.isin("scope", "whole")
     h = h.withColumn("around", F.when(own, F.col("scope"))).withColumn("scope", F.when(own, pos).otherwise(F.col("scope")))
-    h = h.where("scope > 0 or field = 'scope'").where(~((field == "handle") & value.rlike("/(status|photo|video)/")) & ~((field == "image") & F.contains(value, F.lit("profile_images"))))
+    h = h.where("scope >= 0 or field = 'scope'").where(~((field == "handle") & value.rlike("/(status|photo|video)/")) & ~((field == "image") & F.contains(value, F.lit("profile_images"))))
     label = F.lower("value")
     kind = F.lit(None).cast("string")
     for name, words in reversed(COUNTS):

@@ -21,33 +21,41 @@ ATTRIBUTE = r"""(?s)[\s"']([A-Za-z_:@][-A-Za-z0-9_:.@]*)(?:\s*=\s*("[^"]*"|'[^']
 BREAK = "\x01"  # stands in a page's text where a block element begins or ends
 
 
-def page_structure(pages: DataFrame, removed: str | None = None) -> DataFrame:
-    """(page_id, text, elements): text is binary; elements have pos and close (places of tokens), up (index of the parent, from 0),
-    parent (its pos), depth, nth (place among the elements opened under the same one, from 1), tag, id, classes, role, names and
-    values of the attributes, tok, start and size (of the text, in bytes). Elements that fulfil `removed`, SQL over tag, id, class
-    and role, are left out with all that they hold."""
-    html = F.coalesce(F.nullif(F.col("html"), F.lit("")), F.lit(" "))
-    t = page_tokens(pages.select("page_id", html.alias("html")).repartition("page_id"))
+def with_ends(tokens: DataFrame) -> DataFrame:
+    """tokens with `void` and, for openings, `close`: the place of the token that an element ends with. The n-th opening and the n-th
+    closing token of a tag at one depth are a pair. An element that isn't closed ends before the next one of its tag, or with
+    the innermost closed one around it, whichever is first, else with the page (then close is beyond it); void elements are
+    one token long. Windows within a page only."""
     opens, closes = F.col("kind") == "open", F.col("kind") == "close"
-    t = t.withColumn("d", F.when(opens, F.col("dep")).when(closes, F.col("dep") + 1))
-    piece = F.when(F.col("kind") == "text", F.col("tok")).when((opens | closes) & F.col("tag").isin(BLOCKS), F.lit(BREAK)).otherwise("")
-    t = t.withColumn("piece", piece)
-    # the n-th opening and the n-th closing token of a tag at one depth are a pair
+    t = tokens.withColumn("d", F.when(opens, F.col("dep")).when(closes, F.col("dep") + 1))
     by_depth = Window.partitionBy("page_id", "tag", "d").orderBy("pos")
     t = t.withColumn("next_kind", F.lead("kind").over(by_depth)).withColumn("next_pos", F.lead("pos").over(by_depth)).withColumn("prev_kind", F.lag("kind").over(by_depth))
     t = t.withColumn("void", opens & (F.col("tag").isin(VOID) | F.col("tok").rlike(r"/>$") & F.col("tag").isin("path", "use", "rect", "circle")))
     t = t.withColumn("pair", F.when(F.col("void"), F.col("pos")).when(opens & (F.col("next_kind") == "close"), F.col("next_pos")))
     later = Window.partitionBy("page_id", "tag").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("next_open", F.last(F.when(opens, F.col("pos")), ignorenulls=True).over(later))
-    # an element that isn't closed ends with the innermost closed one around it, or before the next one of its tag
     closed = opens & ~F.col("void") & F.col("pair").isNotNull()
     page = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = F.when(closed, 1).when(closes & (F.col("prev_kind") == "open"), -1).otherwise(0)
-    t = t.withColumn("level", F.sum(step).over(page)).withColumn("upto", F.sum(F.octet_length("piece")).over(page)).withColumn("number", F.sum(opens.cast("int")).over(page))
+    t = t.withColumn("level", F.sum(F.when(closed, 1).when(closes & (F.col("prev_kind") == "open"), -1).otherwise(0)).over(page))
     at_level = Window.partitionBy("page_id", "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = t.withColumn("around", F.last(F.when(closed, F.col("pair")), ignorenulls=True).over(at_level))
     loose = F.least(F.col("next_open") - 1, F.when(F.col("level") > 0, F.col("around") - 1), F.lit(1 << 30))
     t = t.withColumn("close", F.when(opens, F.greatest(F.coalesce("pair", loose), F.col("pos"))).cast("int"))
+    return t.select(*tokens.columns, "void", "close")
+
+
+def page_structure(pages: DataFrame, removed: str | None = None) -> DataFrame:
+    """(page_id, text, elements): text is binary; elements have pos and close (places of tokens), up (index of the parent, from 0),
+    parent (its pos), depth, nth (place among the elements opened under the same one, from 1), tag, id, classes, role, names and
+    values of the attributes, tok, start and size (of the text, in bytes). Elements that fulfil `removed`, SQL over tag, id, class
+    and role, are left out with all that they hold."""
+    html = F.coalesce(F.nullif(F.col("html"), F.lit("")), F.lit(" "))
+    t = page_tokens(pages.select("page_id", html.alias("html")).repartition("page_id"))
+    opens = F.col("kind") == "open"
+    piece = F.when(F.col("kind") == "text", F.col("tok")).when(F.col("kind").isin("open", "close") & F.col("tag").isin(BLOCKS), F.lit(BREAK)).otherwise("")
+    t = with_ends(t).withColumn("piece", piece)
+    page = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumn("upto", F.sum(F.octet_length("piece")).over(page)).withColumn("number", F.sum(opens.cast("int")).over(page))
     # depth: openings and ends in page order; an end comes before what stands at the next place
     at = lambda place, step: F.struct(place.cast("int").alias("at"), F.lit(step).alias("step"))
     holds = opens & ~F.col("void")
@@ -208,7 +216,7 @@ def picks(field: str, *els: El, take: str = "text") -> list[Pick]:
 
 def collect_hits(structure: DataFrame, fields: list[Pick], scopes: dict[str, El] | None = None) -> DataFrame:
     """(page_id, scope, field, rank, pos, close, parent, value) of every element that is picked, in no order. `scope` is the pos of
-    the nearest scope around it, 0 without one: a scope within a scope owns its own fields. A row of field `scope` stands for
+    the nearest scope around it, -1 without one: a scope within a scope owns its own fields. A row of field `scope` stands for
     every scope itself, with its name as value."""
     scopes = scopes or {}
     places: list[list[El]] = []  # what elements have to lie in, outermost first
@@ -248,11 +256,11 @@ def collect_hits(structure: DataFrame, fields: list[Pick], scopes: dict[str, El]
         return "raw" if pick.take in ("text", "raw") else "cast(NULL AS string)" if pick.take == "none" else sql_value(pick.take)
 
     found = [hit(p.el, p.field, p.rank, p.take if p.take in ("text", "raw") else "other", value(p)) for p in fields]
-    scope = "0"
+    scope = "-1"
     if scopes:
         rows = marked(rows, {"_scope": " OR ".join(f"({is_one(el)})" for el in scopes.values())})
         found += [hit(el, "scope", i, "other", sql_text(name)) for i, (name, el) in enumerate(scopes.items())]
-        scope = "coalesce(_scope, 0)"
+        scope = "coalesce(_scope, -1)"
     rows = rows.selectExpr("page_id", f"{scope} AS scope", "e.pos", "e.close", "e.parent", f"explode(array_compact(array({', '.join(found)}))) AS f")
     # decoded once, after all alternatives have met
     text = F.replace(F.col("f.value"), F.lit(BREAK), F.when(F.col("f.take") == "text", " ").otherwise(""))

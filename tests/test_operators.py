@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import text, urls
-from pagemill.operators import batch, history, html, metadata, notes, pages, records, rules, sequences, suggest, titles
+from pagemill.operators import batch, history, html, metadata, notes, pages, records, rules, sequences, sites, suggest, titles
 from pagemill.sources import tables
 from pagemill.streaming import counts
 
@@ -93,7 +93,7 @@ def test_main_content_and_paywall(spark):
     got = [r.text for r in html.main_content(p).orderBy("page_id").collect()]
     assert got == ["T " + words.strip(), words.strip(), "c & d", "short, subscribe to premium", ""]
     assert [r.paywalled for r in html.paywall_flags(p).orderBy("page_id").collect()] == [False, False, False, True, True]
-    assert [r.tag for r in html.score_blocks(p).where("page_id = 0").collect()] == ["div"]
+    assert [r.tag for r in sites.best_blocks(p).where("page_id = 0").collect()] == ["div"]
 
 
 def test_markdown_tables_and_code(spark):
