@@ -37,7 +37,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     """(page_id, pos, kind, tag, tok, dep): dep counts the open elements of the same tag. The window is per page and
     tag."""
     t = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
-    t = t.withColumn("tag", F.lower(F.regexp_extract("tok", r"^</?([A-Za-z][A-Za-z0-9]*)", 1)))
+    t = t.withColumn("tag", F.lower(F.regexp_extract("tok", r"^</?([A-Za-z][A-Za-z0-9-]*)", 1)))
     tok = F.col("tok")
     kind = F.when(tok.startswith("<!--"), "comment").when(tok.startswith("</"), "close").when(F.col("tag").isin("script", "style"), "raw").when(F.col("tag") != "", "open").when(tok.startswith("<"), "other").otherwise("text")
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)

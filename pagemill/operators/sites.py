@@ -19,10 +19,10 @@ def trimmed(text: Column) -> Column:
 
 
 def ordered(field: str, value: Column | None = None, more: Column | None = None) -> Column:
-    """The values of a field in page order, those that aren't empty; `more` restricts them."""
+    """The values of a field in page order, those that aren't empty, of each element once; `more` restricts them."""
     keep = (F.col("field") == field) & (F.coalesce("value", F.lit("")) != "")
     keep = keep & more if more is not None else keep
-    return F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("pos", (F.col("value") if value is None else value).alias("v"))))), lambda x: x.v)
+    return F.transform(F.array_distinct(F.array_sort(F.collect_list(F.when(keep, F.struct("pos", (F.col("value") if value is None else value).alias("v")))))), lambda x: x.v)
 
 
 def first_of(field: str) -> Column:
@@ -548,6 +548,103 @@ def post_id_of(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, "/p/([a-zA-Z0-9-]+)", 1), F.lit(""))
 
 
+# --- forums
+
+THREAD = {"old": El(cls="entry", inside=El(cls="comment")), "new": El("shreddit-comment"), "plain": _part("comment")}
+FORUM = [
+    Pick("old", El(id="siteTable"), "none"), Pick("old", El(cls="linklisting"), "none"), *_all("old_score", El(cls="score unvoted", inside=El(id="siteTable")), El(cls="score unvoted", inside=El(cls="link"))), Pick("post_score", El("shreddit-post"), "score"),
+    Pick("votes", El(attr="aria-label", op="holds", value="upvote", inside=_part("post-container")), "raw"), *[Pick(f, x, t, i) for i, x in enumerate((El("a", attr="href", op="begins", value="/r/", inside=El(cls="subreddit")), El("a", cls="subreddit"), El("a", inside=El(cls="redditname")), El("a", attr="href", op="begins", value="/r/"), El(attr="data-community-name"), El("shreddit-subreddit-icon"))) for f, t in (("group", "raw"), ("group_href", "href"), ("group_name", "data-community-name"))],
+    Pick("author_old", El(cls="author"), "raw"), Pick("author_new", El("shreddit-comment"), "author"), *_all("author_plain", El("a", attr="href", op="begins", value="/u/"), _href("user/"), _part("comment-author")),
+    Pick("body_old", El(cls="md"), "raw"), *_all("body_new", El("div", attr="slot", op="equals", value="comment"), El(cls="md"), El("p")), *_all("body_plain", El(cls="md"), _part("comment-body"), El("p")),
+    Pick("score_old", El(cls="score unvoted"), "raw"), Pick("score_new", El("shreddit-comment"), "score"), *[Pick(f, x, t) for x in (El(attr="aria-label", op="holds", value="upvote"), El(cls="score")) for f, t in (("score_plain", "raw"), ("score_label", "aria-label"))],
+]
+
+
+def score_number(text: Column) -> Column:
+    """1.2k as 1200, 3m, 2b; whatever else stands around it."""
+    clean = F.regexp_replace(text, "[^0-9.kKmMbB]", "")
+    unit = F.lower(F.regexp_extract(clean, r"^[0-9.]+([kKmMbB]?)$", 1))
+    scale = F.when(unit == "k", 1e3).when(unit == "m", 1e6).when(unit == "b", 1e9).otherwise(1.0)
+    number = F.regexp_extract(F.when(clean.rlike(r"^[0-9.]+[kKmMbB]?$"), clean), r"^[0-9]*\.?[0-9]*", 0).try_cast("double")
+    return F.floor(number * scale + 0.5).cast("long")
+
+
+def forum_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, layout, community, score) of threads: the layout decides where the score is; the community is that of the URL, else
+    of the first alternative that names one. (A score that is known only by the arrow before it isn't found.)"""
+    h = collect_hits(page_structure(pages), FORUM, THREAD)
+    field, first = F.col("field"), F.row_number().over(Window.partitionBy("page_id", "field", "rank").orderBy("pos")) == 1
+    named = lambda v: F.nullif(F.lower(F.regexp_extract(v, "(?i)r/([A-Za-z0-9_]+)", 1)), F.lit(""))
+    h = h.withColumn("_name", F.when(first, F.when(field == "group", named(F.col("value"))).when(field == "group_href", named(F.concat(F.lit("/"), F.regexp_replace("value", "^/", "")))).when(field == "group_name", F.nullif(F.lower("value"), F.lit("")))))
+    d = h.groupBy("page_id").agg((F.count_if(field == "old") > 0).alias("is_old"), first_of("old_score").alias("old_score"), first_of("post_score").alias("post_score"), first_of("votes").alias("votes"), F.min_by("_name", F.when(F.col("_name").isNotNull(), F.struct("rank", "field"))).alias("name"))
+    score = F.when(F.col("is_old"), score_number(F.col("old_score"))).otherwise(F.coalesce(F.regexp_extract("post_score", r"^\s*(-?[0-9]+)", 1).try_cast("long"), score_number(F.col("votes"))))
+    url = F.lower(F.nullif(F.regexp_extract("url", "(?i)reddit\\.com/r/([^/]+)", 1), F.lit("")))
+    return pages.select("page_id", "url").join(d, "page_id", "left").select("page_id", F.when(F.col("is_old"), "old").otherwise("new").alias("layout"), F.coalesce(url, "name").alias("community"), score.alias("score"))
+
+
+def forum_comments(pages: DataFrame, most: int = 10) -> DataFrame:
+    """(page_id, comment_no, author, body, score) of the first `most` comments of each page's layout that have a body; a comment within
+    a comment owns its own fields."""
+    h = collect_hits(page_structure(pages), FORUM, THREAD)
+    field, pos, page = F.col("field"), F.col("pos"), Window.partitionBy("page_id")
+    h = h.withColumn("is_old", F.max(F.when(field == "old", 1).otherwise(0)).over(page) > 0)
+    own = field.isin("scope", "author_new", "score_new")
+    h = h.withColumn("at", F.when(own, pos).otherwise(F.col("scope"))).where("at >= 0")
+    d = h.groupBy("page_id", "is_old", "at").agg(F.max(F.when(field == "scope", F.col("value"))).alias("kind"), *[first_of(f"{f}_{k}").alias(f"{f}_{k}") for f in ("author", "body", "score") for k in THREAD], first_of("score_label").alias("score_label"))
+    d = d.where((F.col("kind") == "old") == F.col("is_old")).withColumn("n", F.row_number().over(page.orderBy("at"))).where(F.col("n") <= most)
+    pick = lambda f, or_else: F.coalesce(*[F.when(F.col("kind") == k, F.nullif(trimmed(F.col(f"{f}_{k}")), F.lit(""))) for k in THREAD], F.lit(or_else))
+    labelled = F.when(F.col("kind") == "plain", F.nullif(F.regexp_extract("score_label", "[0-9]+", 0), F.lit("")))
+    d = d.select("page_id", "n", pick("author", "[deleted]").alias("author"), pick("body", "").alias("body"), F.coalesce(labelled, pick("score", "0")).alias("score")).where("body <> ''")
+    return d.select("page_id", F.row_number().over(page.orderBy("n")).cast("long").alias("comment_no"), "author", "body", "score")
+
+
+def render_comments(comments: DataFrame) -> DataFrame:
+    """(page_id, body): comments in order under a heading, with their authors and scores."""
+    line = F.concat(F.lit("**"), F.col("author"), F.lit("** (↑"), F.col("score"), F.lit(")\n\n"), F.col("body"), F.lit("\n\n---\n\n"))
+    parts = F.array_sort(F.collect_list(F.struct("comment_no", line.alias("l"))))
+    return comments.groupBy("page_id").agg(F.concat(F.lit("\n\n## Comments\n\n"), F.array_join(F.transform(parts, lambda p: p["l"]), "")).alias("body"))
+
+
+# --- code hosts
+
+
+def _click(part: str, tag: str = "") -> El:
+    return El(tag, attr="data-ga-click", op="holds", value=part)
+
+
+CODE_HOST = [
+    *_all("stars", _click("star button"), _href("/stargazers")), *_all("forks", _click("fork button"), _href("/forks")), *_all("watchers", _click("watch button"), _href("/watchers")),
+    *_all("language", El(attr="itemprop", op="equals", value="programmingLanguage"), El("span", attr="data-ga-click", op="holds", value="language", inside=El(cls="Layout-sidebar"))), *_all("state", _click("State"), El(cls="State"), take="class"), *_all("label", El(cls="IssueLabel"), El("a", inside=El(cls="js-issue-labels"))),
+    *[Pick(f, x, t) for x in (El(cls="assignee"), El("a", inside=_part("assignee")), El("a", inside=El(cls="sidebar-assignee"))) for f, t in (("assignee", "raw"), ("assignee_href", "href"))], *_all("milestone", El(cls="milestone-name"), El("a", inside=_part("milestone"))),
+]
+
+
+def code_host_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, kind, owner, repo, number, stars, forks, watchers, language, status, labels, assignees, milestone)."""
+    field, value = F.col("field"), F.col("value")
+    h = collect_hits(page_structure(pages), CODE_HOST)
+    count = lambda f, w: F.coalesce(F.replace(F.coalesce(F.nullif(F.regexp_extract(first_of(f), rf"(?i)([0-9][0-9,]*)\s*{w}", 1), F.lit("")), F.regexp_extract(first_of(f), "([0-9][0-9,]*)", 1)), F.lit(","), F.lit("")).try_cast("long"), F.lit(0))
+    state = F.coalesce(first_of("state"), F.lit(""))
+    who = F.transform(F.array_sort(F.collect_list(F.when(field.isin("assignee", "assignee_href"), F.struct("pos", F.when(field == "assignee_href", 0).otherwise(1).alias("k"), F.when(field == "assignee_href", F.regexp_replace(value, "^([^/]*)/", "$1@")).otherwise(trimmed(value)).alias("v"))))), lambda x: x)
+    d = h.groupBy("page_id").agg(
+        count("stars", "Star").alias("stars"), count("forks", "Fork").alias("forks"), count("watchers", "Watch").alias("watchers"), F.coalesce(trimmed(first_of("language")), F.lit("")).alias("language"), F.when(F.contains(state, F.lit("closed")), "closed").when(F.contains(state, F.lit("merged")), "merged").otherwise("open").alias("status"),
+        ordered("label", trimmed(value), trimmed(value) != "").alias("labels"), who.alias("who"), F.coalesce(trimmed(first_of("milestone")), F.lit("")).alias("milestone"),
+    )
+    # an assignee's link counts before its text; each element once
+    known = F.filter("who", lambda x: F.coalesce(x["v"], F.lit("")) != "")
+    one = F.filter(known, lambda x, i: (i == 0) | (F.get(known, i - 1)["pos"] != x["pos"]))
+    host, path = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1), F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1)
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    kind = F.when(host == "gist.github.com", "gist").when(F.contains(path, F.lit("/pull/")), "pr").when(F.contains(path, F.lit("/issues/")), "issue").when(F.contains(path, F.lit("/blob/")), "code").when(F.size(parts) >= 2, "repo").otherwise("unknown")
+    number = F.regexp_extract(path, "/(?:issues|pull)/([0-9]+)", 1).try_cast("long")
+    keys = pages.select("page_id", kind.alias("kind"), F.when(F.size(parts) >= 2, F.get(parts, F.lit(0))).alias("owner"), F.when(F.size(parts) >= 2, F.get(parts, F.lit(1))).alias("repo"), number.alias("number"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    none = F.array().cast("array<string>")
+    return keys.join(d.withColumn("assignees", F.array_distinct(F.transform(one, lambda x: x["v"]))), "page_id", "left").select(
+        "page_id", "kind", "owner", "repo", "number", zero("stars"), zero("forks"), zero("watchers"), F.coalesce("language", F.lit("")).alias("language"), F.coalesce("status", F.lit("open")).alias("status"), F.coalesce("labels", none).alias("labels"), F.coalesce("assignees", none).alias("assignees"), F.coalesce("milestone", F.lit("")).alias("milestone"),
+    )
+
+
 # --- video pages
 
 VIDEO = [

@@ -358,9 +358,63 @@ SELECT n AS page_id, concat_ws(chr(10) || chr(10), '# ' || title, CASE WHEN len(
   CASE WHEN len(su) > 0 THEN '**Subjects:** ' || array_to_string(list_transform(su, lambda a: '`' || a || '`'), ', ') END, '## Abstract' || chr(10) || chr(10) || abstract, '> **Comments:** ' || comments, '**Journal Reference:** ' || journal, '**DOI:** [' || doi || '](https://doi.org/' || doi || ')', '## Citation' || chr(10) || chr(10) || '```bibtex' || chr(10) || bibtex || chr(10) || '```') AS body FROM z
 """
 
+def forum_html(conversations: DataFrame) -> DataFrame:
+    """(page_id, url, html): a thread per conversation, in the old layout or the new one, a comment per turn with its whole text;
+    every second one answers the one before, within it. The turns of one conversation are gathered."""
+    s, turn, conv = joined, F.col("turn"), F.col("conv_id")
+    t = escaped(F.coalesce("text", F.lit("")))
+    old = s('<div class="comment"><div class="entry"><a class="author">', F.when(turn % 3 == 1, "").otherwise(F.col("role")), '</a><span class="score unvoted"> ', turn.cast("string"), ' points</span><div class="md">', t, "</div></div></div>")
+    new = s("<shreddit-comment", F.when(turn % 3 == 1, "").otherwise(s(' author="', F.col("role"), '"')), ' score="', turn.cast("string"), '"><div slot="comment">', t, "</div>", F.when(turn % 2 == 0, "").otherwise("</shreddit-comment></shreddit-comment>"))
+    block = F.when(conv % 2 == 0, old).otherwise(new)
+    d = conversations.where("turn is not null and role is not null and conv_id is not null").groupBy("conv_id", "turn", "role").agg(F.min("text").alias("text"))
+    parts = F.array_sort(F.collect_list(F.struct("turn", "role", block.alias("b"))))
+    d = d.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["b"]), "\n").alias("blocks"))
+    head = F.when(conv % 2 == 0, s('<div id="siteTable"><div class="score unvoted">1.', F.pmod(conv, F.lit(10)).cast("string"), 'k</div></div><span class="redditname"><a href="/r/Own', conv.cast("string"), '/">here</a></span>')).otherwise(s("<shreddit-post", F.when(conv % 3 == 0, s(' score="', conv.cast("string"), '"')).otherwise(""), '></shreddit-post><div data-testid="post-container"><b aria-label="12 upvotes">2.5k</b></div><b data-community-name="Named"></b>'))
+    url = F.when(conv % 4 <= 1, s("https://www.reddit.com/r/Group", conv.cast("string"), "/comments/1")).otherwise(s("https://redd.it/", conv.cast("string")))
+    return d.select(conv.alias("page_id"), url.alias("url"), s("<html><body>", head, F.col("blocks"), "</body></html>").alias("html"))
+
+
+def _forum(f):
+    return lambda spark, sf_dir: f(forum_html(read_table(spark, sf_dir, "conversations")))
+
+
+_TURNS_SQL = r"""WITH c AS (SELECT conv_id, turn, role, coalesce(min(text), '') AS t FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL GROUP BY ALL)"""
+FORUM_SQL = f"""{_TURNS_SQL}
+SELECT conv_id AS page_id, CASE WHEN conv_id % 2 = 0 THEN 'old' ELSE 'new' END AS layout, CASE WHEN conv_id % 4 <= 1 THEN 'group' || conv_id WHEN conv_id % 2 = 0 THEN 'own' || conv_id ELSE 'named' END AS community, CASE WHEN conv_id % 2 = 0 THEN 1000 + 100 * (conv_id % 10) WHEN conv_id % 3 = 0 THEN conv_id ELSE 2500 END::BIGINT AS score FROM (SELECT DISTINCT conv_id FROM c)
+"""
+_COMMENTS_SQL = rf"""{_TURNS_SQL},
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS n, regexp_replace(t, '^[\x20\x09-\x0D\x{{A0}}]+|[\x20\x09-\x0D\x{{A0}}]+$', '', 'g') AS body FROM c),
+f AS (SELECT conv_id AS page_id, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS comment_no, CASE WHEN turn % 3 = 1 THEN '[deleted]' ELSE role END AS author, body, CASE WHEN conv_id % 2 = 0 THEN turn || ' points' ELSE turn::VARCHAR END AS score FROM o WHERE n <= 10 AND body <> '')"""
+COMMENT_SQL = f"{_COMMENTS_SQL} SELECT * FROM f"
+COMMENT_NOTE_SQL = f"{_COMMENTS_SQL} SELECT page_id, chr(10) || chr(10) || '## Comments' || chr(10) || chr(10) || string_agg('**' || author || '** (↑' || score || ')' || chr(10) || chr(10) || body || chr(10) || chr(10) || '---' || chr(10) || chr(10), '' ORDER BY comment_no) AS body FROM f GROUP BY 1"
+
+
+def code_host_html(docs: DataFrame) -> DataFrame:
+    """(page_id, url, html): a repository, an issue, a request or a file per document, its whole text in the page."""
+    n, s = F.col("n"), joined
+    html = s(
+        "<html><body><a href='/o/r/stargazers'>", F.when(n % 2 == 0, s("1,0", F.lpad(F.pmod(n, F.lit(100)).cast("string"), 2, "0"), " stars")).otherwise("Star"), '</a><a data-ga-click="x, fork button">Fork 7 of ', F.col("size").cast("string"), " forks</a>", F.when(n % 3 == 0, s('<span itemprop="programmingLanguage"> ', word(0), " </span>")).otherwise(""),
+        '<span class="State ', F.when(n % 3 == 0, "State--closed").when(n % 3 == 1, "State--merged").otherwise("State--open"), '">x</span><div class="js-issue-labels"><a> ', word(1), ' </a><a class="IssueLabel">', word(2), '</a><a> </a></div><div data-testid="assignee"><a href="/', word(3), '">no</a><a>', word(4), '</a></div><b class="assignee">', word(4), "</b>",
+        F.when(n % 2 == 1, s('<div data-testid="milestone"><a>', word(5), "</a></div>")).otherwise(""), "<p>", escaped(F.col("t")), "</p></body></html>",
+    )
+    kind = F.get(F.array(*[F.lit(x) for x in ("", "/issues/", "/pull/", "/blob/main/")]), F.pmod(n, F.lit(4)).cast("int"))
+    return one_text(docs).select(n.alias("page_id"), s("https://github.com/own/", word(0), kind, F.when(n % 4 > 0, n.cast("string")).otherwise(""), "?tab=1").alias("url"), html.alias("html"))
+
+
+def _code_hosts(spark, sf_dir):
+    d = X.code_host_pages(code_host_html(read_table(spark, sf_dir, "documents")))
+    return d.withColumn("labels", F.array_join("labels", "|")).withColumn("assignees", F.array_join("assignees", "|"))
+
+
+CODE_HOST_SQL = rf"""
+WITH {TEXT_SQL}
+SELECT n AS page_id, ['repo', 'issue', 'pr', 'code'][n % 4 + 1] AS kind, 'own' AS owner, w[1] AS repo, CASE WHEN n % 4 IN (1, 2) THEN n END AS number, CASE WHEN n % 2 = 0 THEN 1000 + n % 100 ELSE 0 END::BIGINT AS stars, size::BIGINT AS forks, 0::BIGINT AS watchers, CASE WHEN n % 3 = 0 THEN w[1] ELSE '' END AS language,
+  ['closed', 'merged', 'open'][n % 3 + 1] AS status, w[2] || '|' || w[3] AS labels, CASE WHEN '@' || w[4] = w[5] THEN w[5] ELSE '@' || w[4] || '|' || w[5] END AS assignees, CASE WHEN n % 2 = 1 THEN w[6] ELSE '' END AS milestone FROM d
+"""
+
 QUERIES = {
-    "h17_visible_by_selector": _visible, "h20_selection_contexts": _contexts, "h9_best_block": _best_blocks, "r6_encyclopedia": _encyclopedia, "r13_social_posts": _social, "r11_products": _products, "r10_documentation": _documentation, "r10_breadcrumbs": _breadcrumbs, "r7_article_sites": _article_sites, "r8_newsletters": _newsletters, "r14_videos": _videos, "r9_papers": _papers, "n8_paper_notes": _paper_notes,
+    "r1_forum_pages": _forum(X.forum_pages), "r1_forum_comments": _forum(X.forum_comments), "n8_comment_notes": _forum(lambda p: X.render_comments(X.forum_comments(p))), "r5_code_hosts": _code_hosts, "h17_visible_by_selector": _visible, "h20_selection_contexts": _contexts, "h9_best_block": _best_blocks, "r6_encyclopedia": _encyclopedia, "r13_social_posts": _social, "r11_products": _products, "r10_documentation": _documentation, "r10_breadcrumbs": _breadcrumbs, "r7_article_sites": _article_sites, "r8_newsletters": _newsletters, "r14_videos": _videos, "r9_papers": _papers, "n8_paper_notes": _paper_notes,
 }
 SQL = {
-    "h17_visible_by_selector": VISIBLE_SQL, "h20_selection_contexts": CONTEXT_SQL, "h9_best_block": BLOCK_SQL, "r6_encyclopedia": ENCYCLOPEDIA_SQL, "r13_social_posts": SOCIAL_SQL, "r11_products": PRODUCT_SQL, "r10_documentation": DOCUMENTATION_SQL, "r10_breadcrumbs": BREADCRUMB_SQL, "r7_article_sites": ARTICLE_SITE_SQL, "r8_newsletters": NEWSLETTER_SQL, "r14_videos": VIDEO_SQL, "r9_papers": PAPER_SQL, "n8_paper_notes": PAPER_NOTE_SQL,
+    "r1_forum_pages": FORUM_SQL, "r1_forum_comments": COMMENT_SQL, "n8_comment_notes": COMMENT_NOTE_SQL, "r5_code_hosts": CODE_HOST_SQL, "h17_visible_by_selector": VISIBLE_SQL, "h20_selection_contexts": CONTEXT_SQL, "h9_best_block": BLOCK_SQL, "r6_encyclopedia": ENCYCLOPEDIA_SQL, "r13_social_posts": SOCIAL_SQL, "r11_products": PRODUCT_SQL, "r10_documentation": DOCUMENTATION_SQL, "r10_breadcrumbs": BREADCRUMB_SQL, "r7_article_sites": ARTICLE_SITE_SQL, "r8_newsletters": NEWSLETTER_SQL, "r14_videos": VIDEO_SQL, "r9_papers": PAPER_SQL, "n8_paper_notes": PAPER_NOTE_SQL,
 }
