@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions import urls
+from pagemill.operators import history as H
+from pagemill.operators import rules as R
 from pagemill.operators import sites as X
 from pagemill.sources.tables import read_table
 
@@ -36,6 +39,48 @@ d AS (SELECT n, t, v AS own, len(v) AS size, v || list_transform(range(40), lamb
   regexp_replace(t, '^[\x20\x09-\x0D\x{A0}]+|[\x20\x09-\x0D\x{A0}]+$', '', 'g') AS trimmed FROM (SELECT *, regexp_extract_all(t, '[A-Za-z]+') AS v FROM t))"""
 
 
+def site_urls(docs: DataFrame) -> DataFrame:
+    """(page_id, url): the URL of a known site per document, made of its number and first words."""
+    n, s = F.col("n"), joined
+    ten, eleven = F.lpad(n.cast("string"), 10, "A"), F.lpad(n.cast("string"), 11, "x")
+    made = [
+        s("https://www.youtube.com/watch?t=1&v=", eleven, "&x=2"), s("https://youtu.be/", eleven), s("https://x.com/", word(0), "/status/", n.cast("string"), "?s=20"), s("https://www.amazon.de/", word(0), "/dp/", F.lower(ten), "/ref=1"), s("https://arxiv.org/pdf/2301.", F.lpad(n.cast("string"), 5, "0"), "v3"), s("https://stackoverflow.com/questions/", n.cast("string"), "/", word(0)),
+        s("https://news.ycombinator.com/item?id=", n.cast("string")), s("https://github.com/", word(0), "/", word(1), "/issues/", n.cast("string")), s("https://github.com/", word(0), "/", word(1)), s("https://old.reddit.com/r/", word(0), "/comments/a", n.cast("string"), "/x"), s("https://de.wikipedia.org/wiki/", word(0), "?x=1"), s("https://", F.lower(word(0)), ".substack.com/p/", word(1)), s("https://www.food52.com/recipes/", n.cast("string")), s("https://gist.github.com/", n.cast("string")),
+    ]
+    return one_text(docs).select(n.alias("page_id"), F.get(F.array(*made), F.pmod(n, F.lit(len(made))).cast("int")).alias("url"))
+
+
+def _site_keys(spark, sf_dir):
+    d = site_urls(read_table(spark, sf_dir, "documents"))
+    return d.select("page_id", urls.site_key_of(F.col("url")).alias("k"), urls.page_kind(F.col("url")).alias("kind")).select("page_id", "k.site", "k.key", "k.key2", "kind")
+
+
+SITE_KEY_SQL = rf"""
+WITH {TEXT_SQL},
+x AS (SELECT *, n % 14 AS m, lpad(n::VARCHAR, 11, 'x') AS v FROM d)
+SELECT n AS page_id, ['video', 'video', 'post', 'product', 'paper', 'question', 'story', 'issue', 'repo', 'forum', 'wiki', 'letter', NULL, NULL][m + 1] AS site,
+  [v, v, n::VARCHAR, lpad(n::VARCHAR, 10, 'A'), '2301.' || lpad(n::VARCHAR, 5, '0'), n::VARCHAR, n::VARCHAR, w[1] || '/' || w[2], w[1] || '/' || w[2], w[1], w[1], w[2], NULL, NULL][m + 1] AS key, CASE m WHEN 4 THEN 'v3' WHEN 7 THEN n::VARCHAR WHEN 9 THEN 'a' || n END AS key2,
+  CASE m WHEN 6 THEN 'story' WHEN 7 THEN 'issue' WHEN 8 THEN 'repo' WHEN 12 THEN 'recipe' WHEN 13 THEN 'gist' ELSE 'other' END AS kind FROM x
+"""
+
+
+def _pruned(spark, sf_dir):
+    return H.prune_tags(H.tag_usage(read_table(spark, sf_dir, "events")), 3)
+
+
+PRUNED_SQL = """SELECT lower(trim(event_type)) AS tag_key, count(*) AS uses, max(ts) AS last_used, arg_min(trim(event_type), (ts, event_id)) AS tag FROM events WHERE trim(event_type) <> '' GROUP BY 1 ORDER BY uses DESC, last_used DESC, tag_key LIMIT 3"""
+
+
+def _dismissed(spark, sf_dir):
+    """Event types as suggestions for users, without the first type of all and those that the user has had success with."""
+    e = read_table(spark, sf_dir, "events")
+    suggested = e.select(F.col("user_id").alias("page_id"), F.upper("event_type").alias("tag")).distinct()
+    return R.drop_dismissed(suggested, e.groupBy().agg(F.min("event_type").alias("tag")), e.where("value >= 50").select(F.col("user_id").alias("page_id"), F.col("event_type").alias("tag")))
+
+
+DISMISSED_SQL = """SELECT DISTINCT user_id AS page_id, upper(event_type) AS tag FROM events e WHERE lower(event_type) <> (SELECT lower(min(event_type)) FROM events) AND NOT EXISTS (SELECT 1 FROM events f WHERE f.user_id = e.user_id AND f.value >= 50 AND lower(f.event_type) = lower(e.event_type))"""
+
+
 def block_html(docs: DataFrame) -> DataFrame:
     """(page_id, url, html): the whole text of a document in an article's body, beside comments with many commas, a table and a
     sidebar; which block is the best depends on the text."""
@@ -106,7 +151,7 @@ def encyclopedia_html(docs: DataFrame) -> DataFrame:
     n, s = F.col("n"), joined
     row = lambda key, value: s("<tr><th>", key, "</th><td>", value, "</td></tr>")
     box = s('<table class="infobox vcard"><caption> ', word(0), ' </caption><tr><td colspan=2><img src="//up.example/', n.cast("string"), '.png"><img src="/second.png"></td></tr>', row("Born:", s(word(3), " [1]  ", word(4))), row(s("The  ", word(5)), s(word(6), "<sup>[23]</sup><table><tr><th>in</th><td>ner</td></tr></table>")), "<tr><th>only</th></tr>", row("Infobox x", "y"), row("Born:", F.when(n % 2 == 0, word(7)).otherwise("")), row("long", F.repeat(F.lit("z"), (F.pmod(n, F.lit(3)) + 498).cast("int"))), "</table>")
-    items = s('<ul><li><a href="/wiki/', word(1), '">', word(1), "</a> – ", word(8), "</li><li>no link</li>", F.when(n % 3 == 0, s("<li><a href='https://x.test/", word(2), "'>", word(2), "</a></li>")).otherwise(s("<li>see <b>", word(2), '</b> <a href="/b">', word(9), "</a></li>")), F.repeat(F.lit("<li>more</li>"), (F.pmod(n, F.lit(4)) * 6).cast("int")), '<li><a href="/last">', word(10), "</a>: ", word(11), "</li></ul>")
+    items = s('<ul><li><a href="/wiki/', word(1), '">', word(1), "</a> – ", word(8), "</li><li>no link</li>", F.when(n % 3 == 0, s("<li><a href='https://x.test/", word(2), "'>", word(2), "</a></li>")).otherwise(s("<li>→ <b>", word(2), '</b> <a href="/b">', word(9), "</a></li>")), F.repeat(F.lit("<li>more</li>"), (F.pmod(n, F.lit(4)) * 6).cast("int")), '<li><a href="/last">', word(10), "</a>: ", word(11), "</li></ul>")
     stamp = F.when(n % 3 == 0, s('<li id="footer-info-lastmod"> <time datetime="2024-05-0', (F.pmod(n, F.lit(9)) + 1).cast("string"), '">May</time></li>')).when(n % 3 == 1, s('<li id="footer-info-lastmod"> Last edited on ', (F.pmod(n, F.lit(28)) + 1).cast("string"), " May 2024, at noon</li>")).otherwise("")
     html = s(
         '<html><head><title>x</title></head><body><h1 id="firstHeading">', word(0), " ", word(1), F.when(n % 7 == 0, " (disambiguation)").otherwise(""), '</h1><div id="mw-content-text"><div class="mw-parser-output"><div class="shortdescription">', word(2), '</div><div class="hatnote">', F.when(n % 5 == 0, "For other uses, see Disambiguation").otherwise("For x"), "</div>",
@@ -133,7 +178,7 @@ SELECT n AS page_id, w[1] || ' ' || w[2] || CASE WHEN n % 7 = 0 THEN ' (disambig
   'title=' || w[1] || '|image=https://up.example/' || n || '.png|born_=' || (CASE WHEN n % 2 = 0 THEN w[8] ELSE w[4] || ' ' || w[5] END) || '|the_' || lower(w[6])[1:46] || '=' || w[7] || 'inner' || '|in=ner' || CASE WHEN n % 3 <= 1 THEN '|long=' || repeat('z', 498 + n % 3) ELSE '' END AS infobox,
   array_to_string(ps, chr(10) || chr(10)) AS lead, array_to_string(CASE WHEN w[10] = w[11] THEN [w[10]] ELSE [w[10], w[11]] END, '|') AS categories,
   CASE n % 3 WHEN 0 THEN '2024-05-0' || (n % 9 + 1) WHEN 1 THEN (n % 28 + 1) || ' May 2024' END AS modified, n % 7 = 0 OR n % 5 = 0 AS is_disambiguation,
-  array_to_string(list_filter([CASE WHEN length(w[2]) > 1 THEN w[2] || ';' || w[9] || ';https://en.wikipedia.org/wiki/' || w[2] END, CASE WHEN n % 3 = 0 THEN CASE WHEN length(w[3]) > 1 THEN w[3] || ';;https://x.test/' || w[3] END WHEN length(w[10]) > 1 THEN w[10] || ';see ' || w[3] || ' ' || w[10] || ';https://en.wikipedia.org/b' END,
+  array_to_string(list_filter([CASE WHEN length(w[2]) > 1 THEN w[2] || ';' || w[9] || ';https://en.wikipedia.org/wiki/' || w[2] END, CASE WHEN n % 3 = 0 THEN CASE WHEN length(w[3]) > 1 THEN w[3] || ';;https://x.test/' || w[3] END WHEN length(w[10]) > 1 THEN w[10] || ';→ ' || w[3] || ' ' || w[10] || ';https://en.wikipedia.org/b' END,
     CASE WHEN n % 4 <= 2 AND length(w[11]) > 1 THEN w[11] || ';' || w[12] || ';https://en.wikipedia.org/last' END], lambda z: z IS NOT NULL), '|') AS entries FROM y
 """
 
@@ -413,8 +458,8 @@ SELECT n AS page_id, ['repo', 'issue', 'pr', 'code'][n % 4 + 1] AS kind, 'own' A
 """
 
 QUERIES = {
-    "r1_forum_pages": _forum(X.forum_pages), "r1_forum_comments": _forum(X.forum_comments), "n8_comment_notes": _forum(lambda p: X.render_comments(X.forum_comments(p))), "r5_code_hosts": _code_hosts, "h17_visible_by_selector": _visible, "h20_selection_contexts": _contexts, "h9_best_block": _best_blocks, "r6_encyclopedia": _encyclopedia, "r13_social_posts": _social, "r11_products": _products, "r10_documentation": _documentation, "r10_breadcrumbs": _breadcrumbs, "r7_article_sites": _article_sites, "r8_newsletters": _newsletters, "r14_videos": _videos, "r9_papers": _papers, "n8_paper_notes": _paper_notes,
+    "u7_site_keys": _site_keys, "w7_pruned_tags": _pruned, "t8_undismissed": _dismissed, "r1_forum_pages": _forum(X.forum_pages), "r1_forum_comments": _forum(X.forum_comments), "n8_comment_notes": _forum(lambda p: X.render_comments(X.forum_comments(p))), "r5_code_hosts": _code_hosts, "h17_visible_by_selector": _visible, "h20_selection_contexts": _contexts, "h9_best_block": _best_blocks, "r6_encyclopedia": _encyclopedia, "r13_social_posts": _social, "r11_products": _products, "r10_documentation": _documentation, "r10_breadcrumbs": _breadcrumbs, "r7_article_sites": _article_sites, "r8_newsletters": _newsletters, "r14_videos": _videos, "r9_papers": _papers, "n8_paper_notes": _paper_notes,
 }
 SQL = {
-    "r1_forum_pages": FORUM_SQL, "r1_forum_comments": COMMENT_SQL, "n8_comment_notes": COMMENT_NOTE_SQL, "r5_code_hosts": CODE_HOST_SQL, "h17_visible_by_selector": VISIBLE_SQL, "h20_selection_contexts": CONTEXT_SQL, "h9_best_block": BLOCK_SQL, "r6_encyclopedia": ENCYCLOPEDIA_SQL, "r13_social_posts": SOCIAL_SQL, "r11_products": PRODUCT_SQL, "r10_documentation": DOCUMENTATION_SQL, "r10_breadcrumbs": BREADCRUMB_SQL, "r7_article_sites": ARTICLE_SITE_SQL, "r8_newsletters": NEWSLETTER_SQL, "r14_videos": VIDEO_SQL, "r9_papers": PAPER_SQL, "n8_paper_notes": PAPER_NOTE_SQL,
+    "u7_site_keys": SITE_KEY_SQL, "w7_pruned_tags": PRUNED_SQL, "t8_undismissed": DISMISSED_SQL, "r1_forum_pages": FORUM_SQL, "r1_forum_comments": COMMENT_SQL, "n8_comment_notes": COMMENT_NOTE_SQL, "r5_code_hosts": CODE_HOST_SQL, "h17_visible_by_selector": VISIBLE_SQL, "h20_selection_contexts": CONTEXT_SQL, "h9_best_block": BLOCK_SQL, "r6_encyclopedia": ENCYCLOPEDIA_SQL, "r13_social_posts": SOCIAL_SQL, "r11_products": PRODUCT_SQL, "r10_documentation": DOCUMENTATION_SQL, "r10_breadcrumbs": BREADCRUMB_SQL, "r7_article_sites": ARTICLE_SITE_SQL, "r8_newsletters": NEWSLETTER_SQL, "r14_videos": VIDEO_SQL, "r9_papers": PAPER_SQL, "n8_paper_notes": PAPER_NOTE_SQL,
 }
