@@ -104,7 +104,7 @@ def test_markdown_tables_and_code(spark):
         "<article><table><tr><td colspan=2>a</td></tr></table><pre>select 1</pre><pre><code>x ```` y</code></pre></article>",
     )
     md = html.page_markdown(p).orderBy("page_id").first().markdown
-    assert md == "## A *b*\n\nx & **y**\nz [l](/q?a=1&b=2)\n\n1. one\n2. two\n\n> q1\n>\n> q2\n\n---\n\n```\nlet a = `b`;\n  c()\n```\n\n| h | k |\n| --- | --- |\n| 1 | a\\|b |"
+    assert md == "## A *b*\n\nx & **y**\nz [l](/q?a=1&b=2)\n\n1. one\n2. two\n\n> q1\n>\n> q2\n\n---\n\n```javascript\nlet a = `b`;\n  c()\n```\n\n| h | k |\n| --- | --- |\n| 1 | a\\|b |"
     assert [tuple(r) for r in html.gfm_tables(p).collect()] == [(0, 1, "| h | k |\n| --- | --- |\n| 1 | a\\|b |")]
     assert not html.table_cells(p).where("page_id = 1").first().plain
     assert [(r.page_id, r.language, r.fence) for r in html.code_blocks(p).orderBy("page_id", "block_no").collect()] == [(0, "javascript", "```"), (1, "sql", "```"), (1, "", "`````")]
