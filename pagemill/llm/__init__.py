@@ -1,4 +1,4 @@
-"""Operators that prepare training data: ten operators, one module each.
+"""Operators that prepare training data: thirteen operators, one module each.
 
 Nothing outside this package imports it.
 """
