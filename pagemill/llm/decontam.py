@@ -3,9 +3,16 @@
 Words are lower-cased (A-Z), punctuation at their ends is cut, empty words fall out. Items and windows are sets of
 5-word shingles (of all words, where an item has fewer), weighted by rarity among all items, which Spark counts. A match
 is a window that has at least 0.8 of its item's weight. Such a window shares a shingle with the item, so windows are laid
-where a document's shingle is one of an item; each gets a fingerprint, and is compared with the items of its length
-within RADIUS bits. The 64 bits are split into 8 bytes: within 31 bits, one byte differs in 3 bits at most, so the
-tables of near bytes give every item within the radius. The tests measure what the radius loses against the exact check.
+where a document's shingle is one of an item, and those whose known shingles weigh too little for any item of their length
+fall out. Each other window gets a fingerprint of 256 bits from its known shingles, and is compared with the items of its
+length within RADIUS bits.
+
+The root of a weight is what a shingle adds to a bit, so that the cosine of window and item is the root of the share that
+they have in common, if the window knows nothing else: at 0.8 they differ in 38 bits on average (standard deviation 6),
+and in 52 if other items' shingles fill the rest; unrelated ones differ in 128 (standard deviation 8). The blocks are of 16
+bits: within the radius, one of the first RADIUS % 16 + 1 blocks differs in RADIUS // 16 bits at most, or one of the others
+in one less, so that the tables of block values give every item within the radius. The tests measure both sides: what the
+radius loses against the exact check and how many unrelated items it lets pass.
 
 Null and empty texts and items match nothing; very long texts are taken whole, a piece of their windows at a time;
 repeated items and rows are matched each; there is nothing to tie, as every match is returned; an empty table or
@@ -22,17 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import WordHash, shingles, slices, stored
+from pagemill.llm.common import WordHash, mixed, shingles, slices, stored
 from pagemill.llm.toxicity import EDGES
 
 K = 5
 SIMILAR = 0.8
-RADIUS = 31
+BITS = 256
+RADIUS = 79  # of the bits
 BLOCK = 50_000  # items
-BLOCK_BYTES = 32 << 20  # of their word hashes
+BLOCK_BYTES = 32 << 20  # of their words, shingles and fingerprints
+ITEM_BYTES = 256  # of a fingerprint, its block values and the places of them
 PLACES = 1 << 20  # places of shingles in items that are looked at at once
-SPAN = 1 << 16  # shingles of a document whose running sums are held at once
-POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+SPAN = 1 << 12  # shingles of a document whose running sums are held at once
 
 
 class PlainHash(WordHash):
@@ -47,16 +55,52 @@ def plain_words(text: bytes | None, seen: PlainHash) -> np.ndarray:
     return h[h != 0]
 
 
-def fingerprint_sums(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """(len + 1, 64) running sums of the signed weights of each bit."""
-    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-    out = np.zeros((len(h) + 1, 64))
-    np.cumsum((bits * 2 - 1) * w[:, None], axis=0, out=out[1:])
-    return out
+class BitSums:
+    """Sums of the signed weights of each bit over the shingles from one place to another; the running sums of SPAN
+    shingles are held at once. A weight is changed by up to a thousandth, by its shingle, so that bits don't tie."""
+
+    def __init__(self, h: np.ndarray, weight: np.ndarray):
+        self.h = h
+        self.w = np.sqrt(weight) * (1 + (h >> np.uint64(44)) / 1e9)
+        self.low = self.high = 0
+        self.sums = np.zeros((1, BITS))
+
+    def signed(self, begin: int, end: int) -> np.ndarray:
+        h = np.stack([mixed(self.h[begin:end] + np.uint64(j)) for j in range(BITS // 64)], 1).astype("<u8")
+        return (np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").astype(np.float32) * 2 - 1) * self.w[begin:end, None]
+
+    def between(self, begin: int, end: int) -> np.ndarray:
+        if end - begin > SPAN:
+            return np.sum([self.signed(i, min(i + SPAN, end)).sum(0) for i in range(begin, end, SPAN)], axis=0)
+        if begin < self.low or end > self.high:
+            self.low, self.high = begin, min(len(self.h), begin + SPAN)
+            self.sums = np.zeros((self.high - self.low + 1, BITS))
+            np.cumsum(self.signed(self.low, self.high), axis=0, out=self.sums[1:])
+        return self.sums[end - self.low] - self.sums[begin - self.low]
+
+    def fingerprint(self, begin: int, end: int) -> np.ndarray:
+        """The bits in blocks of 16."""
+        return np.packbits(self.between(begin, end) > 0, bitorder="little").view("<u2")
+
+
+class Prints:
+    """Fingerprints and, by block, the distinct values of its 16 bits with the fingerprints that have them."""
 
+    def __init__(self, prints: np.ndarray, radius: int):
+        m, blocks = prints.shape
+        self.whole, self.radius = np.ascontiguousarray(prints).view("<u8"), radius
+        keys = (np.arange(blocks, dtype=np.uint32) << np.uint32(16))[:, None] | prints.T
+        keys, inverse = np.unique(keys.ravel(), return_inverse=True)
+        self.block, self.value = (keys >> np.uint32(16)).astype(np.uint8), (keys & np.uint32(0xFFFF)).astype(np.uint16)
+        self.owner = (np.argsort(inverse, kind="stable") % m).astype(np.int32)
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(inverse))])
+        self.reach = np.where(self.block <= radius % blocks, radius // blocks, radius // blocks - 1).astype(np.int8)
 
-def pack(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=1, bitorder="little")
+    def within(self, print_: np.ndarray) -> np.ndarray:
+        near = np.flatnonzero(np.bitwise_count(self.value ^ print_[self.block]) <= self.reach)
+        many = self.begin[near + 1] - self.begin[near]
+        found = np.unique(self.owner[np.repeat(self.begin[near] - (np.cumsum(many) - many), many) + np.arange(many.sum())])
+        return found[np.bitwise_count(self.whole[found] ^ print_.view("<u8")).sum(1) <= self.radius]
 
 
 class Items:
@@ -67,7 +111,6 @@ class Items:
         self.k, self.ids, self.known, self.radius = k, ids, known, radius
         runs = [shingles(w, k) for w in words]
         self.weight = np.log1p(total / df)
-        self.other = float(np.log1p(total))
         self.sets = [known.searchsorted(np.unique(r)) for r in runs]
         self.total = np.array([self.weight[s].sum() for s in self.sets])
         # every place of a known shingle in an item: item and offset, by shingle
@@ -79,9 +122,8 @@ class Items:
         self.by_length = {}
         for n in sorted({len(w) for w in words}):
             of = [i for i, w in enumerate(words) if len(w) == n]
-            prints = np.concatenate([pack(fingerprint_sums(runs[i], self.weight[known.searchsorted(runs[i])])[-1:]) for i in of])
-            near = [[np.flatnonzero(POPCOUNT[prints[:, b] ^ v] <= radius // 8) for v in range(256)] for b in range(8)]
-            self.by_length[n] = (np.array(of), prints, near)
+            prints = np.stack([BitSums(runs[i], self.weight[known.searchsorted(runs[i])]).fingerprint(0, len(runs[i])) for i in of])
+            self.by_length[n] = (np.array(of), Prints(prints, radius), SIMILAR * self.total[of].min() - 1e-9)
 
     def windows(self, places: np.ndarray, at: np.ndarray, n_words: int) -> np.ndarray:
         """(length, begin) of the item-sized windows around the places of known shingles."""
@@ -107,24 +149,22 @@ class Items:
         if not len(places):
             return {}
         out: dict[int, float] = {}
-        sums, low, high = np.zeros((1, 64)), 0, 0
-        for n, begin in self.windows(places, at, len(words)):
-            end = min(begin + n - self.k + 1, len(h))
-            if end <= begin:
+        hits = at[places]
+        sums, weight = BitSums(h[places], self.weight[hits]), np.concatenate([[0], np.cumsum(self.weight[hits])])
+        windows = self.windows(places, at, len(words))
+        low = np.searchsorted(places, windows[:, 1])
+        high = np.searchsorted(places, windows[:, 1] + windows[:, 0] - self.k + 1)
+        for n, lo, hi in zip(windows[:, 0].tolist(), low.tolist(), high.tolist()):  # in the order of their begin
+            of, prints, least = self.by_length[n]
+            if weight[hi] - weight[lo] < least:
                 continue
-            if begin < low or end > high:  # windows come in the order of their begin
-                low, high = begin, min(len(h), max(end, begin + SPAN))
-                sums = fingerprint_sums(h[low:high], np.where(hit[low:high], self.weight[at[low:high]], self.other))
-            inside = np.unique(at[begin:end][hit[begin:end]])
-            of, prints, near = self.by_length[int(n)]
-            print_ = pack((sums[end - low] - sums[begin - low])[None])[0]
-            found = np.unique(np.concatenate([near[b][print_[b]] for b in range(8)]))
-            found = found[POPCOUNT[prints[found] ^ print_].sum(1) <= self.radius]
-            for i in of[found]:
+            found = of[prints.within(sums.fingerprint(lo, hi))]
+            inside = np.unique(hits[lo:hi]) if len(found) else None
+            for i in found.tolist():
                 shared = np.intersect1d(inside, self.sets[i], assume_unique=True)
                 similar = self.weight[shared].sum() / self.total[i]
-                if similar >= SIMILAR - 1e-12 and similar > out.get(int(i), 0):
-                    out[int(i)] = float(min(1.0, similar))
+                if similar >= SIMILAR - 1e-12 and similar > out.get(i, 0):
+                    out[i] = float(min(1.0, similar))
         return out
 
 
@@ -172,7 +212,7 @@ def item_blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[list[Items
     size = 0
     for row in items.toLocalIterator():
         rows.append(row)
-        size += len(row.words)
+        size += len(row.words) + 16 * len(row.h) + ITEM_BYTES
         if len(rows) == block or size >= BLOCK_BYTES:
             yield built()
             rows, size = [], 0

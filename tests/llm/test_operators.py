@@ -374,6 +374,56 @@ def test_benchmark_blocks_and_radius_lose_nothing(spark):
     assert len(want) > 100 and found <= want and len(found & want) >= 0.99 * len(want)
 
 
+def plain_items(word_lists):
+    hashes = [decontam.plain_words(" ".join(w).encode(), decontam.PlainHash()) for w in word_lists]
+    known, df = np.unique(np.concatenate([np.unique(common.shingles(h, 5)) for h in hashes]), return_counts=True)
+    return decontam.Items(5, list(range(len(hashes))), hashes, known, df, len(hashes)), hashes
+
+
+@pytest.mark.parametrize("n", [5, 6, 8, 40, 400])
+def test_fingerprints_of_unrelated_items_are_far(n):
+    rng = random.Random(n)
+    items, _ = plain_items([[f"u{rng.randrange(10**9)}" for _ in range(n)] for _ in range(400)])
+    _, prints, _ = items.by_length[n]
+    far = np.bitwise_count(prints.whole[:, None] ^ prints.whole[None]).sum(2)
+    assert ((far <= decontam.RADIUS).sum() - 400) / (400 * 399) < 0.001
+    # the block tables give all within the radius, whatever it is
+    for radius in (40, 79, 110, 128):
+        index = decontam.Prints(prints.whole.view("<u2"), radius)
+        for i in range(0, 400, 13):
+            assert list(index.within(index.whole[i].view("<u2"))) == list(np.flatnonzero(far[i] <= radius))
+
+
+def test_fingerprints_keep_matches_of_items_with_common_passages():
+    rng = random.Random(8)
+    word = lambda: f"x{rng.randrange(10**6)}"
+    common_ = [[word() for _ in range(12)] for _ in range(3)]
+    lists = []
+    for i in range(300):
+        w = [word() for _ in range(rng.choice([3, 8, 20, 60]))]
+        lists.append(common_[i % 3] + w if i % 2 else w + [word() for _ in range(5)])
+    items, _ = plain_items(lists)
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in lists]
+    df = Counter(g for s in sets for g in s)
+    weight = lambda gs: sum(math.log1p(300 / df[g]) for g in gs)
+    want = kept = 0
+    for i, w in enumerate(lists):
+        for _ in range(12):
+            c = list(w)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                c[rng.randrange(len(c))] = rng.choice(lists)[0] if rng.random() < 0.5 else word()
+            doc = [word() for _ in range(9)] + c + rng.choice(lists)
+            grams = [tuple(doc[j : j + 5]) for j in range(len(doc) - 4)]
+            got = items.matches(decontam.plain_words(" ".join(doc).encode(), decontam.PlainHash()))
+            for j, s in enumerate(sets):
+                if s.intersection(grams):
+                    n = len(lists[j])
+                    best = max(weight(s.intersection(grams[b : b + n - 4])) for b in range(len(grams)))
+                    if best >= 0.8 * weight(s) + 1e-9:
+                        want, kept = want + 1, kept + (j in got)
+    assert want > 3000 and kept >= 0.99 * want
+
+
 def test_embeddings_find_what_brute_force_finds(spark):
     rng = np.random.default_rng(4)
     centre = rng.normal(size=(60, 16))
