@@ -32,7 +32,7 @@ def article_pages(docs: DataFrame) -> DataFrame:
         '<script type="application/ld+json">', F.when(n % 5 == 0, s("<!--", jsonld, "-->")).when(n % 5 == 1, s("[", jsonld, "]")).otherwise(jsonld), '</script><script type="application/ld+json">{bad</script>',
         '<script>var x = "<p>no text</p>";</script></head><body><header><a href="/">Home</a></header><nav><ul><li><a href="../up/./x">Up</a><li><a href=\'?q=1#f\'>Query</a></ul></nav>',
         '<article class="post full"><h1>', w(0), " &lt;", w(1), "&gt;</h1><p>", run(14, 30), " It is said again and again, <strong>", w(2), "</strong> and <em>", w(3), "</em> in <code>", w(4), '</code> at <a href="https://example.org/x?a=1&amp;b=', w(5), '">', w(6), "</a>.<p>",
-        run(50, 12), ', after all.</p><div class="ad"><p>Buy now, subscribe to premium</p></div><h2>Lists</h2><ul><li>', w(7), "</li><li>", w(8), "<ol><li>", w(9), "</li><li>", w(10), '</li></ol></li></ul><blockquote><p>', run(20, 5),
+        F.array_join(F.slice("w", F.lit(45), F.greatest(F.size("w"), F.lit(1))), " "), ', after all.</p><div class="ad"><p>Buy now, subscribe to premium</p></div><h2>Lists</h2><ul><li>', w(7), "</li><li>", w(8), "<ol><li>", w(9), "</li><li>", w(10), '</li></ol></li></ul><blockquote><p>', run(20, 5),
         '</p></blockquote><pre><code class="language-py">def ', w(11), "(x):\n    return x &lt; 1</code></pre><table><tr><th>", w(12), "</th><th>n|o</th></tr><tr><td>", w(13), "</td><td>", F.size("w").cast("string"), "</td></tr></table>",
         '<img src="/img/', n.cast("string"), '.png" alt="', w(0), '"></article><aside class="sidebar"><p>See also, other pages, and more of them.</p></aside><footer>&copy; &#169; &#xA9; 2024</footer></body></html>',
     )
@@ -67,15 +67,16 @@ def question_pages(conversations: DataFrame) -> DataFrame:
 
 
 def listing_pages(events: DataFrame) -> DataFrame:
-    """(page_id, url, html): a listing of stories per user, the first 30 events of each; a listing is that long."""
-    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    e = events.withColumn("n", number).where("n <= 30")
+    """(page_id, url, html): listings of 30 stories, one for each event, by event_id."""
+    page = F.floor(F.col("event_id") / 30)
+    number = F.row_number().over(Window.partitionBy(page).orderBy("event_id"))
+    e = events.where("event_id is not null").withColumn("page", page).withColumn("n", number)
     rank = F.when(F.col("n") % 2 == 1, F.concat(F.lit('<span class="rank">'), F.col("n").cast("string"), F.lit(".</span>"))).otherwise("")
     sub = F.when(F.col("n") % 3 == 0, '<td class="subtext">ad</td>').otherwise(F.concat(F.lit('<td class="subtext"><span>'), F.col("n").cast("string"), F.lit(' points</span> by <a class="hnuser" href="user?id=1">u'), F.col("event_id").cast("string"), F.lit("</a> | <a>"), F.col("n").cast("string"), F.lit("&nbsp;comments</a></td>")))
     row = F.concat(F.lit('<tr class="athing submission"><td>'), rank, F.lit('</td><td><span class="titleline"><a href="/s?a=1&amp;i='), F.col("event_id").cast("string"), F.lit('">A '), "event_type", F.lit(" &gt; b</a> <span>(<a href='/from'>x</a>)</span></span></td></tr><tr>"), sub, F.lit("</tr>"))
     parts = F.array_sort(F.collect_list(F.struct("n", row.alias("r"))))
     html = F.concat(F.lit("<html><body><table>"), F.array_join(F.transform(parts, lambda p: p.r), ""), F.lit("</table></body></html>"))
-    return e.groupBy("user_id").agg(html.alias("html")).select(F.col("user_id").alias("page_id"), F.lit("https://news.ycombinator.com/news").alias("url"), "html")
+    return e.groupBy("page").agg(html.alias("html")).select(F.col("page").alias("page_id"), F.lit("https://news.ycombinator.com/news").alias("url"), "html")
 
 
 def recipe_pages(docs: DataFrame) -> DataFrame:

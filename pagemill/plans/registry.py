@@ -143,9 +143,15 @@ def _budget(spark, sf_dir):
     return Q.budget_text(c.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page_no"), "text"), 4, 300)
 
 
+def _texts(docs):
+    """One text for each doc_id: the smallest, if rows of one differ."""
+    return docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
 def _spans(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").where("doc_id is not null and text is not null").dropDuplicates(["doc_id"])
-    spans = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("range_no")).select("doc_id", "range_no", (F.col("range_no") * 20).alias("start"), (F.col("range_no") * 20 + 10).alias("end"))
+    d = _texts(read_table(spark, sf_dir, "documents").where("text is not null"))
+    start = F.col("range_no") * F.floor(F.length("text") / 3).cast("int")
+    spans = d.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("range_no")).select("doc_id", "range_no", start.alias("start"), (start + 10).alias("end"))
     return Q.clip_spans(d, spans)
 
 
@@ -194,8 +200,8 @@ QUERIES = {
     "w10_lines": _lines,
     "w11_budget_text": _budget,
     "w9_fail_fast": _on("events", H.fail_fast),
-    "g4_keywords": _on("documents", lambda d: S.score_keywords(d.where("doc_id is not null").dropDuplicates(["doc_id"]), STOP)),
-    "g5_bigrams": _on("documents", lambda d: S.score_bigrams(d.where("doc_id is not null").dropDuplicates(["doc_id"]), STOP)),
+    "g4_keywords": _on("documents", lambda d: S.score_keywords(_texts(d), STOP)),
+    "g5_bigrams": _on("documents", lambda d: S.score_bigrams(_texts(d), STOP)),
     "g6_categories": _categories,
     "g7_history_tags": _on("events", S.history_tags),
     "g8_suggested_tags": _suggested,
@@ -264,7 +270,7 @@ _SITE = "CASE WHEN doc_id % 4 = 1 THEN 'Site ' || w[10] ELSE w[11] END"
 _DESC = "w[5] || ' ' || w[6] || ' \"' || w[7] || '\"'"
 _P1 = "trim(array_to_string(own[15:44], ' ') || ' It is said again and again,')"
 _P1_TEXT = f"{_P1} || ' ' || w[3] || ' and ' || w[4] || ' in ' || w[5] || ' at ' || w[7] || '.'"
-_P2 = "array_to_string(own[51:62], ' ') || ', after all.'"
+_P2 = "array_to_string(own[45:], ' ') || ', after all.'"
 _QUOTE = "array_to_string(own[21:25], ' ')"
 _MAIN = f"concat_ws(' ', w[1] || ' <' || w[2] || '>', {_P1_TEXT}, {_P2}, 'Lists', w[8], w[9], w[10], w[11], nullif({_QUOTE}, ''), 'def ' || w[12] || '(x): return x < 1', w[13], 'n|o', w[14], n_words)"
 _TABLE = r"'| ' || w[13] || ' | n\|o |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || w[14] || ' | ' || n_words || ' |'"
@@ -336,7 +342,7 @@ SQL = {
     "h17_visible_content": f"SELECT page_id, {_P1_TEXT} AS text FROM {_W}",
     "h18_reading_stats": r"""SELECT doc_id, len(regexp_extract_all(t, '[^ ]+'))::BIGINT AS words, length(t)::BIGINT AS chars, greatest(1, ceil(len(regexp_extract_all(t, '[^ ]+')) / 220.0))::BIGINT + 0 * length(t) AS minutes
       FROM (SELECT doc_id, nullif(trim(regexp_replace(text, '[\x20\x09-\x0D\x{A0}]+', ' ', 'g')), '') AS t FROM documents)""",
-    "h20_clip_spans": """SELECT doc_id, string_agg(p, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS text, count(*) AS ranges FROM (SELECT doc_id, i, trim(substr(text, i * 20 + 1, 10)) AS p FROM documents, range(3) t(i) WHERE doc_id IS NOT NULL AND text IS NOT NULL) WHERE p <> '' GROUP BY 1""",
+    "h20_clip_spans": """SELECT doc_id, string_agg(p, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS text, count(*) AS ranges FROM (SELECT doc_id, i, trim(substr(text, i * (length(text) // 3) + 1, 10)) AS p FROM documents, range(3) t(i) WHERE doc_id IS NOT NULL AND text IS NOT NULL) WHERE p <> '' GROUP BY 1""",
     "t2_template_matches": f"SELECT doc_id AS page_id, name, rank::BIGINT AS rank FROM documents JOIN {_TEMPLATE} ON doc_id % 6 = k",
     "t5_template_fields": f"SELECT page_id, 'plain' AS name, w[1] || ' <' || w[2] || '>' AS title, coalesce(nullif({_QUOTE}, ''), {_MAIN}) AS content FROM {_W} WHERE doc_id % 6 IN (0, 5)",
     "t3_domain_tags": f"SELECT doc_id AS page_id, tag, 0.8::DOUBLE AS confidence FROM documents JOIN {_DOMAIN} ON doc_id % 6 = k",
@@ -377,8 +383,8 @@ SQL = {
     "n7_linked_terms": r"""SELECT doc_id, (regexp_matches(t, '(?i)(^|[^\p{L}\p{N}_])of the($|[^\p{L}\p{N}_])')::INT + regexp_matches(regexp_replace(t, '(^|[^\p{L}\p{N}_])[oO][fF] [tT][hH][eE]\b', '\1  ', 'g'), '(?i)(^|[^\p{L}\p{N}_])the($|[^\p{L}\p{N}_])')::INT
       + regexp_matches(t, '(?i)(^|[^\p{L}\p{N}_])und($|[^\p{L}\p{N}_])')::INT + regexp_matches(t, '(?i)(^|[^\p{L}\p{N}_])de($|[^\p{L}\p{N}_])')::INT)::BIGINT AS links FROM (SELECT doc_id, text AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)""",
     "n9_vault_merge": f"SELECT lower(substr(file_path, 1, 8)) AS file_path, arg_max(note, page_id) AS note, count(*) AS versions FROM ({_NOTES}) GROUP BY 1",
-    "r3_story_listing": """SELECT user_id AS page_id, n AS rank, 'A ' || event_type || ' > b' AS title, '/s?a=1&i=' || event_id AS url, CASE WHEN n % 3 <> 0 THEN n END AS points, CASE WHEN n % 3 <> 0 THEN 'u' || event_id ELSE '' END AS author, CASE WHEN n % 3 <> 0 THEN n END AS comments
-      FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n <= 30""",
+    "r3_story_listing": """SELECT page AS page_id, n AS rank, 'A ' || event_type || ' > b' AS title, '/s?a=1&i=' || event_id AS url, CASE WHEN n % 3 <> 0 THEN n END AS points, CASE WHEN n % 3 <> 0 THEN 'u' || event_id ELSE '' END AS author, CASE WHEN n % 3 <> 0 THEN n END AS comments
+      FROM (SELECT *, event_id // 30 AS page, row_number() OVER (PARTITION BY event_id // 30 ORDER BY event_id) AS n FROM events WHERE event_id IS NOT NULL)""",
     "r4_answers": """SELECT question_id, rank, accepted, votes, author, body FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY accepted DESC, votes DESC, turn) AS rank FROM (SELECT conv_id AS question_id, turn, turn % 3 = 2 AS accepted, (turn * 7 % 5)::BIGINT AS votes,
       CASE WHEN role = 'user' THEN 'user' ELSE 'Community' END AS author, trim(regexp_extract(coalesce(text, ''), '[A-Za-z]+', 0) || ' & on') AS body FROM conversations)) WHERE rank <= 5""",
     "n8_rendered_answers": """SELECT question_id, string_agg('## Answer ' || rank || CASE WHEN accepted THEN ' ✓ accepted' ELSE '' END || chr(10) || chr(10) || '**' || author || '**, ' || votes || ' votes' || chr(10) || chr(10) || body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS body
