@@ -11,23 +11,29 @@ too); blocks are joined by one newline.
 
 Null or empty html gives an empty text; very long pages are taken whole; pages without a host vote for nobody but
 themselves; repeated rows are extracted each; extra columns are ignored, whatever their names; an empty table gives an
-empty result. Pages meet their host's path by a broadcast of the paths up to PATHS rows, else by host and salt."""
+empty result. A page's paths are held as steps and 64-bit hashes, so that time and memory rise with its length, however
+deep or broken it is. Pages meet their host's path by a broadcast of the paths up to PATHS rows and PATH_BYTES, else by
+host and salt."""
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import slices, stored
 from pagemill.llm.url_filters import url_parts
 
+# Attributes end where another tag begins, so that what isn't closed is looked at once.
+ATTRIBUTES = r"(?>(?:[^<>\"']+|\"[^\"]*\"|'[^']*'|<(?![a-zA-Z/!]))*)"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|textarea|select|button|title|object|canvas|audio|video)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|textarea|select|button|title|object|canvas|audio|video)(?=[\s/>])(?>[^<>]*>|{ATTRIBUTES}>).*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/<>]*+)({ATTRIBUTES})>|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -46,6 +52,7 @@ HEADER_WORDS = frozenset(["header", "topbar", "sitehead"])
 DENIED = frozenset("no not has have with without is non".split())  # in front of a word: about the element, not its kind
 MOST, NEARLY_ALL = 0.5, 0.9  # shares of a page's unlinked text over which forms and elements with a word, or with a reply word, stay
 PATHS = 200_000
+PATH_BYTES = 32 << 20
 SALTS = 32
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
@@ -61,6 +68,18 @@ def named(names: str, words: frozenset) -> bool:
     return False
 
 
+def below(path_id: int, step: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{path_id}>{step}")
+
+
+def path_hash(path: str) -> int:
+    """The id of a path as Page.path_of gives it."""
+    out = 0
+    for step in path.split(">")[1:]:
+        out = below(out, step)
+    return out
+
+
 class Page:
     """Containers (parent, tag path, kind) and blocks (container, text, share of text in links) of a page. Kinds: KEEP,
     SOFT and REPLY (fall out unless they hold most, or nearly all, of the text), OUT."""
@@ -69,13 +88,15 @@ class Page:
 
     def __init__(self, source: str):
         self.parent: list[int] = [-1]
-        self.path: list[str] = [""]
+        self.step: list[str] = [""]
+        self.path_id: list[int] = [0]
         self.tag: list[str] = ["#"]
         self.kind: list[int] = [self.KEEP]
         self.blocks: list[tuple[int, str, float]] = []
         stack: list[tuple[str, int]] = []  # tag, container before it
         here = link = linked = inside = 0  # inside: open article or main elements
         buffer: list[str] = []
+        opened: Counter[str] = Counter()  # tags on the stack
 
         def flush():
             nonlocal linked
@@ -90,6 +111,7 @@ class Page:
             nonlocal here, inside
             while len(stack) > depth:
                 name, here = stack.pop()
+                opened[name] -= 1
                 inside -= name in ("article", "main")
 
         at = 0
@@ -113,11 +135,9 @@ class Page:
             if m.group(2):
                 if block:
                     flush()
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == name:
-                        flush()
-                        close(depth)
-                        break
+                if opened[name]:
+                    flush()
+                    close(next(depth for depth in range(len(stack) - 1, -1, -1) if stack[depth][0] == name))
                 continue
             if block:
                 flush()
@@ -132,10 +152,12 @@ class Page:
             if name in CONTAINERS or kind:
                 flush()
                 stack.append((name, here))
+                opened[name] += 1
                 inside += name in ("article", "main")
                 plain = ".".join([name, *sorted(set(WORD.findall(attrs.get("class", "").lower())))])
                 self.parent.append(here)
-                self.path.append(f"{self.path[here]}>{plain}")
+                self.step.append(plain)
+                self.path_id.append(below(self.path_id[here], plain))
                 self.tag.append(name)
                 self.kind.append(kind)
                 here = len(self.parent) - 1
@@ -178,19 +200,25 @@ class Page:
     def best(self) -> tuple[int, float]:
         score = [0.0] * len(self.parent)
         for c, text, links in self.blocks:
-            worth, k = len(text) * (1 - links), c
-            while k >= 0:
-                score[k] += worth
-                worth *= 0.7
-                k = self.parent[k]
+            score[c] += len(text) * (1 - links)
+        for k in range(len(score) - 1, 0, -1):  # a container comes after the one that it is in
+            score[self.parent[k]] += 0.7 * score[k]
         score = [s * (1.5 if t in ("article", "main") else 1.0) for s, t in zip(score, self.tag)]
         top = max(range(len(score)), key=lambda k: (score[k], -k))
         return top, score[top]
 
+    def path_of(self, k: int) -> str:
+        steps = []
+        while k > 0:
+            steps.append(self.step[k])
+            k = self.parent[k]
+        return "".join(f">{s}" for s in reversed(steps))
+
     def text(self, path: str | None) -> str:
         if not self.blocks:
             return ""
-        chosen = {k for k, p in enumerate(self.path) if p == path} if path else set()
+        wanted = path_hash(path) if path else None
+        chosen = {k for k, p in enumerate(self.path_id) if p == wanted} if path else set()
         chosen = chosen or {self.best()[0]}
         under = [k in chosen for k in range(len(self.parent))]
         for k in range(1, len(self.parent)):
@@ -210,7 +238,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
                 top, score = page.best()
                 if score > 0:
                     hosts.append(host)
-                    paths.append(page.path[top])
+                    paths.append(page.path_of(top))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], ["host", "path"])
 
     votes = url_parts(pages.select("url", "html")).where("host <> ''").select("host", "html").mapInArrow(run, "host string, path string")
@@ -231,7 +259,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     d = url_parts(pages.select("page_id", "url", "html")).drop("path")
     paths = stored(host_paths(pages), "paths")
-    if paths.count() <= PATHS:
+    size = paths.agg(F.count("*").alias("n"), F.sum(F.octet_length("host") + F.octet_length("path")).alias("bytes")).first()
+    if size.n <= PATHS and (size.bytes or 0) <= PATH_BYTES:
         d = d.join(F.broadcast(paths), "host", "left")
     else:  # a host's pages are dealt over several tasks
         paths = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

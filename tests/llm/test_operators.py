@@ -6,6 +6,8 @@ import functools
 import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -424,6 +426,31 @@ def test_fingerprints_keep_matches_of_items_with_common_passages():
     assert want > 3000 and kept >= 0.99 * want
 
 
+@pytest.mark.parametrize("shape", ["<div>{} ", "<div class='a b'>t<p>{}</p></i>", "<b x {} ", "<b<", "<script x ", "<!x ", '<b "', "<b x='", "</div>", "<div><p>{}</span></section>"])
+def test_deep_and_broken_pages_cost_in_proportion(shape):
+    def cost(n):
+        html = "".join(shape.format(i) for i in range(n)) + "<p>the end"
+        tracemalloc.start()
+        page = extraction.Page(html)
+        text = page.text(page.path_of(page.best()[0]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert not text or text.count("\n") <= 2 * n
+        start = time.process_time()
+        extraction.Page(html).best()
+        return peak, time.process_time() - start
+
+    cost(200)
+    (small, _), (large, seconds) = cost(4_000), cost(32_000)
+    assert large < 12 * small + (1 << 20) and seconds < 6
+
+
+def test_paths_have_the_id_of_their_steps():
+    page = extraction.Page("<html><body><div class='post x1'><section><p>one</p></section></div><article id=a><p>two</article></body>")
+    assert [extraction.path_hash(page.path_of(k)) for k in range(len(page.step))] == page.path_id
+    assert page.text(">html>body>article.no") == page.text(None) and page.text(">html>body>div.post.x") == "one"
+
+
 def test_embeddings_find_what_brute_force_finds(spark):
     rng = np.random.default_rng(4)
     centre = rng.normal(size=(60, 16))
