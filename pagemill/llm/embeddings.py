@@ -8,7 +8,8 @@ found within reach. Pairs are checked in double precision and don't leave the sh
 links, every pair counted in the first of the shards that hold both, and a spanning forest of what is linked.
 A search doesn't leave its shard, so the members of a component that no one shard holds are compared with each other
 once more, exactly and in blocks of rows; only the sums of links leave a block. near_duplicates() ends with an audit:
-AUDIT vectors against all by brute force; recall below LEAST raises an error.
+AUDIT classes against all by brute force; recall below LEAST raises an error. Classes are counted, not their rows, as
+equal vectors are found without a graph.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and those with a null label, link with
 nothing. Vectors of different length are never compared. Repeated rows are vectors of their own; a null vec_id takes
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,7 +206,7 @@ def forest(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
 
 
 def linked(dealt: DataFrame, found: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(shard, cid, n, top) for the classes of each shard that have a link there: n, the rows they link with in pairs
+    """(shard, cid, n, m, top) for the classes of each shard that have a link there: n and m, the rows and classes they link with in pairs
     that belong to the shard, the first of those that hold both; top, a class of the shard that they are connected to."""
     dealt = dealt.join(found.select("cid", "size"), "cid")
     dealt = stored(dealt.join(dealt.groupBy("cid").agg(F.sort_array(F.collect_set("shard")).alias("held")), "cid").select("shard", "cid", "x", "size", "held"), "held")
@@ -220,9 +222,9 @@ def linked(dealt: DataFrame, found: DataFrame, cosine: float = COSINE) -> DataFr
     lists = edges.join(dealt.select(F.col("shard").alias("of"), F.col("cid").alias("src")), "src").select("of", "src", "dst")
 
     def run(key, rows, adjacent):
-        names = ["shard", "cid", "n", "top"]
+        names = ["shard", "cid", "n", "m", "top"]
         if not rows.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 4, names)
+            return pa.table([pa.array([], pa.int64())] * 5, names)
         shard, cid = key[0].as_py(), rows.column("cid").to_numpy()
         order = np.argsort(cid)
         cid, x, size = cid[order], unit(rows.column("x"))[order], rows.column("size").to_numpy()[order]
@@ -247,11 +249,12 @@ def linked(dealt: DataFrame, found: DataFrame, cosine: float = COSINE) -> DataFr
             for j in range(width):
                 own &= ~((one == held[high, j]) & (one < shard))
         n = np.bincount(low[own], size[high[own]], len(cid)) + np.bincount(high[own], size[low[own]], len(cid))
+        m = np.bincount(low[own], minlength=len(cid)) + np.bincount(high[own], minlength=len(cid))
         some = np.unique(np.concatenate([low, high]))
         top = cid[forest(low, high, len(cid))]
-        return pa.table([pa.array([shard] * len(some), pa.int64()), pa.array(cid[some]), pa.array(n[some].astype(np.int64)), pa.array(top[some])], names)
+        return pa.table([pa.array([shard] * len(some), pa.int64()), pa.array(cid[some]), pa.array(n[some].astype(np.int64)), pa.array(m[some].astype(np.int64)), pa.array(top[some])], names)
 
-    return dealt.groupBy("shard").cogroup(lists.groupBy("of")).applyInArrow(run, "shard long, cid long, n long, top long")
+    return dealt.groupBy("shard").cogroup(lists.groupBy("of")).applyInArrow(run, "shard long, cid long, n long, m long, top long")
 
 
 def spread(comp: DataFrame, dealt: DataFrame) -> DataFrame:
@@ -262,7 +265,7 @@ def spread(comp: DataFrame, dealt: DataFrame) -> DataFrame:
 
 
 def links_in_blocks(found: DataFrame, comp: DataFrame, wide: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
-    """(a, n): for the classes of the components in `wide`, how many rows link with them, by comparing every two classes
+    """(a, n, m): for the classes of the components in `wide`, how many rows and classes link with them, by comparing every two classes
     of a component. A component is cut into blocks of about `block` rows, and every two of its blocks meet in a group;
     components of one block share groups."""
     rows = found.select("cid", "x", "size").join(comp.join(wide, "root"), F.col("cid") == F.col("node"))
@@ -276,6 +279,7 @@ def links_in_blocks(found: DataFrame, comp: DataFrame, wide: DataFrame, cosine:
     def count(group):
         root, own, other = (group.column(c).to_numpy() for c in ("root", "own", "other"))
         x, size, n = unit(group.column("x")), group.column("size").to_numpy(), np.zeros(group.num_rows, np.int64)
+        m = np.zeros(group.num_rows, np.int64)
         # rows of the lower block, and of the higher one; a block that meets itself is both
         order = np.lexsort((own, other + own, root))
         cuts = np.flatnonzero(np.concatenate([[True], (np.diff(root[order]) != 0) | (np.diff((own + other)[order]) != 0), [True]]))
@@ -290,16 +294,18 @@ def links_in_blocks(found: DataFrame, comp: DataFrame, wide: DataFrame, cosine:
                     near[np.arange(len(some)), np.arange(at, at + len(some))] = False
                 else:
                     n[high] += size[some] @ near
+                    m[high] += near.sum(0)
                 n[some] += near @ size[high]
-        return pa.table({"a": group.column("cid"), "n": pa.array(n)})
+                m[some] += near.sum(1)
+        return pa.table({"a": group.column("cid"), "n": pa.array(n), "m": pa.array(m)})
 
-    counted = rows.select("meet", "root", "own", "other", "cid", "size", "x").groupBy("meet").applyInArrow(count, "a long, n long")
-    return counted.groupBy("a").agg(F.sum("n").alias("n"))
+    counted = rows.select("meet", "root", "own", "other", "cid", "size", "x").groupBy("meet").applyInArrow(count, "a long, n long, m long")
+    return counted.groupBy("a").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def near_duplicates(vectors: DataFrame, sample: int = AUDIT, least: float = LEAST) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row. Of `sample` vectors, those with the smallest hashes, the links
-    are counted by brute force too; if n_links has a smaller share of them than `least`, an error is raised."""
+    """vec_id, n_links, component_id, kept, n_classes (unequal vectors linked, equal ones once) and class_id (of equal
+    vectors; null where a vector takes no part) for every row. If audit() finds less than `least`, an error is raised."""
     rows, found = classes(vectors)
     found = stored(found, "classes")
     dealt = stored(shards(found), "shards")
@@ -307,15 +313,15 @@ def near_duplicates(vectors: DataFrame, sample: int = AUDIT, least: float = LEAS
     comp = components(links.where("cid <> top").select(F.col("cid").alias("a"), F.col("top").alias("b")))
     wide = stored(spread(comp, dealt), "wide")
     exact = comp.join(wide, "root").select(F.col("node").alias("cid"))
-    others = links.join(exact, "cid", "left_anti").groupBy(F.col("cid").alias("a")).agg(F.sum("n").alias("n"))
+    others = links.join(exact, "cid", "left_anti").groupBy(F.col("cid").alias("a")).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     others = others.unionByName(links_in_blocks(found, comp, wide))
     c = found.select("cid", "size", "vec_id").join(comp, F.col("cid") == F.col("node"), "left").select("cid", "size", "vec_id", F.coalesce("root", "cid").alias("root"))
     tops = c.groupBy("root").agg(F.min("vec_id").alias("component_id"))
     c = c.join(tops, "root").join(others, F.col("cid") == F.col("a"), "left")
-    c = c.select("cid", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+    c = c.select("cid", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id", "m")
     out = rows.join(c, "cid", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("cid").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
-    out = out.withColumn("kept", F.expr("vec_id <=> component_id"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("cid").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("m", F.lit(0)).cast("long").alias("n_classes"), F.col("cid").alias("class_id"))
+    out = out.select("vec_id", "n_links", "component_id", F.expr("vec_id <=> component_id").alias("kept"), "n_classes", "class_id")
     if sample:
         out = stored(out, "embeddings")
         recall = audit(vectors, out, sample)
@@ -325,28 +331,28 @@ def near_duplicates(vectors: DataFrame, sample: int = AUDIT, least: float = LEAS
 
 
 def audit(vectors: DataFrame, result: DataFrame, sample: int = AUDIT) -> float:
-    """Share of the links of `sample` vectors, by brute force against all, that n_links holds. Vectors with ids are
-    taken by the smallest hashes; repeated ids count together."""
-    picked = vectors.where("vec_id is not null").select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
-    full = vectors.select("vec_id", "label", "embedding")
-    some = full.join(F.broadcast(picked), "vec_id").select("label", "embedding").toPandas()
-    by: dict = {}
-    for label, v in zip(some.label, some.embedding):
-        if v is not None and len(v) and label == label:
-            by.setdefault((label, len(v)), []).append(np.asarray(v, np.float64))
-    by = {k: np.stack(v) for k, v in by.items()}
-    by = {k: v[np.isfinite(v).all(1) & (v != 0).any(1)] for k, v in by.items()}
-    by = {k: unit(pa.array(v.tolist())) for k, v in by.items() if len(v)}
+    """Share of the links between unequal vectors that `result` has, by brute force for `sample` classes of equal vectors,
+    those with the smallest hashes, against all classes: the smaller of the share of all their links and the mean share
+    of a class. A link too many makes up for none that is lost by another class. 1 if there are no links."""
+    found = classes(vectors)[1].select("cid", "shard", "x")
+    picked = found.orderBy(F.xxhash64("cid", F.lit(1)), "cid").limit(sample).toArrow()
+    by = {}
+    for shard in picked.column("shard").unique().to_pylist():
+        of = picked.filter(pc.equal(picked.column("shard"), shard))
+        by[shard] = of.column("cid").to_numpy(), unit(of.column("x"))
 
     def run(batches):
-        for b in batches:
-            n = 0
-            for label, v in zip(b.column("label").to_pylist(), b.column("embedding").to_pylist()):
-                if v and (label, len(v)) in by and None not in v and np.isfinite(v).all() and np.any(v):
-                    n += int((by[label, len(v)] @ unit(pa.array([v]))[0] >= COSINE).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    # each of the vectors meets itself once
-    total = (full.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0) - sum(map(len, by.values()))
-    got = result.join(F.broadcast(picked), "vec_id").agg(F.sum("n_links")).first()[0] or 0
-    return got / total if total > 0 else 1.0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                shards_ = part.column("shard").to_numpy()
+                for shard in by.keys() & set(shards_.tolist()):
+                    cid, v = by[shard]
+                    n = (unit(part.column("x").filter(pa.array(shards_ == shard))) @ v.T >= COSINE).sum(0)
+                    yield pa.RecordBatch.from_arrays([pa.array(cid[n > 0]), pa.array(n[n > 0])], ["cid", "want"])
+
+    # each class meets itself once
+    want = found.select("shard", "x").mapInArrow(run, "cid long, want long").groupBy("cid").agg((F.sum("want") - 1).alias("want")).where("want > 0")
+    got = result.select(F.col("class_id").alias("cid"), "n_classes").join(F.broadcast(want), "cid").groupBy("cid").agg(F.min(F.least("n_classes", "want")).alias("got"), F.first("want").alias("want"))
+    shares = got.agg(F.sum("got") / F.sum("want"), F.avg(F.col("got") / F.col("want"))).first()
+    return min((float(s) for s in shares if s is not None), default=1.0)
